@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreloom.llm.name_forms import Lexicon
+from loreloom.llm.names import link_names, spelling_pairs, typed_names
 from loreloom.llm.packing import pack
 from loreloom.llm.quality import fit_type_model, text_statistics, text_types, vote_patterns, with_votes
 from loreloom.llm.splitting import split_items
@@ -19,6 +21,25 @@ catalogue = Catalogue()
 CAPACITY = 2_048
 
 
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    sessions = table(spark, sf, "sessions")
+    names = typed_names(table(spark, sf, "character_states"), sessions, "character", aliases=None).unionByName(
+        typed_names(table(spark, sf, "group_states"), sessions, "group", aliases="aliases")
+    )
+    known = table(spark, sf, "name_forms").where(F.col("form").isNotNull() & F.col("full_form").isNotNull())
+    return link_names(names, Lexicon.of([(r["form"], r["full_form"], r["form_kind"]) for r in known.collect()]))
+
+
+@catalogue.add()
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_pairs(_linked(spark, sf))
+
+
+@catalogue.add()
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return _linked(spark, sf).withColumnRenamed("world", "world_hash")
+
+
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_items(
         table(spark, sf, "retrieval_contexts"), keep=["context_id"], items="messages", metadata="messages_metadata"
