@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.functions.documents import let
+
 TYPES = ("prose", "list", "table", "junk")
 #: A word list beyond this many words is refused: it becomes part of an expression.
 WORD_LIMIT = 5_000
@@ -279,22 +281,23 @@ def text_types(votes: DataFrame, model: TypeModel) -> DataFrame:
 
     A document without words has type null.
     """
-    logs = {}
+    scores = []
     for t in TYPES:
         score = F.lit(math.log(model.prior[t]))
         for name in model.names:
             rate = model.rate[name][t]
             score = score + F.when(F.col(f"vote_{name}"), F.lit(math.log(rate))).otherwise(F.lit(math.log(1 - rate)))
-        logs[t] = score
-    scored = votes.select("*", *[s.alias(f"__log_{t}") for t, s in logs.items()])
-    top = F.greatest(*[F.col(f"__log_{t}") for t in TYPES])
-    scored = scored.select("*", *[F.exp(F.col(f"__log_{t}") - top).alias(f"__w_{t}") for t in TYPES])
-    whole = sum((F.col(f"__w_{t}") for t in TYPES), F.lit(0.0))
-    scored = scored.select("*", *[(F.col(f"__w_{t}") / whole).alias(f"p_{t}") for t in TYPES])
-    best = F.greatest(*[F.col(f"p_{t}") for t in TYPES])
-    kind = F.lit(None).cast("string")
-    for t in reversed(TYPES):
-        kind = F.when(F.col(f"p_{t}") == best, t).otherwise(kind)
-    return scored.withColumn("text_type", F.when(F.col("n_words") > 0, kind)).drop(
-        *[f"__log_{t}" for t in TYPES], *[f"__w_{t}" for t in TYPES]
+        scores.append(score)
+
+    def shares(logs: Column) -> Column:
+        weights = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+        return let(weights, lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda n, y: n + y)))
+
+    types = F.array(*[F.lit(t) for t in TYPES])
+    best = let(F.col("__p"), lambda p: F.get(types, (F.array_position(p, F.array_max(p)) - 1).cast("int")))
+    scored = votes.withColumn("__p", let(F.array(*scores), shares))
+    return scored.select(
+        *votes.columns,
+        *[F.get("__p", F.lit(i)).alias(f"p_{t}") for i, t in enumerate(TYPES)],
+        F.when(F.col("n_words") > 0, best).alias("text_type"),
     )
