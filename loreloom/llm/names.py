@@ -8,6 +8,7 @@ verified by soft weighted token similarity and by what their descriptions say.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,8 @@ from loreloom.session import cut_lineage
 #: Letters of a q-gram, and the Jaccard similarity of q-grams below which forms are not compared.
 Q = 3
 LEAST_SHARED = 0.3
+#: The most frequent q-grams, which come last in the order of the prefix filter.
+COMMON_GRAMS = 2_000
 #: A likeness that links full names by itself; one that links with an agreeing profile.
 STRONG, SUPPORTED = 0.83, 0.66
 #: Lead in score that an ambiguous short form needs over its second-best entity.
@@ -64,7 +67,8 @@ def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: s
 
 
 def _with_forms(names: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``node``, ``kind``, ``world``, ``name``, ``forms`` (tokens joined by blanks), ``profile`` (JSON)."""
+    """``node``, ``block``, ``kind``, ``world``, ``name``, ``forms`` (tokens joined by
+    blanks) and ``profile`` (JSON).  Blocks and nodes are 64-bit hashes of their names."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,84 +79,96 @@ def _with_forms(names: DataFrame, lexicon: Lexicon) -> DataFrame:
                 tokens = (tokens_of(n, lexicon) for n in known)
                 forms.append(sorted({" ".join(t) for t in tokens if any(t)}))
                 profiles.append(json.dumps({k: sorted(v) for k, v in sorted(profile.items())}))
-            yield batch[["node", "kind", "world", "name"]].assign(forms=forms, profile=profiles)
+            yield batch[["node", "block", "kind", "world", "name"]].assign(forms=forms, profile=profiles)
 
-    keyed = names.withColumn("node", F.xxhash64("kind", "world", "name"))
+    keyed = names.withColumns({"node": F.xxhash64("kind", "world", "name"), "block": F.xxhash64("kind", "world")})
     return keyed.mapInPandas(
-        read, "node bigint, kind string, world string, name string, forms array<string>, profile string"
+        read,
+        "node bigint, block bigint, kind string, world string, name string, forms array<string>, profile string",
     )
 
 
 def _with_rarity(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``rarity``: of each token its spellings in the world and its worlds."""
-    tokens = nodes.select(
-        "node", "kind", "world", F.explode(F.array_distinct(F.flatten(F.transform("forms", lambda f: F.split(f, " "))))).alias("token")
-    )
-    local = tokens.groupBy("kind", "world", "token").agg(F.count(F.lit(1)).alias("in_world"))
+    every = F.array_distinct(F.flatten(F.transform("forms", lambda f: F.split(f, " "))))
+    tokens = nodes.select("node", "block", "kind", F.explode(every).alias("token"))
+    local = tokens.groupBy("block", "kind", "token").agg(F.count(F.lit(1)).alias("in_world"))
     overall = local.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("worlds"))
-    counted = tokens.join(local.join(overall, ["kind", "token"]), ["kind", "world", "token"])
-    rarity = counted.groupBy("node").agg(
-        F.array_join(
-            F.collect_list(F.concat_ws(":", "token", F.col("in_world").cast("string"), F.col("worlds").cast("string"))), " "
-        ).alias("rarity")
-    )
+    known = local.join(overall, ["kind", "token"]).select("block", "token", "in_world", "worlds")
+    counted = tokens.select("node", "block", "token").join(known, ["block", "token"])
+    entry = F.concat_ws(":", "token", F.col("in_world").cast("string"), F.col("worlds").cast("string"))
+    rarity = counted.groupBy("node").agg(F.array_join(F.collect_list(entry), " ").alias("rarity"))
     return nodes.join(rarity, "node")
 
 
+def q_grams(form: str) -> list[str]:
+    """Distinct q-grams of a form's tokens, each token with marks at both ends."""
+    grams: dict[str, None] = {}
+    for token in form.split(" "):
+        padded = f"^{token}$"
+        for i in range(max(1, len(padded) - Q + 1)):
+            grams[padded[i : i + Q]] = None
+    return list(grams)
+
+
+def initials_key(form: str) -> str | None:
+    """Sorted initials of a name of several tokens, sorted letters of an acronym."""
+    tokens = form.split(" ")
+    if form.startswith("@"):
+        return "@" + "".join(sorted(form[1:]))
+    return "@" + "".join(sorted(t[0] for t in tokens)) if len(tokens) > 1 else None
+
+
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs ``a`` < ``b`` of spellings of a block with forms of like q-gram sets.
 
-    Prefix filter: a form keeps its ``n - ceil(t n) + 1`` rarest q-grams (rare in its
-    block); two forms with a Jaccard similarity of ``t`` or more share one of these.
-    Every form also keeps its token initials as one gram, so that acronyms meet.
+    Prefix filter: a form keeps its ``n - ceil(t n) + 1`` first q-grams in one order of
+    all q-grams; two forms with a Jaccard similarity of ``t`` or more share one of these.
+    The order puts the ``COMMON_GRAMS`` most frequent last, so that few forms meet by
+    chance; any order is exact, hence this bound on what the driver learns drops nothing.
+    Every form also keeps its initials as one key, so that acronyms meet.
     """
-    forms = nodes.select("node", "kind", "world", F.explode("forms").alias("form"))
-    tokens = F.split("form", " ")
-    grams = F.flatten(
-        F.transform(
-            tokens,
-            lambda t: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))),
-                lambda i: F.substring(F.concat(F.lit("^"), t, F.lit("$")), i, F.lit(Q)),
-            ),
-        )
+    forms = nodes.select("node", "block", F.explode("forms").alias("form"))
+    distinct = forms.select("block", "form").distinct()
+
+    @F.pandas_udf("array<string>")
+    def all_grams(texts: pd.Series) -> pd.Series:
+        return texts.map(q_grams)
+
+    counted = distinct.select(F.explode(all_grams("form")).alias("gram")).groupBy("gram").count()
+    common = [r["gram"] for r in counted.orderBy(F.desc("count"), "gram").limit(COMMON_GRAMS).collect()]
+    late = {gram: COMMON_GRAMS - i for i, gram in enumerate(common)}
+
+    @F.pandas_udf("array<string>")
+    def kept(texts: pd.Series) -> pd.Series:
+        def of(form: str) -> list[str]:
+            ordered = sorted(q_grams(form), key=lambda g: (late.get(g, 0), g))
+            n = len(ordered)
+            first = ordered[: n - math.ceil(n * LEAST_SHARED) + 1]
+            key = initials_key(form)
+            return first if key is None else [*first, key]
+
+        return texts.map(of)
+
+    listed = distinct.select(
+        "block", F.xxhash64("block", "form").alias("f"), F.size(all_grams("form")).alias("n"), kept("form").alias("kept")
     )
-    initials = F.concat(
-        F.lit("@"), F.array_join(F.array_sort(F.transform(tokens, lambda t: F.substring(t, 1, 1))), "")
+    index = listed.select("f", "n", F.explode("kept").alias("gram"), "block").select(
+        F.xxhash64("block", "gram").alias("key"), "f", F.when(~F.startswith("gram", F.lit("@")), F.col("n")).cast("short").alias("n")
     )
-    acronym = F.concat(F.lit("@"), F.array_join(F.array_sort(F.split(F.substring("form", 2, 99), "")), ""))
-    key = F.when(F.startswith("form", F.lit("@")), acronym).when(F.size(tokens) > 1, initials)
-    distinct = forms.select("kind", "world", "form").distinct()
-    listed = distinct.select("kind", "world", "form", F.array_distinct(grams).alias("grams"), key.alias("key"))
-    single = listed.select("kind", "world", "form", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counts = single.groupBy("kind", "world", "gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("kind", "world", "form").orderBy("df", "gram")
-    prefix = (
-        single.join(counts, ["kind", "world", "gram"])
-        .withColumn("place", F.row_number().over(rarest))
-        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * LEAST_SHARED) + 1)
-        .select("kind", "world", "form", "gram", "n")
-    )
-    keys = listed.where(F.col("key").isNotNull()).select("kind", "world", "form", F.col("key").alias("gram"), F.lit(None).cast("int").alias("n"))
-    index = prefix.unionByName(keys)
-    block = ["kind", "world", "gram"]
-    left = index.select(*block, F.col("form").alias("f"), F.col("n").alias("nf"))
-    right = index.select(*block, F.col("form").alias("g"), F.col("n").alias("ng"))
-    alike = (F.col("nf") >= F.col("ng") * LEAST_SHARED) & (F.col("ng") >= F.col("nf") * LEAST_SHARED)
+    left, right = index, index.withColumnsRenamed({"f": "g", "n": "m"})
+    alike = (F.col("n") >= F.col("m") * LEAST_SHARED) & (F.col("m") >= F.col("n") * LEAST_SHARED)
     met = (
-        left.join(right, block)
-        .where((F.col("f") < F.col("g")) & (F.col("nf").isNull() | alike))
-        .select("kind", "world", "f", "g")
+        left.join(right, "key")
+        .where((F.col("f") < F.col("g")) & (F.col("n").isNull() | F.col("m").isNull() | alike))
+        .select("f", "g")
         .distinct()
     )
-    same = distinct.select("kind", "world", F.col("form").alias("f"), F.col("form").alias("g"))
-    holders = forms.select("kind", "world", "form", "node")
-    pairs = (
-        met.unionByName(same)
-        .join(holders.withColumnsRenamed({"form": "f", "node": "x"}), ["kind", "world", "f"])
-        .join(holders.withColumnsRenamed({"form": "g", "node": "y"}), ["kind", "world", "g"])
-        .where(F.col("x") != F.col("y"))
-    )
+    holders = forms.select(F.xxhash64("block", "form").alias("f"), "node").distinct()
+    others = holders.withColumnsRenamed({"f": "g", "node": "y"})
+    across = met.join(holders, "f").join(others, "g").select(F.col("node").alias("x"), "y")
+    equal = holders.join(others, F.col("f") == F.col("g")).select(F.col("node").alias("x"), "y")
+    pairs = across.unionByName(equal).where(F.col("x") != F.col("y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -231,7 +247,7 @@ def link_names(names: DataFrame, lexicon: Lexicon) -> DataFrame:
     to the one it fits clearly best, or to none.  Names without letters or digits,
     and worlds with one name, link nothing; an empty table gives no rows.
     """
-    nodes = cut_lineage(_with_rarity(_with_forms(names, lexicon)))
+    nodes = _with_rarity(cut_lineage(_with_forms(names, lexicon)))
     scored = cut_lineage(_verified(candidate_pairs(nodes), nodes, lexicon))
     fits = (F.col("contradict") == 0) | (F.col("agree") >= 2 * F.col("contradict"))
     supported = (F.col("agree") >= 2) & (F.col("contradict") == 0)
