@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: White space and the byte order mark, trimmed from both ends of a document.
 _EDGE = " \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\ufeff"
 _LEADING_COMMENTS = "^(?:\\s*(?:/\\*[\\s\\S]*?\\*/|//[^\\n]*\\n))+"
-_OBJECT_START = "(?s)^.*?(\\{\\s*(?:[\"}]|/[*/]).*)$"
+_OBJECT_SPAN = "(?s)^.*?(\\{\\s*(?:(?:\"|/[*/]).*\\}|\\}))[^}]*$"
 _STRING_OR_COMMENT = "(\"[^\"]*\")|/\\*[\\s\\S]*?\\*/|//[^\\n]*"
 #: Stand-ins for escaped backslash and quote while strings are told from comments.
 _BACKSLASH, _QUOTE = "", ""
@@ -49,7 +49,7 @@ def is_object(text: Column) -> Column:
 
 
 def _searched(text: Column) -> Column:
-    start = F.regexp_extract(F.regexp_replace(text, _LEADING_COMMENTS, ""), _OBJECT_START, 1)
+    start = F.regexp_extract(F.regexp_replace(text, _LEADING_COMMENTS, ""), _OBJECT_SPAN, 1)
     return let(
         F.nullif(start, F.lit("")),
         lambda found: F.when(is_object(found), found).otherwise(
@@ -68,7 +68,7 @@ def object_text(doc: Column) -> Column:
     """
     return let(
         _unquoted(doc),
-        lambda text: F.when(F.startswith(text, F.lit("{")) & is_object(text), text).otherwise(_searched(text)),
+        lambda text: F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & is_object(text), text).otherwise(_searched(text)),
     )
 
 
