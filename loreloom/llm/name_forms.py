@@ -267,45 +267,6 @@ class Comparer:
         contradicts = (left and right) or not QUALIFIERS.isdisjoint(rest)
         return likeness * (0.7 if contradicts else 1.0)
 
-    def spellings(
-        self, a: list[tuple[str, ...]], b: list[tuple[str, ...]], rarity: dict[str, Rarity]
-    ) -> tuple[float, bool, bool]:
-        """Likeness of the likest forms, and for each side whether that form is a full name."""
-        best = (0.0, False, False)
-        common = [f for f in a if f in b and is_full(f)]
-        if common:
-            return 1.0, True, True
-        for f in a:
-            for g in b:
-                likeness, full_f, full_g = self.forms(f, g, rarity), is_full(f), is_full(g)
-                if not (full_f and full_g):
-                    single = min(len(f), len(g)) == 1 and not (f[0][0] == "@" or g[0][0] == "@")
-                    likeness = min(likeness, SINGLE_LIKENESS if single else SHORT_LIKENESS)
-                best = max(best, (likeness, full_f, full_g))
-        return best
-
 
 #: Greatest likeness through a form of initials or an acronym, and of a single token.
 SHORT_LIKENESS, SINGLE_LIKENESS = 0.82, 0.72
-
-
-def is_full(form: tuple[str, ...]) -> bool:
-    """Whether the form has at least two whole tokens."""
-    return sum(len(t) > 1 and t[0] != "@" for t in form) >= 2
-
-
-def profile_agreement(a: dict[str, set[str]], b: dict[str, set[str]]) -> tuple[int, int]:
-    """Points of agreement and contradictions of two profiles; what is unknown is neither."""
-    agree = contradict = 0
-    for kind, points in (("o", 2), ("t", 2), ("p", 1), ("h", 1), ("e", 1)):
-        if a.get(kind) and b.get(kind):
-            if a[kind] & b[kind]:
-                agree += points
-            else:
-                contradict += 1
-    years = [[int(y) for y in p.get("y", ())] for p in (a, b)]
-    if all(years):
-        apart = min(abs(x - y) for x in years[0] for y in years[1])
-        agree += apart <= 3
-        contradict += apart > 8
-    return agree, contradict

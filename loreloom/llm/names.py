@@ -7,20 +7,20 @@ verified by soft weighted token similarity and by what their descriptions say.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.llm.name_forms import (
     EVIDENCE_HINT,
+    SHORT_LIKENESS,
+    SINGLE_LIKENESS,
     Comparer,
     Lexicon,
     Rarity,
-    profile_agreement,
     read_evidence,
     tokens_of,
 )
@@ -68,7 +68,8 @@ def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: s
 
 def _with_forms(names: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``node``, ``block``, ``kind``, ``world``, ``name``, ``forms`` (tokens joined by
-    blanks) and ``profile`` (JSON).  Blocks and nodes are 64-bit hashes of their names."""
+    blanks) and ``profile`` (what is said, by kind of statement).  Blocks and nodes are
+    64-bit hashes of their names."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,27 +79,29 @@ def _with_forms(names: DataFrame, lexicon: Lexicon) -> DataFrame:
                 known = [name, *given, *[a for a in (aliases if aliases is not None else []) if a]]
                 tokens = (tokens_of(n, lexicon) for n in known)
                 forms.append(sorted({" ".join(t) for t in tokens if any(t)}))
-                profiles.append(json.dumps({k: sorted(v) for k, v in sorted(profile.items())}))
+                profiles.append({k: sorted(v) for k, v in sorted(profile.items())})
             yield batch[["node", "block", "kind", "world", "name"]].assign(forms=forms, profile=profiles)
 
     keyed = names.withColumns({"node": F.xxhash64("kind", "world", "name"), "block": F.xxhash64("kind", "world")})
     return keyed.mapInPandas(
         read,
-        "node bigint, block bigint, kind string, world string, name string, forms array<string>, profile string",
+        "node bigint, block bigint, kind string, world string, name string, forms array<string>,"
+        " profile map<string,array<string>>",
     )
 
 
-def _with_rarity(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``rarity``: of each token its spellings in the world and its worlds."""
-    every = F.array_distinct(F.flatten(F.transform("forms", lambda f: F.split(f, " "))))
-    tokens = nodes.select("node", "block", "kind", F.explode(every).alias("token"))
+def _distinct_forms(nodes: DataFrame) -> DataFrame:
+    """Each form of a block once: ``f`` (its hash), ``block``, ``form`` and ``rarity``: of
+    each token the forms of the block that have it and the worlds that know it."""
+    forms = nodes.select("block", "kind", F.explode("forms").alias("form")).distinct()
+    tokens = forms.select("block", "kind", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("token"))
     local = tokens.groupBy("block", "kind", "token").agg(F.count(F.lit(1)).alias("in_world"))
     overall = local.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("worlds"))
     known = local.join(overall, ["kind", "token"]).select("block", "token", "in_world", "worlds")
-    counted = tokens.select("node", "block", "token").join(known, ["block", "token"])
+    counted = tokens.select("block", "form", "token").join(known, ["block", "token"])
     entry = F.concat_ws(":", "token", F.col("in_world").cast("string"), F.col("worlds").cast("string"))
-    rarity = counted.groupBy("node").agg(F.array_join(F.collect_list(entry), " ").alias("rarity"))
-    return nodes.join(rarity, "node")
+    rarity = counted.groupBy("block", "form").agg(F.array_join(F.collect_list(entry), " ").alias("rarity"))
+    return rarity.select(F.xxhash64("block", "form").alias("f"), "block", "form", "rarity")
 
 
 def q_grams(form: str) -> list[str]:
@@ -119,8 +122,8 @@ def initials_key(form: str) -> str | None:
     return "@" + "".join(sorted(t[0] for t in tokens)) if len(tokens) > 1 else None
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` of spellings of a block with forms of like q-gram sets.
+def candidate_forms(forms: DataFrame) -> DataFrame:
+    """Pairs ``f`` < ``g`` of a block's forms with like q-gram sets.
 
     Prefix filter: a form keeps its ``n - ceil(t n) + 1`` first q-grams in one order of
     all q-grams; two forms with a Jaccard similarity of ``t`` or more share one of these.
@@ -128,14 +131,12 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     chance; any order is exact, hence this bound on what the driver learns drops nothing.
     Every form also keeps its initials as one key, so that acronyms meet.
     """
-    forms = nodes.select("node", "block", F.explode("forms").alias("form"))
-    distinct = forms.select("block", "form").distinct()
 
     @F.pandas_udf("array<string>")
     def all_grams(texts: pd.Series) -> pd.Series:
         return texts.map(q_grams)
 
-    counted = distinct.select(F.explode(all_grams("form")).alias("gram")).groupBy("gram").count()
+    counted = forms.select(F.explode(all_grams("form")).alias("gram")).groupBy("gram").count()
     common = [r["gram"] for r in counted.orderBy(F.desc("count"), "gram").limit(COMMON_GRAMS).collect()]
     late = {gram: COMMON_GRAMS - i for i, gram in enumerate(common)}
 
@@ -146,66 +147,113 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
             n = len(ordered)
             first = ordered[: n - math.ceil(n * LEAST_SHARED) + 1]
             key = initials_key(form)
-            return first if key is None else [*first, key]
+            return [str(n), *first] if key is None else [str(n), *first, key]
 
         return texts.map(of)
 
-    listed = distinct.select(
-        "block", F.xxhash64("block", "form").alias("f"), F.size(all_grams("form")).alias("n"), kept("form").alias("kept")
-    )
-    index = listed.select("f", "n", F.explode("kept").alias("gram"), "block").select(
-        F.xxhash64("block", "gram").alias("key"), "f", F.when(~F.startswith("gram", F.lit("@")), F.col("n")).cast("short").alias("n")
+    listed = forms.select("block", "f", kept("form").alias("kept"))
+    index = listed.select(
+        "block",
+        "f",
+        F.get("kept", F.lit(0)).cast("short").alias("n"),
+        F.explode(F.slice("kept", F.lit(2), F.size("kept"))).alias("gram"),
+    ).select(
+        F.xxhash64("block", "gram").alias("key"), "f", F.when(~F.startswith("gram", F.lit("@")), F.col("n")).alias("n")
     )
     left, right = index, index.withColumnsRenamed({"f": "g", "n": "m"})
     alike = (F.col("n") >= F.col("m") * LEAST_SHARED) & (F.col("m") >= F.col("n") * LEAST_SHARED)
-    met = (
-        left.join(right, "key")
-        .where((F.col("f") < F.col("g")) & (F.col("n").isNull() | F.col("m").isNull() | alike))
-        .select("f", "g")
-        .distinct()
-    )
-    holders = forms.select(F.xxhash64("block", "form").alias("f"), "node").distinct()
-    others = holders.withColumnsRenamed({"f": "g", "node": "y"})
-    across = met.join(holders, "f").join(others, "g").select(F.col("node").alias("x"), "y")
-    equal = holders.join(others, F.col("f") == F.col("g")).select(F.col("node").alias("x"), "y")
-    pairs = across.unionByName(equal).where(F.col("x") != F.col("y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Likeness and profile agreement of each candidate pair."""
-    facts = nodes.select("node", F.struct("forms", "profile", "rarity").alias("facts"))
-    joined = pairs.join(facts.withColumnsRenamed({"node": "a", "facts": "fa"}), "a").join(
-        facts.withColumnsRenamed({"node": "b", "facts": "fb"}), "b"
+    met = left.join(right, "key").where(
+        (F.col("f") < F.col("g")) & (F.col("n").isNull() | F.col("m").isNull() | alike)
     )
-    flat = joined.select(
-        "a",
-        "b",
-        *[F.col(f"f{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("forms", "profile", "rarity")],
+    return met.select("f", "g").distinct()
+
+
+def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``f``, ``g``, ``likeness`` of the candidates that are at least ``SUPPORTED``."""
+    facts = forms.select("f", "form", "rarity")
+    joined = pairs.join(facts, "f").join(
+        facts.withColumnsRenamed({"f": "g", "form": "form_g", "rarity": "rarity_g"}), "g"
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         comparer = Comparer(lexicon)
 
         def rarity_of(*texts: str) -> dict[str, Rarity]:
-            parts = (item.rsplit(":", 2) for text in texts for item in text.split(" ") if item)
+            parts = (item.rsplit(":", 2) for text in texts for item in text.split(" "))
             return {token: Rarity(int(n), int(w)) for token, n, w in parts}
 
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                forms = [[tuple(f.split(" ")) for f in side] for side in (r.forms_a, r.forms_b)]
-                likeness, full_a, full_b = comparer.spellings(*forms, rarity_of(r.rarity_a, r.rarity_b))
-                if likeness < SUPPORTED:
-                    continue
-                profiles = [{k: set(v) for k, v in json.loads(p).items()} for p in (r.profile_a, r.profile_b)]
-                agree, contradict = profile_agreement(*profiles)
-                rows.append((r.a, r.b, likeness, full_a, full_b, agree, contradict))
-            yield pd.DataFrame(rows, columns=["a", "b", "likeness", "full_a", "full_b", "agree", "contradict"])
-
-    return flat.mapInPandas(
-        compare, "a bigint, b bigint, likeness double, full_a boolean, full_b boolean, agree int, contradict int"
+                likeness = comparer.forms(tuple(r.form.split(" ")), tuple(r.form_g.split(" ")), rarity_of(r.rarity, r.rarity_g))
+                if likeness >= SUPPORTED:
+                    rows.append((r.f, r.g, likeness))
+            yield pd.DataFrame(rows, columns=["f", "g", "likeness"])
+
+    columns = joined.select("f", "g", "form", "rarity", "form_g", "rarity_g")
+    return columns.mapInPandas(compare, "f bigint, g bigint, likeness double")
+
+
+def _form_kind(form: Column) -> Column:
+    """``full`` (two whole tokens), ``short`` (initials or an acronym) or ``single``."""
+    tokens = F.split(form, " ")
+    whole = F.size(F.filter(tokens, lambda t: (F.length(t) > 1) & ~F.startswith(t, F.lit("@"))))
+    several = (F.size(tokens) > 1) | F.startswith(form, F.lit("@"))
+    return F.when(whole >= 2, "full").when(several, "short").otherwise("single")
+
+
+def _agreement(a: Column, b: Column) -> tuple[Column, Column]:
+    """Points of agreement and contradictions of two profiles; what is unknown is neither."""
+    agree, contradict = F.lit(0), F.lit(0)
+    for kind, points in (("o", 2), ("t", 2), ("p", 1), ("h", 1), ("e", 1)):
+        shared = F.arrays_overlap(F.try_element_at(a, F.lit(kind)), F.try_element_at(b, F.lit(kind)))
+        agree = agree + F.when(shared, points).otherwise(0)
+        contradict = contradict + F.when(~shared, 1).otherwise(0)
+    years = [F.transform(F.try_element_at(p, F.lit("y")), lambda y: y.cast("int")) for p in (a, b)]
+    apart = F.array_min(F.flatten(F.transform(years[0], lambda x: F.transform(years[1], lambda y: F.abs(x - y)))))
+    return agree + F.when(apart <= 3, 1).otherwise(0), contradict + F.when(apart > 8, 1).otherwise(0)
+
+
+def scored_pairs(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``a`` < ``b``, ``likeness`` of their likest forms, whether each of these is a full
+    name, and how far their profiles ``agree`` and ``contradict``."""
+    forms = cut_lineage(_distinct_forms(nodes))
+    alike = _alike_forms(candidate_forms(forms), forms, lexicon)
+    holders = nodes.select("block", "node", F.explode("forms").alias("form")).select(
+        F.xxhash64("block", "form").alias("f"), "node", _form_kind(F.col("form")).alias("kind")
+    )
+    others = holders.withColumnsRenamed({"f": "g", "node": "other", "kind": "other_kind"})
+    across = alike.join(holders, "f").join(others, "g")
+    equal = holders.withColumn("g", F.col("f")).join(others, "g").withColumn("likeness", F.lit(1.0))
+    columns = ["node", "kind", "other", "other_kind", "likeness"]
+    pairs = across.select(*columns).unionByName(equal.select(*columns)).where(F.col("node") != F.col("other"))
+    kinds = F.array("kind", "other_kind")
+    most = (
+        F.when(F.array_contains(kinds, "single") & ~F.array_contains(kinds, "short"), SINGLE_LIKENESS)
+        .when(F.array_contains(kinds, "single") | F.array_contains(kinds, "short"), SHORT_LIKENESS)
+        .otherwise(1.0)
+    )
+    ahead = F.col("node") < F.col("other")
+    full, other_full = F.col("kind") == "full", F.col("other_kind") == "full"
+    best = F.max(
+        F.struct(
+            F.least("likeness", most).alias("likeness"),
+            F.when(ahead, full).otherwise(other_full).alias("full_a"),
+            F.when(ahead, other_full).otherwise(full).alias("full_b"),
+        )
+    )
+    likest = (
+        pairs.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        .agg(best.alias("best"))
+        .select("a", "b", "best.*")
+        .where(F.col("likeness") >= SUPPORTED)
+    )
+    said = nodes.select("node", "profile")
+    joined = likest.join(said.withColumnsRenamed({"node": "a", "profile": "pa"}), "a").join(
+        said.withColumnsRenamed({"node": "b", "profile": "pb"}), "b"
     )
+    agree, contradict = _agreement(F.col("pa"), F.col("pb"))
+    return joined.select("a", "b", "likeness", "full_a", "full_b", agree.alias("agree"), contradict.alias("contradict"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -247,8 +295,8 @@ def link_names(names: DataFrame, lexicon: Lexicon) -> DataFrame:
     to the one it fits clearly best, or to none.  Names without letters or digits,
     and worlds with one name, link nothing; an empty table gives no rows.
     """
-    nodes = _with_rarity(cut_lineage(_with_forms(names, lexicon)))
-    scored = cut_lineage(_verified(candidate_pairs(nodes), nodes, lexicon))
+    nodes = cut_lineage(_with_forms(names, lexicon))
+    scored = cut_lineage(scored_pairs(nodes, lexicon))
     fits = (F.col("contradict") == 0) | (F.col("agree") >= 2 * F.col("contradict"))
     supported = (F.col("agree") >= 2) & (F.col("contradict") == 0)
     both_full = F.col("full_a") & F.col("full_b")
