@@ -286,6 +286,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return members.unionByName(roots)
 
 
+def _consistent(links: DataFrame, against: DataFrame) -> DataFrame:
+    """``links`` without those that would bridge two contradicting names.
+
+    Where a spelling links to two names that ``against`` sets apart, only its likelier
+    link stays (both do if they are equally likely).
+    """
+    both = links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "likeness")
+    directed = both.select("e.x", "e.y", "likeness")
+    apart = against.select(F.explode(F.array(F.struct(F.col("a").alias("y"), F.col("b").alias("z")), F.struct(F.col("b").alias("y"), F.col("a").alias("z")))).alias("e")).select("e.y", "e.z")
+    rival = directed.withColumnsRenamed({"y": "z", "likeness": "other"})
+    weaker = directed.join(apart, "y").join(rival, ["x", "z"]).where(F.col("likeness") < F.col("other"))
+    dropped = weaker.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return links.select("a", "b").join(dropped, ["a", "b"], "left_anti")
+
+
 def link_names(names: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Entities of spellings: ``kind``, ``world``, ``name``, ``entity``, linked spellings only.
 
@@ -301,7 +316,7 @@ def link_names(names: DataFrame, lexicon: Lexicon) -> DataFrame:
     supported = (F.col("agree") >= 2) & (F.col("contradict") == 0)
     both_full = F.col("full_a") & F.col("full_b")
     sure = ((F.col("likeness") >= STRONG) & both_full & fits) | ((F.col("likeness") >= 0.7) & (F.col("agree") >= 3) & fits)
-    strong = scored.where(sure).select("a", "b")
+    strong = _consistent(scored.where(sure), scored.where(~fits))
     first = cut_lineage(connected_components(strong))
 
     weak = scored.where(~sure & fits & ((F.col("likeness") >= 0.78) | supported))
