@@ -26,20 +26,28 @@ _ITEM = (
     r"|\d{1,4}\s?[x×]\s+\S)"
 )
 _INLINE_ITEMS = r"^\s*\(?\d{1,2}[.)].*[|;,]\s*\(?2[.)]"
-_COLUMNS = r"\S\t|\t\S|\|[^|]*\||[^\s.!?…:;,\"”] {2,}\S|^[\s|+=-]{5,}$"
+_BARS = r"\|[^|]*\|"
+_GAP = r"[^\s.!?…:;,\"”] {2,}\S"
+_RULE = r"^[\s|+=-]{5,}$"
 _DELIMITED = r"^[^,;]*(?:[,;](?! )[^,;]*){3,}$"
 _SHEET = r"^[^:.!?,;\"]{1,40}:\s*[^\s:][^.!?:]{0,40}$"
 _MACHINE = (
     r"^\s*(?:https?://\S+|[0-9a-fA-F]{16,}|[A-Za-z0-9+/=]{32,}|[\[(]?\d[\d:.,/ T-]{4,}[\])]?\s+\S.*|[<{}\[\]].*[>{}\[\];,])\s*$"
-    r"|\b(?:DEBUG|INFO|WARN|ERROR|FATAL|debug|info|warn|error|fatal)\b[: ]|\w=\w+\s+\w+=|(?:\S+ > ){2}"
 )
+_LEVEL = r"\b(?:DEBUG|INFO|WARN|ERROR|FATAL|debug|info|warn|error|fatal)\b[: ]"
+_ASSIGNED = r"\w=\w+\s+\w+="
+_CRUMBS = r"(?:\S+ > ){2}"
 _LINE_BREAK = r"\r\n|[\n\r\x{85}\x{2028}\x{2029}]"
 _SEPARATOR = r"[;|•·]\s"
 #: A line of at most so many characters without a sentence end looks like an entry of a list.
 SHORT_LINE = 45
 _SENTENCE_END = r"[.!?…][\"'”’»)\]]*\s*$"
-_SENTENCE_MARK = r"[\p{L}\p{N}][\"'”’»)\]]*[.!?…]+[\"'”’»)\]]*(?:\s|$)"
+_SENTENCE_MARK = r"(?<=[\p{L}\p{N}\"'”’»)\]])[.!?…]+[\"'”’»)\]]*(?:\s|$)"
+#: Plain characters, taken out in runs before others are counted among the rest.
+_PLAIN = r"[a-zA-Z0-9\s]+"
 _ODD = r"[^\p{L}\p{N}\s.,;:!?'\"()“”‘’«»¿¡…–—-]"
+#: Stands for a common word while runs of them are counted.
+_KNOWN = "\x01"
 
 
 def word_pattern(words: list[str]) -> str:
@@ -56,13 +64,32 @@ def word_pattern(words: list[str]) -> str:
 
 
 def _shape(line: Column) -> Column:
-    """The shape of one line: machine, list, table, short or null (running text)."""
+    """The shape of one line: machine, list, table, short or null (running text).
+
+    A plain search for a needed character comes before each costly pattern.
+    """
     like = lambda pattern: F.rlike(line, F.lit(pattern))
+    has = lambda text: F.contains(line, F.lit(text))
+    machine = (
+        like(_MACHINE)
+        | like(_LEVEL)
+        | (has("=") & like(_ASSIGNED))
+        | (has(" > ") & like(_CRUMBS))
+    )
+    inner = F.trim(line)
+    row = (
+        F.contains(inner, F.lit("\t"))
+        | (has("|") & like(_BARS))
+        | (F.contains(inner, F.lit("  ")) & like(_GAP))
+        | like(_RULE)
+        | like(_DELIMITED)
+        | (has(":") & like(_SHEET))
+    )
     return (
-        F.when(like(_MACHINE), "machine")
+        F.when(machine, "machine")
         .when(like(_ITEM) | like(_INLINE_ITEMS), "list")
-        .when(like(_COLUMNS) | like(_DELIMITED) | like(_SHEET), "table")
-        .when((F.length(F.trim(line)) <= SHORT_LINE) & ~like(_SENTENCE_END), "short")
+        .when(row, "table")
+        .when((F.length(inner) <= SHORT_LINE) & ~like(_SENTENCE_END), "short")
     )
 
 
@@ -90,7 +117,7 @@ def text_statistics(documents: DataFrame, id_column: str, text_column: str, comm
     base = documents.select(
         F.col(id_column).alias("__id"),
         text.alias("__t"),
-        F.lower(text).alias("__low"),
+        F.replace(F.lower(text), F.lit(_KNOWN), F.lit(" ")).alias("__low"),
         shaped.alias("__lines"),
     ).select("*", F.filter(F.split("__low", r"[^\p{L}\p{N}'’]+"), lambda w: w != "").alias("__words"))
 
@@ -104,15 +131,18 @@ def text_statistics(documents: DataFrame, id_column: str, text_column: str, comm
     def count(pattern: str) -> Column:
         return F.regexp_count("__t", F.lit(pattern))
 
+    def rest(pattern: str) -> Column:
+        return F.regexp_count("__rest", F.lit(pattern))
+
     known = word_pattern(common)
     pairs = F.zip_with(
-        words, F.slice(words, F.lit(2), F.greatest(n_words - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)
+        words, F.slice(words, F.lit(2), F.greatest(n_words - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)
     )
     counted = base.select(
         "*",
-        F.regexp_count("__low", F.lit(known)).alias("__common"),
-        F.regexp_count("__low", F.lit(rf"{known}(?=\s+{known})")).alias("__runs"),
-        count(r"\S").alias("n_chars"),
+        F.regexp_replace("__low", known, _KNOWN).alias("__masked"),
+        (F.length("__t") - count(r"\s")).alias("n_chars"),
+        F.regexp_replace("__t", _PLAIN, "").alias("__rest"),
         n_words.alias("n_words"),
         F.size(F.array_distinct(pairs)).alias("distinct_pairs"),
     )
@@ -123,22 +153,23 @@ def text_statistics(documents: DataFrame, id_column: str, text_column: str, comm
         ),
     )
     n_chars = F.col("n_chars")
+    n_common = F.length("__masked") - F.length(F.replace("__masked", F.lit(_KNOWN), F.lit("")))
     return counted.select(
         F.col("__id").alias(id_column),
         "n_chars",
         "n_words",
         "distinct_pairs",
         _share(n_chars, n_words).alias("mean_word_length"),
-        _share(count(r"[^\p{L}\p{N}\s]"), n_chars).alias("symbol_share"),
-        _share(count(_ODD), n_chars).alias("odd_share"),
-        _share(count(r"[^\x00-\x7f]"), n_chars).alias("foreign_share"),
+        _share(rest(r"[^\p{L}\p{N}\s]"), n_chars).alias("symbol_share"),
+        _share(rest(_ODD), n_chars).alias("odd_share"),
+        _share(rest(r"[^\x00-\x7f]"), n_chars).alias("foreign_share"),
         _share(count(r"\p{N}"), n_chars).alias("digit_share"),
         _share(count(_SEPARATOR), n_words).alias("separator_rate"),
         _share(F.size(F.filter("__lines", lambda x: F.rlike(x["line"], F.lit(_SENTENCE_END)))), n_lines).alias(
             "end_line_share"
         ),
-        _share(F.col("__common"), n_words).alias("common_share"),
-        _share(F.col("__runs"), F.col("__common")).alias("common_run_share"),
+        _share(n_common, n_words).alias("common_share"),
+        _share(F.regexp_count("__masked", F.lit(rf"{_KNOWN}(?=\s+{_KNOWN})")), n_common).alias("common_run_share"),
         _share(count(_SENTENCE_MARK), n_words).alias("mark_rate"),
         in_lines("list").alias("list_share"),
         in_lines("table").alias("table_share"),
