@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.functions.text import node_id, paragraphs, sentences
+from loreloom.operators.running import running_sum
 
 
 def messages_of(contexts: DataFrame, key: str, items: str) -> DataFrame:
@@ -36,8 +37,8 @@ def last_exchanges(messages: DataFrame, n: int) -> DataFrame:
 
 def numbered_backwards(messages: DataFrame) -> DataFrame:
     """``number``: 1 for the last non-blank message of a conversation, rising backwards."""
-    backwards = Window.partitionBy("conv_id").orderBy(F.desc("message_idx"))
-    return messages.where(F.trim("text") != "").withColumn("number", F.row_number().over(backwards))
+    shown = messages.where(F.trim("text") != "")
+    return running_sum(shown, ["conv_id"], -F.col("message_idx"), F.lit(1), "number")
 
 
 def last_messages(messages: DataFrame, n: int, most: int) -> DataFrame:
@@ -105,10 +106,13 @@ def interval_tags(points: DataFrame, intervals: DataFrame, group: str, point: st
     return points.join(chosen, [group, point], "left")
 
 
-def running_counter(rows: DataFrame, group: list[str], order: list[str], boundary: Column, name: str) -> DataFrame:
-    """``name``: 1 at first, one more from each row on where ``boundary`` holds."""
-    along = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, 1 + F.sum(F.when(boundary, 1).otherwise(0)).over(along))
+def running_counter(rows: DataFrame, group: list[str], order: str, boundary: Column, name: str) -> DataFrame:
+    """``name``: 1 at first, one more from each row on where ``boundary`` holds.
+
+    ``order`` is an integer that does not repeat within ``group``.
+    """
+    counted = running_sum(rows, group, F.col(order), F.when(boundary, 1).otherwise(0), name)
+    return counted.withColumn(name, F.col(name) + 1)
 
 
 def first_by_text(rows: DataFrame, group: list[str], text: str, order: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.operators.running import running_sum
+
 #: Scenes of a chapter and chapters of an arc: from which to ask, and from which to close at any rate.
 CHAPTER_BOUNDS, ARC_BOUNDS = (4, 10), (3, 12)
 
@@ -82,12 +84,11 @@ def effective(*settings: Column) -> Column:
 
 def rollup_counts(scenes: DataFrame, group: list[str], order: str, per_chapter: int, per_arc: int) -> DataFrame:
     """Scenes into chapters of ``per_chapter`` and arcs of ``per_arc`` chapters, by order."""
-    number = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
-    chapter = F.floor(F.col("__n") / per_chapter)
-    return scenes.withColumn("__n", number).select(
+    chapter = F.floor((F.col("__n") - 1) / per_chapter)
+    return running_sum(scenes, group, F.col(order), F.lit(1), "__n").select(
         *group,
         order,
-        (F.col("__n") + 1).cast("int").alias("scene_number"),
+        F.col("__n").cast("int").alias("scene_number"),
         (chapter + 1).cast("int").alias("chapter_number"),
         (F.floor(chapter / per_arc) + 1).cast("int").alias("arc_number"),
     )

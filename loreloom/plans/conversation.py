@@ -267,8 +267,8 @@ def interval_tagging_events(spark: SparkSession, sf: str) -> DataFrame:
 )
 def scene_counter(spark: SparkSession, sf: str) -> DataFrame:
     rows = conversations(spark, sf)
-    rows = running_counter(rows, ["conv_id"], ["message_idx"], F.length("text") > 300, "scene_number")
-    rows = running_counter(rows, ["conv_id"], ["message_idx"], F.length("text") > 1200, "chapter_number")
+    rows = running_counter(rows, ["conv_id"], "message_idx", F.length("text") > 300, "scene_number")
+    rows = running_counter(rows, ["conv_id"], "message_idx", F.length("text") > 1200, "chapter_number")
     return rows.select("conv_id", "message_idx", "scene_number", "chapter_number")
 
 

@@ -271,9 +271,8 @@ def stream_fold_state(spark: SparkSession, sf: str) -> DataFrame:
     """The same state as ``event_fold_state``, folded by a stream over the events' files."""
     source = f"{sf}/events.parquet"
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(
-        source if os.path.isdir(source) else f"{sf}/events.parquet*"
-    )
+    # The pattern fits a table of one file and a folder of part files alike.
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{source}*")
     states = live_session_states(_lifecycle(stream).select("session", "seq", "type", "phase"))
     written = run_available(spark, states, _scratch(spark, "states"), _scratch(spark, "progress"))
     return latest_of(written, ["session"], "batch", ["running", "n_active", "n_done", "n_error"]).drop("batch")

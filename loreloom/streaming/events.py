@@ -12,14 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreloom.operators.running import running_sum
+
 #: Events kept in a session's buffer.
 BUFFER = 100
 
 
 def with_epoch(events: DataFrame) -> DataFrame:
     """``epoch``: how many session starts came so far; a start opens a new epoch."""
-    along = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("epoch", F.sum(F.when(F.col("type") == "session_start", 1).otherwise(0)).over(along))
+    return running_sum(events, ["session"], F.col("seq"), F.when(F.col("type") == "session_start", 1).otherwise(0), "epoch")
 
 
 def since_last_start(events: DataFrame) -> DataFrame:
