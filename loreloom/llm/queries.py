@@ -17,6 +17,8 @@ from loreloom.sources.tables import table
 
 catalogue = Catalogue()
 
+#: Most rows of the table of short forms; a larger one is refused, never cut.
+LEXICON_ROWS = 50_000
 #: Tokens of one container.
 CAPACITY = 2_048
 
@@ -27,7 +29,10 @@ def _linked(spark: SparkSession, sf: str) -> DataFrame:
         typed_names(table(spark, sf, "group_states"), sessions, "group", aliases="aliases")
     )
     known = table(spark, sf, "name_forms").where(F.col("form").isNotNull() & F.col("full_form").isNotNull())
-    return link_names(names, Lexicon.of([(r["form"], r["full_form"], r["form_kind"]) for r in known.collect()]))
+    rows = known.limit(LEXICON_ROWS + 1).collect()
+    if len(rows) > LEXICON_ROWS:
+        raise ValueError(f"more than {LEXICON_ROWS} short forms; they are sent to every worker")
+    return link_names(names, Lexicon.of([(r["form"], r["full_form"], r["form_kind"]) for r in rows]))
 
 
 @catalogue.add()
