@@ -64,3 +64,59 @@ def union_in_order(parts: list[tuple[DataFrame, int]], key: list[str], name: str
     first = rows.groupBy(*key, name).agg(F.min("__seen").alias("__seen"))
     along = Window.partitionBy(*key).orderBy("__seen", name)
     return first.select(*key, name, F.row_number().over(along).alias("place"))
+
+
+#: Verbs of speech, as lemmas.
+SPEECH_VERBS = (
+    "say", "tell", "ask", "reply", "shout", "whisper", "exclaim", "mutter", "state", "declare", "respond", "add", "continue",
+    "begin", "murmur", "interject", "question", "answer", "stammer", "insist", "suggest", "warn",
+)
+_IRREGULAR = {"say": "said", "tell": "told", "begin": "began"}
+
+
+def _past(verb: str) -> str:
+    if verb in _IRREGULAR:
+        return _IRREGULAR[verb]
+    if verb.endswith("e"):
+        return verb + "d"
+    return verb[:-1] + "ied" if verb.endswith("y") and verb[-2] not in "aeiou" else verb + "ed"
+
+
+def speech_pattern() -> str:
+    """A verb of speech in past or present tense (a rule in place of a lemmatizer)."""
+    return "(?:" + "|".join(f"{_past(v)}|{v}s" for v in SPEECH_VERBS) + ")"
+
+
+def quoted_speakers(sentences: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Who speaks in a quoted sentence: a capitalised name before or after a verb of speech.
+
+    A sentence without a quotation mark has no speaker; the name after the verb comes first.
+    """
+    name, verb = r"(\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?)", speech_pattern()
+    after = F.regexp_extract(text, rf"\b{verb} {name}", 1)
+    before = F.regexp_extract(text, rf"{name} {verb}\b", 1)
+    speaker = F.coalesce(F.nullif(after, F.lit("")), F.nullif(before, F.lit("")))
+    quoted = F.rlike(F.col(text), F.lit("[\"“”«»]"))
+    return sentences.where(quoted & speaker.isNotNull()).select(*key, speaker.alias("speaker"))
+
+
+def tag_pronouns(texts: DataFrame, key: list[str], text: str, names: list[str], pronouns: tuple[str, ...]) -> DataFrame:
+    """``tagged``: each pronoun followed by the last name before it in brackets.
+
+    The text is walked word by word, so a tag is put where its pronoun stands and once;
+    a pronoun before any name stays as it is.  ``names`` is a fixed dictionary of words.
+    """
+    known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
+
+    def step(state, word):  # noqa: ANN001, ANN202
+        bare = F.regexp_replace(word, r"[^\p{L}]", "")
+        tag = F.lower(bare).isin(*pronouns) & state["last"].isNotNull()
+        tagged = F.when(tag, F.concat(word, F.lit(" ["), state["last"], F.lit("]"))).otherwise(word)
+        return F.struct(
+            F.when(F.array_contains(known, bare), bare).otherwise(state["last"]).alias("last"),
+            F.concat(state["out"], F.array(tagged)).alias("out"),
+        )
+
+    walked = F.aggregate(F.split(text, " "), start, step)
+    return texts.select(*key, F.array_join(walked["out"], " ").alias("tagged"))
