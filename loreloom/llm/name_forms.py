@@ -64,14 +64,15 @@ STATEMENTS = tuple(
         r"every member swears by the (?P<t>[\w-]+ [\w-]+)",
     )
 )
-#: One pattern that lets through every statement worth reading; used in the scan.
-EVIDENCE_HINT = (
-    r"(?i)goes\s+by|people\s+use\s+for|they\s+know\s+this|in\s+the\s+old\s+lists|whom\s+most\s+call|works\s+as\s+an?"
-    r"|\sis\s+an?\s.*\sfrom\s|turns\s+up\s+in\s+every|\slives\s+in\s|not\s+much\s+is\s+known|to\s+be\s+more\s+than"
-    r"|has\s+always\s+been|joined\s+late|matters\s+more|people\s+have\s+seen|eyes\s+of\s|person\s+of\s+about|haired\s+and"
-    r"|hair,\s.*looks|its\s+halls|founded\s+near|holds\s+much|its\s+own\s+laws|known\s+for\s+its|outsiders\s+trust"
-    r"|they\s+guard|on\s+their\s+doors|it\s+all\s+began|member\s+swears"
-)
+#: Word sequences of which each of these statements has one; used in the scan.
+_HINTS = (
+    "goes by", "people use", "they know this", "in the old", "whom most", "works as", "is an?", "once an?", "lives in",
+    "much is known", "be more than", "has always", "joined late", "matters more", "have seen", "eyes of", "person of",
+    "haired and", "eyes; looks", "its halls", "founded near", "holds much", "its own", "known for", "outsiders trust",
+    "they guard", "on their doors", "all began", "member swears",
+)
+#: One pattern that lets through every statement worth reading (white space of any kind).
+EVIDENCE_HINT = rf"(?i)\b(?:{'|'.join(_HINTS)})[^a-z]".replace(" ", r"[\s\xa0]+")
 
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _QUOTED = re.compile(r"['\"‘’“”«»]\s*([^'\"‘’“”«»]+?)\s*['\"‘’“”«»]")
@@ -150,7 +151,8 @@ def read_evidence(statements: Iterable[str], lexicon: Lexicon) -> tuple[list[str
 
 def _edits(a: str, b: str, most: int) -> int:
     """Damerau-Levenshtein distance (neighbouring letters may swap), or ``most + 1``."""
-    if abs(len(a) - len(b)) > most:
+    # An edit changes at most two letters of the sets, so sets further apart need no table.
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -178,16 +179,18 @@ def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFr
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         comparer = Comparer(lexicon)
 
-        def rarity_of(*texts: str) -> dict[str, Rarity]:
-            parts = (item.rsplit(":", 2) for text in texts for item in text.split(" "))
-            return {token: Rarity(int(n), int(w)) for token, n, w in parts}
+        @lru_cache(maxsize=100_000)
+        def facts_of(form: str, rarity: str) -> tuple[tuple[str, ...], dict[str, Rarity]]:
+            parts = (item.rsplit(":", 2) for item in rarity.split(" "))
+            return tuple(form.split(" ")), {token: Rarity(int(n), int(w)) for token, n, w in parts}
 
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                likeness = comparer.forms(tuple(r.form.split(" ")), tuple(r.form_g.split(" ")), rarity_of(r.rarity, r.rarity_g))
+            for f, g, form, rarity, form_g, rarity_g in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+                (one, known), (other, known_g) = facts_of(form, rarity), facts_of(form_g, rarity_g)
+                likeness = comparer.forms(one, other, known | known_g)
                 if likeness >= SUPPORTED:
-                    rows.append((r.f, r.g, likeness))
+                    rows.append((f, g, likeness))
             yield pd.DataFrame(rows, columns=["f", "g", "likeness"])
 
     columns = joined.select("f", "g", "form", "rarity", "form_g", "rarity_g")
