@@ -261,8 +261,8 @@ def interval_tagging_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalogue.add(
     sql=f"""WITH {CONV} SELECT conv_id, message_idx,
-          1 + sum(CASE WHEN length(text) > 300 THEN 1 ELSE 0 END) OVER w AS scene_number,
-          1 + sum(CASE WHEN length(text) > 1200 THEN 1 ELSE 0 END) OVER w AS chapter_number
+          (1 + sum(CASE WHEN length(text) > 300 THEN 1 ELSE 0 END) OVER w)::BIGINT AS scene_number,
+          (1 + sum(CASE WHEN length(text) > 1200 THEN 1 ELSE 0 END) OVER w)::BIGINT AS chapter_number
         FROM conv WINDOW w AS (PARTITION BY conv_id ORDER BY message_idx ROWS UNBOUNDED PRECEDING)"""
 )
 def scene_counter(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +27,7 @@ from loreloom.operators.maintenance import (
 from loreloom.plans.conversation import CONV, conversations
 from loreloom.plans.registry import Catalogue
 from loreloom.schema.story import STORY, field_table
+from loreloom.session import shared_folder
 from loreloom.sources.tables import table
 from loreloom.streaming.events import (
     client_percent,
@@ -261,9 +260,8 @@ def event_fold_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the session's checkpoint folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loreloom-{os.getpid()}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the folder all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @catalogue.add(sql=_SESSION_STATE)
@@ -332,7 +330,7 @@ def elapsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalogue.add(
-    sql=f"""WITH {_STATUS} SELECT session, seq, sum(CASE WHEN type = 'session_start' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS epoch FROM status"""
+    sql=f"""WITH {_STATUS} SELECT session, seq, (sum(CASE WHEN type = 'session_start' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS epoch FROM status"""
 )
 def event_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return with_epoch(status_events(spark, sf)).select("session", "seq", "epoch")

@@ -31,20 +31,25 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    that names none gets a temporary one; on a cluster a missing setting is an error.
+    Only a local session that names none gets a temporary one; on a cluster a missing
+    setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = context.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix=f"loreloom-{os.getpid()}-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            master = context.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix=f"loreloom-{os.getpid()}-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder (see ``shared_folder``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
