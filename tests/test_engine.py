@@ -9,7 +9,7 @@ from loreloom.operators.conversation import first_by_text, interval_tags, messag
 from loreloom.operators.graph import closure, overridden_edges
 from loreloom.operators.knowledge import apply_patches, expand_list, leaf_table, pack_list
 from loreloom.operators.maintenance import closes, gate_rejects, query_rejects, run_actions
-from loreloom.operators.mentions import whole_word_mentions
+from loreloom.operators.mentions import quoted_speakers, speaker_lines, tag_pronouns, whole_word_mentions
 from loreloom.operators.vectors import cosine_topk
 from loreloom.streaming.events import phase_states, session_states, throttled, weighted_progress
 
@@ -75,6 +75,21 @@ def test_mentions_are_whole_words(spark):
     assert got == {("Ann-Marie met Bob.", n) for n in ("Ann", "BOB", "ann marie")} | {("Annex (bob)", "BOB")}
 
 
+def test_speakers(spark):
+    df = spark.createDataFrame(
+        [(1, '"Go," said Ann Bell.'), (2, 'Bob asked "why"'), (3, "Ann said nothing"), (4, None), (5, '"Nobody"')], "i int, text string"
+    )
+    assert {(r.i, r.speaker) for r in quoted_speakers(df, ["i"], "text").collect()} == {(1, "Ann Bell"), (2, "Bob")}
+    lines = spark.createDataFrame([(1, "Ann: hi\nnote: no\n Bob Lee : yes"), (2, None), (3, "")], "i int, text string")
+    assert {(r.line_no, r.speaker) for r in speaker_lines(lines, ["i"], "text").collect()} == {(1, "Ann"), (3, "Bob Lee")}
+
+
+def test_pronouns_are_tagged_where_they_stand(spark):
+    df = spark.createDataFrame([(1, "She saw Ann. Then she, and Bob: he left she"), (2, None), (3, "")], "i int, text string")
+    got = {r.i: r.tagged for r in tag_pronouns(df, ["i"], "text", ["Ann", "Bob"], ("he", "she")).collect()}
+    assert got == {1: "She saw Ann. Then she, [Ann] and Bob: he [Bob] left she [Bob]", 2: None, 3: ""}
+
+
 def test_closure_ends_on_cycles(spark):
     seeds = spark.createDataFrame([("g", "a"), ("h", "x")], "g string, node string")
     edges = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "c", "a"), ("h", "q", "r")], "g string, src string, dst string")
