@@ -45,6 +45,8 @@ _SENTENCE_END = r"[.!?…][\"'”’»)\]]*\s*$"
 _SENTENCE_MARK = r"(?<=[\p{L}\p{N}\"'”’»)\]])[.!?…]+[\"'”’»)\]]*(?:\s|$)"
 #: Plain characters, taken out in runs before others are counted among the rest.
 _PLAIN = r"[a-zA-Z0-9\s]+"
+#: Any character that is not a space of some kind; a text without one is blank.
+_INK = r"[^\s\p{Z}\x{85}]"
 _ODD = r"[^\p{L}\p{N}\s.,;:!?'\"()“”‘’«»¿¡…–—-]"
 #: Stands for a common word while runs of them are counted.
 _KNOWN = "\x01"
@@ -141,7 +143,7 @@ def text_statistics(documents: DataFrame, id_column: str, text_column: str, comm
     counted = base.select(
         "*",
         F.regexp_replace("__low", known, _KNOWN).alias("__masked"),
-        (F.length("__t") - count(r"\s")).alias("n_chars"),
+        F.when(F.rlike("__t", F.lit(_INK)), F.length("__t") - count(r"\s")).otherwise(0).alias("n_chars"),
         F.regexp_replace("__t", _PLAIN, "").alias("__rest"),
         n_words.alias("n_words"),
         F.size(F.array_distinct(pairs)).alias("distinct_pairs"),
@@ -198,32 +200,41 @@ def _loops() -> Column:
     return (_c("repeat_share") > 0.75) & (_c("distinct_pairs") < 150)
 
 
+def _symbols_only() -> Column:
+    """Neither letter nor digit: such a text is no prose, and its bars and dashes hold no list or table."""
+    return (_c("n_chars") > 0) & (_c("n_words") == 0)
+
+
 LABELLING_FUNCTIONS = (
-    LabellingFunction("prose_marks", "prose", lambda: _c("mark_rate").between(0.02, 0.34) & ~_loops()),
-    LabellingFunction("prose_words", "prose", lambda: _c("common_share").between(0.2, 0.64) & ~_loops()),
-    LabellingFunction("prose_lines", "prose", lambda: (_c("end_line_share") >= 0.4) & ~_loops()),
+    LabellingFunction("prose_marks", "prose", lambda: _c("mark_rate").between(0.02, 0.34) & ~_loops() & ~_symbols_only()),
+    LabellingFunction("prose_words", "prose", lambda: _c("common_share").between(0.2, 0.64) & ~_loops() & ~_symbols_only()),
+    LabellingFunction("prose_lines", "prose", lambda: (_c("end_line_share") >= 0.4) & ~_loops() & ~_symbols_only()),
     LabellingFunction(
         "prose_shape",
         "prose",
         lambda: (_c("list_share") + _c("table_share") + _c("machine_share") + _c("short_share") < 0.3)
         & (_c("odd_share") < 0.03)
         & ((_c("separator_rate") < 0.1) | (_c("mark_rate") > 0.03))
-        & ~_loops(),
+        & ~_loops() & ~_symbols_only(),
+    ),
+    LabellingFunction("list_items", "list", lambda: (_c("list_share") > 0.5) & ~_symbols_only()),
+    LabellingFunction("list_short", "list", lambda: (_c("short_share") > 0.5) & ~_symbols_only(), 0.3),
+    LabellingFunction(
+        "list_some", "list", lambda: (_c("list_share") + _c("short_share") > 0.5) & ~_symbols_only()
     ),
-    LabellingFunction("list_items", "list", lambda: _c("list_share") > 0.5),
-    LabellingFunction("list_short", "list", lambda: _c("short_share") > 0.5, 0.3),
-    LabellingFunction("list_some", "list", lambda: _c("list_share") + _c("short_share") > 0.5),
     LabellingFunction(
         "list_inline",
         "list",
         lambda: (_c("separator_rate") > 0.08) & (_c("mark_rate") < 0.03) & (_c("table_share") < 0.5),
         0.2,
     ),
-    LabellingFunction("table_rows", "table", lambda: _c("table_share") > 0.5),
+    LabellingFunction("table_rows", "table", lambda: (_c("table_share") > 0.5) & ~_symbols_only()),
     LabellingFunction("table_digits", "table", lambda: (_c("table_share") > 0.3) & (_c("digit_share") > 0.03), 0.4),
-    LabellingFunction("table_plain", "table", lambda: (_c("table_share") > 0.5) & (_c("mark_rate") < 0.02), 0.6),
+    LabellingFunction("table_plain", "table", lambda: (_c("table_share") > 0.5) & (_c("mark_rate") < 0.02) & ~_symbols_only(), 0.6),
     LabellingFunction("junk_machine", "junk", lambda: _c("machine_share") > 0.5, 0.3),
-    LabellingFunction("junk_symbols", "junk", lambda: (_c("odd_share") > 0.2) & (_c("table_share") < 0.5), 0.3),
+    LabellingFunction(
+        "junk_symbols", "junk", lambda: ((_c("odd_share") > 0.2) & (_c("table_share") < 0.5)) | _symbols_only(), 0.3
+    ),
     LabellingFunction("junk_foreign", "junk", lambda: (_c("foreign_share") > 0.25) & (_c("common_share") < 0.1), 0.3),
     LabellingFunction("junk_loops", "junk", lambda: _loops() & (_c("n_words") >= 6), 0.3),
     LabellingFunction(
@@ -301,16 +312,16 @@ def with_votes(statistics: DataFrame) -> DataFrame:
 
 def vote_patterns(votes: DataFrame) -> dict[tuple[bool, ...], int]:
     """Documents by vote pattern.  Patterns are at most 2^functions and in fact few;
-    the count runs over all documents that have words, combined before the shuffle."""
+    the count runs over all documents that are not blank, combined before the shuffle."""
     names = [f"vote_{f.name}" for f in LABELLING_FUNCTIONS]
-    counted = votes.where(F.col("n_words") > 0).groupBy(*names).count().collect()
+    counted = votes.where(F.col("n_chars") > 0).groupBy(*names).count().collect()
     return {tuple(bool(r[n]) for n in names): r["count"] for r in counted}
 
 
 def text_types(votes: DataFrame, model: TypeModel) -> DataFrame:
     """``votes`` with the posterior of each type (``p_...``) and the likeliest ``text_type``.
 
-    A document without words has type null.
+    A null or blank document has type null; one of symbols alone has a type.
     """
     scores = []
     for t in TYPES:
@@ -330,5 +341,5 @@ def text_types(votes: DataFrame, model: TypeModel) -> DataFrame:
     return scored.select(
         *votes.columns,
         *[F.get("__p", F.lit(i)).alias(f"p_{t}") for i, t in enumerate(TYPES)],
-        F.when(F.col("n_words") > 0, best).alias("text_type"),
+        F.when(F.col("n_chars") > 0, best).alias("text_type"),
     )

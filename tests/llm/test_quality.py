@@ -64,3 +64,17 @@ def test_em_recovers_hidden_rates():
     assert abs(model.prior["prose"] - 0.6) < 0.03
     for f in LABELLING_FUNCTIONS:
         assert abs(model.rate[f.name][f.target] - 0.9) < 0.06
+
+
+def test_symbols_without_words_are_junk_and_blank_texts_are_not(spark):
+    noise = ["=+_#*|-#/::_=+", "|*//^/+_#|.#+~\n#~#-|=|~~-*-^^/~-#\n|-|-|", "- #\n- *\n- ~", "|---|---|\n|---|---|", "...!!"]
+    blank = [None, "", " \n", "\u00a0\u3000\n"]
+    texts = [PROSE] * 8 + [t for t, kind in TEXTS.values() if kind] + noise + blank
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    votes = with_votes(text_statistics(df, "doc_id", "text", COMMON)).cache()
+    patterns = vote_patterns(votes)
+    assert sum(patterns.values()) == len(texts) - len(blank)
+    types = {r.doc_id: r.text_type for r in text_types(votes, fit_type_model(patterns)).collect()}
+    first = len(texts) - len(noise) - len(blank)
+    assert [types[first + i] for i in range(len(noise))] == ["junk"] * len(noise)
+    assert [types[len(texts) - 1 - i] for i in range(len(blank))] == [None] * len(blank)
