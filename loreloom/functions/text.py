@@ -62,11 +62,11 @@ def strip_thinking(text: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    """The inside of the first fenced block, else of a triple-quoted one, else the span
-    from the first to the last brace, else the text."""
-    hit = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    """The inside of the first fenced block, as it stands after the opening line, else of a
+    triple-quoted one, else the span from the first to the last brace, else the text."""
+    hit = lambda pattern: F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
     return F.coalesce(
-        hit(r"(?s)```(?:[A-Za-z]*)\s*\n?(.*?)```"),
+        hit(r"(?s)```(?:[A-Za-z]*)[ \t]*(?:\r?\n)?(.*?)```"),
         hit(r'(?s)"""(.*?)"""'),
         hit(r"(?s)(\{.*\})"),
         text,

@@ -359,6 +359,18 @@ def strip_fence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@catalogue.add()
+def strip_fence_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text that is not null, as it stands: within fences, within triple quotes and bare."""
+    rows = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    return rows.select(
+        "doc_id",
+        strip_fences(F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).alias("fenced"),
+        strip_fences(F.concat(F.lit('"""'), "text", F.lit('"""'))).alias("quoted"),
+        strip_fences(F.col("text")).alias("bare"),
+    )
+
+
 @catalogue.add(sql="SELECT doc_id, source || chr(10) || coalesce(section, '') AS text FROM documents WHERE source IS NOT NULL")
 def strip_marker(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").where(F.col("source").isNotNull())

@@ -37,6 +37,42 @@ def test_strip_fences(spark, text, expected):
     assert one(spark, X.strip_fences, text) == expected
 
 
+def _unfenced(text):
+    """Brute force by plain search."""
+    at = text.find("```")
+    end = -1
+    if at >= 0:
+        start = at + 3
+        while start < len(text) and text[start].isascii() and text[start].isalpha():
+            start += 1
+        while start < len(text) and text[start] in " \t":
+            start += 1
+        start += 2 if text[start : start + 2] == "\r\n" else text[start : start + 1] == "\n"
+        end = text.find("```", start)
+    if end >= 0:
+        return text[start:end]
+    at = text.find('"""')
+    end = text.find('"""', at + 3) if at >= 0 else -1
+    if end >= 0:
+        return text[at + 3 : end]
+    at, end = text.find("{"), text.rfind("}")
+    return text[at : end + 1] if 0 <= at < end else text
+
+
+def test_fences_of_every_text_equal_brute_force(spark, tmp_path):
+    from loreloom.plans.conversation import strip_fence_whole
+
+    texts = [
+        "He went.", "  indented\n\ttext ", "\n\nlate", "", " ", "1. a", 'a "quoted" word"', '"all"', "a {b} c } d", "x ``` y", "x ```py\nz\n``` y",
+        'a """b""" c', '""""""', "``````", "{", "}{", "\u2028line {é}\r\nend", "``` \r\n a```", "a`b``c", None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: (r.fenced, r.quoted, r.bare) for r in strip_fence_whole(spark, str(tmp_path)).collect()}
+    assert rows == {
+        i: (_unfenced(f"```json\n{t}\n```"), _unfenced(f'"""{t}"""'), _unfenced(t)) for i, t in enumerate(texts) if t is not None
+    }
+
+
 def test_tool_calls(spark):
     call = "x <tool_call>name: kb.get\narguments: {}</tool_call>"
     assert one(spark, X.tool_call, call.format('{"a": 1}')).arguments == '{"a": 1}'
