@@ -392,6 +392,13 @@ def meaningful_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", meaningful_paragraphs(F.col("text")).alias("text"))
 
 
+@catalogue.add()
+def meaningful_paragraph_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text that is not null; a carriage return ends a line, with or without a line feed."""
+    rows = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    return rows.select("doc_id", meaningful_paragraphs(F.regexp_replace("text", r"\r\n?", "\n")).alias("text"))
+
+
 @catalogue.add(
     sql=rf"""WITH {CONV} SELECT conv_id, message_idx, message_idx % 3 = 0 AS is_scene, message_idx % 3 = 1 AS is_chapter,
           message_idx % 3 = 2 AS is_arc, ltrim(regexp_replace(regexp_replace(text, '(?i)^The\s*', ''), '(?i)^"\s*', ''), ' ') AS rest

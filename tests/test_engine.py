@@ -73,6 +73,17 @@ def test_fences_of_every_text_equal_brute_force(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_meaningful_paragraphs_with_any_line_end(spark, tmp_path, end):
+    from loreloom.plans.conversation import meaningful_paragraph_whole
+
+    texts = ["**Title**\n\nHe went\nhome.\n\n# Head\n\n\"Quoted.\"\n\nThe places:\n\nSure, here it is.\n\nEnd.", "One line", "", None]
+    rows = [(i, t and t.replace("\n", end)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r.doc_id: r.text for r in meaningful_paragraph_whole(spark, str(tmp_path)).collect()}
+    assert kept == {0: "He went\nhome.\n\nQuoted.\n\nEnd.", 1: "One line", 2: ""}
+
+
 def test_tool_calls(spark):
     call = "x <tool_call>name: kb.get\narguments: {}</tool_call>"
     assert one(spark, X.tool_call, call.format('{"a": 1}')).arguments == '{"a": 1}'
