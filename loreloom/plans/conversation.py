@@ -427,6 +427,14 @@ def preview_truncate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@catalogue.add(
+    sql="""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe
+        FROM documents"""
+)
+def escape_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", escape_html(F.col("text")).alias("safe"))
+
+
 @catalogue.add(
     sql="""SELECT event_id, 'kb.' || event_type AS name, CASE WHEN event_type = 'error' THEN '{}' ELSE props END AS arguments FROM events"""
 )

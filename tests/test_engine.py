@@ -84,6 +84,17 @@ def test_meaningful_paragraphs_with_any_line_end(spark, tmp_path, end):
     assert kept == {0: "He went\nhome.\n\nQuoted.\n\nEnd.", 1: "One line", 2: ""}
 
 
+def test_whole_texts_are_escaped(spark, tmp_path):
+    import html
+
+    from loreloom.plans.conversation import escape_whole
+
+    texts = ["x" * 100 + "<b a=\"1\">&'" + "y" * 300 + "<", "&lt;", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    safe = {r.doc_id: r.safe for r in escape_whole(spark, str(tmp_path)).collect()}
+    assert safe == {i: t if t is None else html.escape(t) for i, t in enumerate(texts)}
+
+
 def test_tool_calls(spark):
     call = "x <tool_call>name: kb.get\narguments: {}</tool_call>"
     assert one(spark, X.tool_call, call.format('{"a": 1}')).arguments == '{"a": 1}'
