@@ -328,6 +328,55 @@ def tag_chunk(spark: SparkSession, sf: str) -> DataFrame:
     return tag_chunks(stored.drop("text"), fresh, ["conv_id", "message_idx"], ["state"])
 
 
+SUMMARIES = """summaries AS (
+  SELECT DISTINCT context_id AS conv_id, (i - 1) || '_summary' AS node, (i - 1)::INT AS message_idx, messages[i] AS text
+  FROM (SELECT context_id, messages, messages_metadata, unnest(range(1, len(messages) + 1)) AS i FROM retrieval_contexts)
+  WHERE messages[i] IS NOT NULL AND messages_metadata[i].is_summary)"""
+_KEPT = f"""{CHUNKS}, {SUMMARIES}, stored AS (SELECT conv_id, node, message_idx, text, 'old' AS state FROM chunks),
+    fresh AS (SELECT *, 'new' AS state FROM summaries)"""
+_UNTOUCHED = """SELECT * FROM stored s WHERE NOT EXISTS (
+        SELECT 1 FROM fresh f WHERE f.conv_id = s.conv_id AND f.message_idx = s.message_idx)"""
+
+
+def summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole texts of the messages whose metadata calls them summaries, distinct."""
+    rows = table(spark, sf, "retrieval_contexts").select(
+        F.col("context_id").alias("conv_id"), F.posexplode("messages").alias("message_idx", "text"), "messages_metadata"
+    )
+    rows = rows.where(F.col("text").isNotNull() & F.get("messages_metadata", F.col("message_idx"))["is_summary"])
+    node = F.concat(F.col("message_idx").cast("string"), F.lit("_summary"))
+    return rows.select("conv_id", node.alias("node"), "message_idx", "text").distinct()
+
+
+def _stored_and_summaries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    stored = sentence_chunks(conversations(spark, sf)).select("conv_id", "node", "message_idx", "text", F.lit("old").alias("state"))
+    return stored, summaries(spark, sf).withColumn("state", F.lit("new"))
+
+
+@catalogue.add(sql=f"WITH {_KEPT} {_UNTOUCHED} UNION ALL SELECT * FROM fresh")
+def upsert_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert_chunks(*_stored_and_summaries(spark, sf), ["conv_id", "message_idx"])
+
+
+@catalogue.add(sql=f"WITH {_KEPT} {_UNTOUCHED}")
+def delete_summarized(spark: SparkSession, sf: str) -> DataFrame:
+    return delete_chunks(*_stored_and_summaries(spark, sf), ["conv_id", "message_idx"])
+
+
+@catalogue.add(
+    sql=f"""WITH {_KEPT} SELECT s.conv_id, s.node, s.message_idx, coalesce(f.state, s.state) AS state
+        FROM stored s LEFT JOIN fresh f ON f.conv_id = s.conv_id AND f.message_idx = s.message_idx"""
+)
+def tag_summarized(spark: SparkSession, sf: str) -> DataFrame:
+    stored, fresh = _stored_and_summaries(spark, sf)
+    return tag_chunks(stored.drop("text"), fresh, ["conv_id", "message_idx"], ["state"])
+
+
+@catalogue.add(sql=f"WITH {SUMMARIES} SELECT *, 'System' AS speaker, true AS is_summary FROM summaries")
+def summary_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries(spark, sf).select("*", F.lit("System").alias("speaker"), F.lit(True).alias("is_summary"))
+
+
 @catalogue.add(
     sql=f"""WITH {CONV} SELECT conv_id, message_idx, trim(split_part(c, '</think>', 2), chr(32) || chr(10) || chr(13) || chr(9) || chr(11) || chr(12)) AS closed, '' AS unclosed, text_trim AS lone
         FROM (SELECT conv_id, message_idx, '<think>' || message_idx || '</think>' || replace(text, '<', '(') AS c,

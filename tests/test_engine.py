@@ -95,6 +95,21 @@ def test_whole_texts_are_escaped(spark, tmp_path):
     assert safe == {i: t if t is None else html.escape(t) for i, t in enumerate(texts)}
 
 
+def test_summaries_come_from_metadata_as_whole_texts(spark, tmp_path):
+    from loreloom.plans import conversation as C
+
+    long = "It was over. " * 30 + "End."
+    rows = [(1, ["A. B.", long, None, "C."], [(False,), (True,), (True,), None])] * 2 + [(2, ["D.", "E."], [(None,)]), (3, ["F."], None)]
+    df = spark.createDataFrame(rows, "context_id bigint, messages array<string>, messages_metadata array<struct<is_summary: boolean>>")
+    df.write.parquet(str(tmp_path / "retrieval_contexts.parquet"))
+    run = lambda query: query(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in run(C.summary_whole)] == [(1, "1_summary", 1, long, "System", True)]
+    kept = {(1, "A."), (1, "B."), (1, "C."), (2, "D."), (2, "E."), (3, "F.")}
+    assert {(r.conv_id, r.text) for r in run(C.delete_summarized)} == kept
+    assert {(r.conv_id, r.text) for r in run(C.upsert_summary)} == kept | {(1, long)}
+    assert {(r.conv_id, r.message_idx) for r in run(C.tag_summarized) if r.state == "new"} == {(1, 1)}
+
+
 def test_tool_calls(spark):
     call = "x <tool_call>name: kb.get\narguments: {}</tool_call>"
     assert one(spark, X.tool_call, call.format('{"a": 1}')).arguments == '{"a": 1}'
