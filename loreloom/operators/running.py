@@ -25,3 +25,25 @@ def running_sum(rows: DataFrame, group: list[str], order: Column, value: Column,
     inside = Window.partitionBy(*group, "__block").orderBy("__order").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.join(offsets, [*group, "__block"]).withColumn(name, F.col("__offset") + F.sum("__value").over(inside))
     return summed.select(*[c for c in rows.columns if c != name], name)
+
+
+#: Keys with more than this share of all rows are split; there can be fewer than 2,048 of them.
+HOT_SHARE = 1 / 2_048
+
+
+def with_salt(rows: DataFrame, counted: DataFrame, key: str, spread: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: a part number that splits the rows of a hot ``key`` by the hash of ``spread``.
+
+    ``counted`` is a table with ``key`` that says how hot a key is (say, the source of ``rows``).  A key with
+    a share of n times ``HOT_SHARE`` has n parts, rounded up, any other one part (number 0).  The hot
+    keys are broadcast; their number is bounded by the share, whatever the size of the data.
+    """
+    total = counted.count()
+    hot = (
+        counted.groupBy(F.col(key).alias(key))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > F.lit(total * HOT_SHARE))
+        .select(key, F.ceil(F.col("__rows") / F.lit(total * HOT_SHARE)).alias("__parts"))
+    )
+    part = F.pmod(F.xxhash64(*spread), F.col("__parts"))
+    return rows.join(F.broadcast(hot), key, "left").select(*rows.columns, F.coalesce(part, F.lit(0).cast("long")).alias(name))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.operators.snapshots import latest_delivery, snapshot_neighbours
+from loreloom.operators.running import with_salt
+from loreloom.operators.snapshots import latest_delivery, snapshot_neighbours, with_neighbours
 
 #: Mean rows of a chunk: a key begins a chunk if its hash is divisible by this.
 MEAN_CHUNK = 8
-#: Rows of one snapshot from which its key range is split by the key's first characters.
-SPLIT_ROWS = 200_000
-SPLIT_PREFIX = 2
+#: Consecutive sequence numbers of a session that share a task.
+BLOCK_BITS = 10
 
 
 def _begins_chunk(key: Column) -> Column:
@@ -39,9 +39,14 @@ def snapshot_changes(
 
     A snapshot sorted by key is cut where a key's hash says so, hence equal stretches
     of two snapshots give equal chunks wherever they lie.  Chunks whose begin and
-    digest recur in the neighbouring snapshot hold the same rows and are discarded; a
-    full outer join of the rows left over classifies them.  A snapshot of more than
-    ``SPLIT_ROWS`` rows is cut by key prefix too, so that no task sorts all of it.
+    digest recur in the neighbouring snapshot hold the same rows and are discarded; the
+    rows left over are joined on their key to classify them.
+
+    Rows move twice: to find the valid delivery of a row (combined on the map side), and to bring
+    2^10 consecutive snapshots of a session together; chunking, discarding and joining then run
+    where the rows are.  A session that holds much of the data is salted by key over as many parts as
+    its share asks for, and each part is sorted and cut by itself.  A row whose next snapshot begins
+    another block goes to both.
 
     Defined cases: an empty table or a session with one snapshot gives no rows; rows
     with a null in series, seq or key are dropped; of repeated deliveries the last
@@ -50,6 +55,9 @@ def snapshot_changes(
     names = {c: f"__g{i}" for i, c in enumerate(series)}
     group = list(names.values())
     session_col = names[session]
+    around, count, _ = snapshot_neighbours(
+        snapshots.select(F.col(session).alias(session_col), F.col(seq).alias("__q")), session_col, "__q"
+    )
     facts = latest_delivery(
         rows.select(
             *[F.col(c).alias(n) for c, n in names.items()],
@@ -62,15 +70,28 @@ def snapshot_changes(
         "__at",
         "__digest",
     )
-    largest = rows.groupBy(*series, seq).count().agg(F.max("count")).first()[0] or 0
-    part = F.substring("__k", 1, SPLIT_PREFIX) if largest > SPLIT_ROWS else F.lit("")
-    facts = facts.withColumn("__part", part)
 
-    sorted_keys = Window.partitionBy(*group, "__q", "__part").orderBy("__k")
-    begin = F.last(F.when(_begins_chunk(F.col("__k")), F.col("__k")), ignorenulls=True).over(sorted_keys)
+    def block(number: str) -> Column:
+        return F.shiftright(F.col(number).cast("long"), BLOCK_BITS)
+
+    # A row is the later side of its own snapshot's pair and the earlier side of the next pair.
+    homes = F.array_distinct(
+        F.array_compact(F.array(F.when(F.col("prev_seq").isNotNull(), block("__q")), block("next_seq")))
+    )
+    home = [session_col, "__part", "__block"]
+    sessions = rows.select(F.col(session).alias(session_col))
+    placed = (
+        with_salt(with_neighbours(facts, around, count, [session_col, "__q"]), sessions, session_col, ["__k"], "__part")
+        .select("*", F.explode(homes).alias("__block"))
+        .repartition(*home)
+    )
+    snapshot = [*dict.fromkeys([*home, *group]), "__q"]
+    begin = F.last(F.when(_begins_chunk(F.col("__k")), F.col("__k")), ignorenulls=True).over(
+        Window.partitionBy(*snapshot).orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     chunks = (
-        facts.withColumn("__begin", F.coalesce(begin, F.lit("")))
-        .groupBy(*group, "__q", "__part", "__begin")
+        placed.withColumn("__begin", F.coalesce(begin, F.lit("")))
+        .groupBy(*snapshot, "prev_seq", "next_seq", "__begin")
         .agg(
             F.count(F.lit(1)).alias("__n"),
             F.bit_xor(F.xxhash64("__k", "__digest")).alias("__sum"),
@@ -78,47 +99,36 @@ def snapshot_changes(
             F.collect_list(F.struct("__k", "__digest")).alias("__rows"),
         )
     )
-    around = snapshot_neighbours(
-        snapshots.select(F.col(session).alias(session_col), F.col(seq).alias("__q")), session_col, "__q"
-    )
-    placed = chunks.join(around, [session_col, "__q"])
-    # A chunk is the later side of its own snapshot's pair and the earlier side of the next pair.
-    sides = placed.select(
-        *group,
-        "__part",
-        "__begin",
-        "__n",
-        "__sum",
-        "__sum2",
-        "__rows",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(
-                        F.when(F.col("prev_seq").isNotNull(), F.col("__q")).alias("pair"), F.lit(True).alias("later")
-                    ),
-                    F.struct(F.col("next_seq").alias("pair"), F.lit(False).alias("later")),
-                ),
-                lambda s: s["pair"].isNotNull(),
-            )
-        ).alias("__side"),
-    )
+    pair = [*dict.fromkeys([*home, *group]), "__pair"]
+    later = F.when(F.col("prev_seq").isNotNull() & (block("__q") == F.col("__block")), F.col("__q"))
+    earlier = F.when(block("next_seq") == F.col("__block"), F.col("next_seq"))
     unmatched = (
-        sides.groupBy(*group, F.col("__side.pair").alias("__pair"), "__part", "__begin", "__n", "__sum", "__sum2")
+        chunks.select(
+            *snapshot,
+            "__begin",
+            "__n",
+            "__sum",
+            "__sum2",
+            "__rows",
+            F.posexplode(F.array(later, earlier)).alias("__earlier", "__pair"),
+        )
+        .where(F.col("__pair").isNotNull())
+        .groupBy(*pair, "__begin", "__n", "__sum", "__sum2")
         .agg(
             F.count(F.lit(1)).alias("__copies"),
-            F.first("__side.later").alias("__later"),
+            F.first("__earlier").alias("__earlier"),
             F.first("__rows").alias("__rows"),
         )
         .where(F.col("__copies") == 1)
-        .select(*group, "__pair", "__later", F.inline("__rows"))
+        .select(*pair, "__earlier", F.inline("__rows"))
     )
-    on = [*group, "__pair", "__k"]
-    later = unmatched.where("__later").select(*on, F.col("__digest").alias("__new"), F.lit(True).alias("__in_new"))
-    earlier = unmatched.where(~F.col("__later")).select(
-        *on, F.col("__digest").alias("__old"), F.lit(True).alias("__in_old")
+    is_new = F.col("__earlier") == 0
+    joined = unmatched.groupBy(*pair, "__k").agg(
+        F.max(F.when(is_new, F.lit(True))).alias("__in_new"),
+        F.max(F.when(~is_new, F.lit(True))).alias("__in_old"),
+        F.max(F.when(is_new, F.col("__digest"))).alias("__new"),
+        F.max(F.when(~is_new, F.col("__digest"))).alias("__old"),
     )
-    joined = later.join(earlier, on, "full_outer")
     change = (
         F.when(F.col("__in_old").isNull(), "added")
         .when(F.col("__in_new").isNull(), "removed")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreloom.session import cut_lineage
+
 #: Distinct sequence numbers of one block; a block is the unit that is sorted in memory.
 BLOCK_BITS = 10
+#: Most snapshots whose neighbours are broadcast (about 100 bytes each).
+BROADCAST_SNAPSHOTS = 500_000
 
 
 def latest_delivery(rows: DataFrame, key: list[str], loaded: str, payload: str) -> DataFrame:
@@ -24,13 +28,16 @@ def latest_delivery(rows: DataFrame, key: list[str], loaded: str, payload: str)
     return rows.where(known).groupBy(*key).agg(newest["payload"].alias(payload))
 
 
-def snapshot_neighbours(snapshots: DataFrame, session: str, seq: str) -> DataFrame:
+def snapshot_neighbours(
+    snapshots: DataFrame, session: str, seq: str
+) -> tuple[DataFrame, int, tuple[int, int] | None]:
     """For each distinct delivered snapshot its delivered neighbours.
 
-    Returns ``session``, ``seq``, ``prev_seq`` (null for the first) and ``next_seq``
-    (null for the last).  Numbers are first sorted inside blocks of 2^10 consecutive
-    values, which hold at most 1,024 distinct ones whatever a session's size; only
-    block heads meet in a window over the session.
+    Returns a checkpointed table of ``session``, ``seq``, ``prev_seq`` (null for the first) and
+    ``next_seq`` (null for the last), its number of rows, and the least and greatest sequence number
+    (None of an empty table).  Numbers are first sorted inside blocks of 2^10 consecutive values, which
+    hold at most 1,024 distinct ones whatever a session's size; only block heads meet in a window over
+    the session.
     """
     block = F.shiftright(F.col(seq).cast("long"), BLOCK_BITS)
     blocks = (
@@ -46,7 +53,7 @@ def snapshot_neighbours(snapshots: DataFrame, session: str, seq: str) -> DataFra
         F.lead(F.element_at("__seqs", 1)).over(along).alias("__after"),
     )
     last = F.size("__seqs")
-    return blocks.select(
+    listed = blocks.select(
         session,
         F.inline(
             F.transform(
@@ -59,19 +66,21 @@ def snapshot_neighbours(snapshots: DataFrame, session: str, seq: str) -> DataFra
             )
         ),
     )
+    known = cut_lineage(listed)
+    count, low, high = known.agg(F.count(F.lit(1)), F.min(seq), F.max(seq)).first()
+    return known, count, None if low is None else (low, high)
+
+
+def with_neighbours(facts: DataFrame, around: DataFrame, count: int, on: list[str]) -> DataFrame:
+    """``facts`` with the neighbours of their snapshots (``count`` rows, see ``snapshot_neighbours``).
+
+    Neighbours are broadcast only up to ``BROADCAST_SNAPSHOTS`` rows, which bounds their size; more
+    are joined by their key, and adaptive execution splits a hot one.
+    """
+    return facts.join(F.broadcast(around) if count <= BROADCAST_SNAPSHOTS else around, on)
 
 
 def union_snapshots(tables: list[DataFrame], session: str, seq: str) -> DataFrame:
     """Snapshots delivered in any of ``tables`` (an empty part of a snapshot has no rows)."""
     parts = [t.select(F.col(session), F.col(seq)) for t in tables]
     return reduce(DataFrame.unionByName, parts)
-
-
-def seq_range(snapshots: DataFrame, seq: str) -> tuple[int, int] | None:
-    """Least and greatest sequence number (one row to the driver), or None of an empty table."""
-    low, high = snapshots.agg(F.min(seq), F.max(seq)).first()
-    return None if low is None else (low, high)
-
-
-def as_long(column: Column) -> Column:
-    return column.cast("long")

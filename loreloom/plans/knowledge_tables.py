@@ -85,7 +85,17 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return _versions(spark, sf)[1]
 
 
-@catalogue.add()
+_P4_ROWS_SQL = f"""
+WITH versions AS ({_P4_SQL}),
+valid AS (
+  SELECT session_id, entry_key, snapshot_seq, arg_max({{'traits': traits, 'attributes': attributes}}, loaded_at) AS held
+  FROM character_states GROUP BY ALL)
+SELECT v.session_id, v.entry_key, valid_from_seq, valid_to_seq, held.traits AS traits, held.attributes AS attributes
+FROM versions v JOIN valid d ON v.session_id = d.session_id AND v.entry_key = d.entry_key AND v.valid_from_seq = d.snapshot_seq
+"""
+
+
+@catalogue.add(sql=_P4_ROWS_SQL)
 def p4_versions(spark: SparkSession, sf: str) -> DataFrame:
     rows, versions = _versions(spark, sf)
     return version_rows(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreloom.functions.statements import statement_digest
-from loreloom.operators import history, snapshot_diff
+from loreloom.operators import history, running, snapshot_diff
 from loreloom.operators.history import attribute_versions, version_rows
 from loreloom.operators.snapshot_diff import snapshot_changes
 from loreloom.operators.snapshots import snapshot_neighbours
@@ -92,9 +92,9 @@ def changes_of(spark, rows):
     )
 
 
-@pytest.mark.parametrize("bits", [1, 6])
-def test_versions_equal_brute_force(spark, monkeypatch, bits):
-    monkeypatch.setattr(history, "ROUND_BITS", bits)
+@pytest.mark.parametrize("levels", [1, 3, 10])
+def test_versions_equal_brute_force(spark, monkeypatch, levels):
+    monkeypatch.setattr(history, "ROUNDS_PER_SHUFFLE", levels)
     rows = random_rows(7)
     snaps = {(r[0], r[1]) for r in rows}
     got = [tuple(r) for r in versions_of(spark, rows).collect()]
@@ -102,6 +102,20 @@ def test_versions_equal_brute_force(spark, monkeypatch, bits):
     assert set(got) == brute_versions(rows, snaps)
 
 
+def test_rounds_are_pairwise_and_logarithmic(spark, monkeypatch):
+    levels = []
+    one_round = history.merge_round
+    monkeypatch.setattr(history, "merge_round", lambda runs, level, home: levels.append(level) or one_round(runs, level, home))
+    rows = [("s", q, "k", NOON, ["same"], "c") for q in range(14)]
+    assert [tuple(r) for r in versions_of(spark, rows).collect()] == [("s", "k", 0, -1)]
+    assert levels == [1, 2, 3, 4]
+    # A round merges pairs: after the first, 14 unit intervals are 7 runs.
+    units = spark.createDataFrame([("k", 0, q, q + 1, q - 1, 7) for q in range(14)], "e string, home long, lo long, hi long, before long, digest long")
+    first = one_round(units, 1, ["e", "home"])
+    assert sorted((r.lo, r.hi) for r in first.collect()) == [(q, q + 2) for q in range(0, 14, 2)]
+    assert sorted((r.lo, r.hi) for r in one_round(first, 2, ["e", "home"]).collect()) == [(0, 4), (4, 8), (8, 12), (12, 14)]
+
+
 def test_versions_of_edge_cases(spark):
     rows = [
         ("s", 5, "k", NOON, ["A"], "c"),
@@ -131,11 +145,13 @@ def test_version_rows_carry_the_payload(spark):
     assert [tuple(r) for r in full.collect()] == [("s", "k", 1, -1, ["A"])]
 
 
-@pytest.mark.parametrize("split", [1, 200_000])
-def test_changes_equal_brute_force(spark, monkeypatch, split):
-    monkeypatch.setattr(snapshot_diff, "SPLIT_ROWS", split)
+@pytest.mark.parametrize(("share", "bits"), [(1 / 12, 2), (1, 10)])
+@pytest.mark.parametrize("prefix", ["", "the same long beginning of every key "])
+def test_changes_equal_brute_force(spark, monkeypatch, share, bits, prefix):
+    monkeypatch.setattr(running, "HOT_SHARE", share)
+    monkeypatch.setattr(snapshot_diff, "BLOCK_BITS", bits)
     monkeypatch.setattr(snapshot_diff, "MEAN_CHUNK", 2)
-    rows = random_rows(11)
+    rows = [(s, q, prefix + k, at, x, c) for s, q, k, at, x, c in random_rows(11)]
     got = [(r.s, r.q, r.k, r.change_kind) for r in changes_of(spark, rows).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_changes(rows, {(r[0], r[1]) for r in rows})
@@ -152,5 +168,5 @@ def test_changes_of_edge_cases(spark):
 def test_neighbours_cross_blocks(spark):
     seqs = [-5, 0, 1023, 1024, 5000, 10**9]
     df = spark.createDataFrame([("s", q) for q in seqs] * 2 + [("s", None), (None, 3)], "s string, q int")
-    got = {r.q: (r.prev_seq, r.next_seq) for r in snapshot_neighbours(df, "s", "q").collect()}
+    got = {r.q: (r.prev_seq, r.next_seq) for r in snapshot_neighbours(df, "s", "q")[0].collect()}
     assert got == {q: (seqs[i - 1] if i else None, seqs[i + 1] if i + 1 < len(seqs) else None) for i, q in enumerate(seqs)}
