@@ -57,7 +57,7 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
            WHERE length(messages[i]) > 1200"""
 )
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _pieces(spark, sf).where("oversized").select("context_id", "ord").distinct()
+    return _pieces(spark, sf).where("n_pieces > 1").select("context_id", "ord").distinct()
 
 
 @catalogue.add()
@@ -65,6 +65,33 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf).dropDuplicates(["context_id", "ord", "piece_no"])
 
 
+@catalogue.add(
+    sql="""SELECT DISTINCT context_id, (i - 1)::INT AS ord, md5(messages[i]) AS digest,
+                  ceil(length(messages[i]) / 1200.0)::BIGINT <= 1 AS whole, TRUE AS fits
+           FROM (SELECT context_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM retrieval_contexts)
+           WHERE messages[i] <> ''"""
+)
+def p2_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item put together again from its pieces: each adds what lies beyond the piece before it."""
+    pieces = p2_pieces(spark, sf)
+    ends = F.transform("p", lambda x: x["start"] + F.char_length(x["text"]))
+    beyond = F.transform(
+        "p",
+        lambda x, i: F.substr(x["text"], F.when(i == 0, 1).otherwise(F.get("ends", i - 1) - x["start"] + 1)),
+    )
+    overlaps = F.transform("p", lambda x, i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1) - x["start"]))
+    fits = F.forall("p", lambda x: F.char_length(x["text"]) <= 1200) & F.forall("overlaps", lambda n: n.between(0, 120))
+    return (
+        pieces.groupBy("context_id", "ord")
+        .agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "text"))).alias("p"), F.max("n_pieces").alias("n"))
+        .withColumn("ends", ends)
+        .withColumn("overlaps", overlaps)
+        .select(
+            "context_id", "ord", F.md5(F.array_join(beyond, "")).alias("digest"), (F.col("n") == 1).alias("whole"), fits.alias("fits")
+        )
+    )
+
+
 @catalogue.add()
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), "doc_id", "text")

@@ -7,6 +7,8 @@ to the right; then the next piece begins an overlap before the cut.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,25 +77,36 @@ class RangeMaximum:
         return int(max(row[i], row[j - (1 << level)])) & ((1 << _INDEX_BITS) - 1)
 
 
-def _hard_cut(text: str, cut: int) -> int:
-    """A cut without a boundary, moved off marks that belong to the letter before."""
+def _belongs_before(text: str, place: int) -> bool:
+    """Whether the character at ``place`` is part of the letter or symbol before it."""
+    code = text[place]
+    return (
+        unicodedata.combining(code) > 0
+        or code in _JOINERS
+        or "\U0001f3fb" <= code <= "\U0001f3ff"
+        or text[place - 1] == "‍"
+    )
+
+
+def _hard_cut(text: str, least: int, cut: int) -> int:
+    """A cut without a boundary, moved left off marks that belong to the letter before.
+
+    Only marks that fill the whole window from ``least`` on are cut apart.
+    """
     place = cut
-    for _ in range(16):
-        code = text[place]
-        if "̀" <= code <= "ͯ" or code in _JOINERS or "\U0001f3fb" <= code <= "\U0001f3ff" or text[place - 1] == "‍":
-            place -= 1
-        else:
-            return place
-    return cut
+    while place >= least and _belongs_before(text, place):
+        place -= 1
+    return place if place >= least else cut
 
 
 def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Begin and end of the pieces of ``text``, in code points.
 
-    A text within the limit is one piece.  A piece is at least half the limit long
-    unless it is the last; it ends at the strongest boundary of that window, else at
-    the limit.  The next begins at the first word in the last ``overlap`` characters
-    before the cut, else exactly ``overlap`` before it.
+    A text within the limit is one piece.  A piece ends at the strongest boundary in the
+    upper half of the permissible lengths; if there is none, at the strongest in the lower
+    half (of pieces longer than the overlap, so that the next one gets on), and only in a
+    text without any boundary there at the limit.  The next begins at the first word in the
+    last ``overlap`` characters before the cut, else exactly ``overlap`` before it.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be below half the limit")
@@ -104,8 +117,14 @@ def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     table = RangeMaximum(strengths, limit + 1)
     pieces, start = [], 0
     while size - start > limit:
-        low, high = np.searchsorted(places, [start + limit // 2, start + limit + 1])
-        cut = int(places[table.best(int(low), int(high))]) if high > low else _hard_cut(text, start + limit)
+        least = start + overlap + 1
+        short, low, high = (int(i) for i in np.searchsorted(places, [least, start + limit // 2, start + limit + 1]))
+        if high > low:
+            cut = int(places[table.best(low, high)])
+        elif low > short:
+            cut = int(places[table.best(short, low)])
+        else:
+            cut = _hard_cut(text, least, start + limit)
         pieces.append((start, cut))
         again = int(np.searchsorted(places, cut - overlap))
         start = int(places[again]) if again < places.size and places[again] < cut else cut - overlap
@@ -146,30 +165,19 @@ def split_items(
         *keep, F.posexplode(items).alias("ord", "__item"), F.col(metadata).alias("__all")
     ).select(*keep, "ord", "__item", F.get("__all", F.col("ord")).alias("metadata"))
     present = exploded.where(F.col("__item").isNotNull() & (F.col("__item") != ""))
-    length = F.char_length("__item")
-    short = present.where(length <= limit).select(
-        *keep,
-        "ord",
-        F.lit(False).alias("oversized"),
-        F.lit(0).alias("piece_no"),
-        F.lit(1).alias("n_pieces"),
-        F.lit(0).alias("start"),
-        F.col("__item").alias("text"),
-        "metadata",
-    )
-    cut = present.where(length > limit).select(
-        *keep, "ord", "metadata", split_pieces(F.col("__item"), limit, overlap).alias("__pieces")
-    )
-    long = cut.select(
-        *keep, "ord", "metadata", F.size("__pieces").alias("n_pieces"), F.posexplode("__pieces").alias("piece_no", "__p")
+    oversized = F.char_length("__item") > limit
+    cut = split_pieces(F.when(oversized, F.col("__item")), limit, overlap)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("__item").alias("piece")))
+    pieces = present.select(*keep, "ord", oversized.alias("oversized"), F.coalesce(cut, whole).alias("__pieces"), "metadata")
+    return pieces.select(
+        *keep, "ord", "oversized", F.size("__pieces").alias("n_pieces"), F.posexplode("__pieces").alias("piece_no", "__p"), "metadata"
     ).select(
         *keep,
         "ord",
-        F.lit(True).alias("oversized"),
+        "oversized",
         "piece_no",
         "n_pieces",
         F.col("__p.start").alias("start"),
         F.col("__p.piece").alias("text"),
         "metadata",
     )
-    return short.unionByName(long)

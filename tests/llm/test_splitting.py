@@ -26,6 +26,7 @@ def brute(text, limit, overlap):
     pieces, start = [], 0
     while len(text) - start > limit:
         window = [p for p in range(start + limit // 2, start + limit + 1) if p in strength]
+        window = window or [p for p in range(start + overlap + 1, start + limit // 2) if p in strength]
         cut = max(window, key=lambda p: (strength[p], p)) if window else start + limit
         pieces.append((start, cut))
         words = [p for p in range(cut - overlap, cut) if p in strength]
@@ -52,6 +53,20 @@ def test_text_without_boundaries():
     assert all(accents[b : b + 1] != "́" for _, b in split_points(accents, 101, 10)[:-1])
 
 
+def test_a_natural_cut_in_the_lower_half_is_taken():
+    text = "a" * 560 + ". " + "b" * 900
+    assert split_points(text)[0] == (0, 562)
+    early = "a" * 100 + " " + "b" * 1300
+    assert split_points(early)[0] == (0, 1200)  # shorter than the overlap: no progress is possible there
+
+
+def test_a_letter_with_many_marks_stays_whole():
+    text = "x" * 1150 + "e" + "\u0301" * 100 + "y" * 600
+    assert split_points(text)[0] == (0, 1150)
+    marks = "\u0301" * 3000
+    assert split_points(marks)[-1][1] == 3000
+
+
 def test_limit_itself_is_one_piece():
     assert split_points("y" * 1200) == [(0, 1200)] and split_points("") == [(0, 0)]
     assert len(split_points("y" * 1201)) == 2
