@@ -12,7 +12,7 @@ from loreloom.session import cut_lineage
 #: Distinct sequence numbers of one block; a block is the unit that is sorted in memory.
 BLOCK_BITS = 10
 #: Most snapshots whose neighbours are broadcast (about 100 bytes each).
-BROADCAST_SNAPSHOTS = 500_000
+BROADCAST_SNAPSHOTS = 200_000
 
 
 def latest_delivery(rows: DataFrame, key: list[str], loaded: str, payload: str) -> DataFrame:
