@@ -1,7 +1,7 @@
 """Forms of a typed name and the likeness of two names.
 
-A spelling has several forms: itself, its aliases and the names that its description
-gives it, each as normal tokens.  Two forms are compared by soft weighted token
+A spelling has several forms: itself, its aliases and the names written in its
+descriptions, each as normal tokens.  Two forms are compared by soft weighted token
 similarity: tokens are paired one to one, a pair counts by how alike the tokens are
 (typing error, initial, abbreviation, nickname) and by how rare they are.
 """
@@ -19,65 +19,13 @@ from functools import lru_cache
 FILLERS = frozenset({"the", "of", "and", "de", "von", "van", "del", "la"})
 #: Marks of generation; two names that differ in them are two people.
 GENERATIONS = frozenset({"ii", "iii", "iv", "jr", "sr", "junior", "senior", "elder", "younger"})
-#: Words that tell apart otherwise equal names of organisations.
-QUALIFIERS = frozenset(
-    {
-        "first", "second", "third", "fourth", "new", "old", "royal", "free", "united", "upper", "lower",
-        "eastern", "western", "northern", "southern", "great", "little", "high", "low",
-    }
-)
-
-#: Statements that name their subject (n, also a) or describe it: o occupation, p place,
-#: y years, d decade, h hair, e eyes, t emblem, u product.
-STATEMENTS = tuple(
-    re.compile(pattern, re.IGNORECASE)
-    for pattern in (
-        r"nobody remembers why (?P<n>.+) goes by (?P<a>.+) now",
-        r"(?P<a>.+) is the name people use for (?P<n>.+)",
-        r"in (?P<p>.+) they know this (?P<o>.+) as (?P<a>.+), but the papers say (?P<n>.+)",
-        r"an? (?P<o>.+) from (?P<p>.+); written (?P<n>.+) in the old lists, (?P<a>.+) in the new ones",
-        r"(?P<n>.+), whom most call (?P<a>.+), (?:works as|is) an? (?P<o>.+) (?:in|from) (?P<p>.+)",
-        r"(?P<n>.+), whom most call (?P<a>.+), .+",
-        r"(?P<n>.+) works as an? (?P<o>.+) in (?P<p>.+)",
-        r"(?P<n>(?!there ).+) is an? (?P<o>.+) from (?P<p>.+)",
-        r"(?P<n>.+), once an? (?P<o>.+) at (?P<p>.+), turns up in every chapter",
-        r"(?P<n>.+) lives in (?P<p>.+)",
-        r"not much is known of (?P<n>.+)",
-        r"(?P<n>.+) wanted to be more than an? (?P<o>.+)",
-        r"(?P<n>.+) has always been an? (?P<o>.+)",
-        r"(?P<n>.+) joined late and stayed",
-        r"(?P<n>.+) matters more than anyone admits",
-        r"few people have seen (?P<n>.+) outside (?P<p>.+)",
-        r"has the (?P<e>[\w-]+) eyes of (?P<p>.+) people",
-        r"a person of about (?P<y>\d+) with (?P<h>[\w-]+) hair and (?P<e>[\w-]+) eyes",
-        r"(?P<h>[\w]+)-haired and somewhere past (?P<d>\d+)",
-        r"(?P<h>[\w-]+) hair, (?P<e>[\w-]+) eyes; looks (?P<y>\d+)",
-        r"(?P<n>.+) has its halls in (?P<p>.+)",
-        r"(?P<n>.+) was founded near (?P<p>.+)",
-        r"(?P<n>.+) holds much of (?P<p>.+)",
-        r"(?P<n>.+) keeps its own laws",
-        r"(?P<n>.+) is known for its (?P<u>.+)",
-        r"few outsiders trust (?P<n>.+)",
-        r"they guard an? (?P<t>[\w-]+ [\w-]+)",
-        r"an? (?P<t>[\w-]+ [\w-]+) is painted on their doors",
-        r"it all began with an? (?P<t>[\w-]+ [\w-]+)",
-        r"every member swears by the (?P<t>[\w-]+ [\w-]+)",
-    )
-)
-#: Word sequences of which each of these statements has one; used in the scan.
-_HINTS = (
-    "goes by", "people use", "they know this", "in the old", "whom most", "works as", "is an?", "once an?", "lives in",
-    "much is known", "be more than", "has always", "joined late", "matters more", "have seen", "eyes of", "person of",
-    "haired and", "eyes; looks", "its halls", "founded near", "holds much", "its own", "known for", "outsiders trust",
-    "they guard", "on their doors", "all began", "member swears",
-)
-#: One pattern that lets through every statement worth reading (white space of any kind).
-EVIDENCE_HINT = rf"(?i)\b(?:{'|'.join(_HINTS)})[^a-z]".replace(" ", r"[\s\xa0]+")
-
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _QUOTED = re.compile(r"['\"‘’“”«»]\s*([^'\"‘’“”«»]+?)\s*['\"‘’“”«»]")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_ACRONYM = re.compile(r"^(?:[A-Za-z]\.\s?){2,6}$|^[A-Z]{2,6}$")
+_ACRONYM = re.compile(r"^(?:[A-Za-z]\.\s?){2,}$|^[A-Z]{2,}$")
+#: Words, and the marks that may stand inside a written name.
+_WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*\.?|[,&'\"‘’“”«»]")
+_INSIDE = frozenset({"of", "and", "the", "&", ",", "'", '"', "‘", "’", "“", "”", "«", "»"})
 _SWAPS = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s"})
 
 
@@ -93,18 +41,20 @@ class Lexicon:
 
     full: dict[str, frozenset[str]] = field(default_factory=dict)
     titles: frozenset[str] = frozenset()
+    #: Frequent words: a capital that begins a statement is none of its name if it is one of these.
+    usual: frozenset[str] = frozenset()
 
     @staticmethod
-    def of(rows: Iterable[tuple[str, str, str]]) -> Lexicon:
+    def of(rows: Iterable[tuple[str, str, str]], usual: Iterable[str] = ()) -> Lexicon:
         full: dict[str, set[str]] = {}
-        titles: set[str] = {"captain", "doctor", "professor", "sir", "lady", "lord", "mr", "mrs", "ms", "dame"}
+        titles: set[str] = set()
         for form, full_form, kind in rows:
             short, long = plain(form).rstrip("."), plain(full_form).rstrip(".")
             if kind == "title":
                 titles |= {short, long}
             else:
                 full.setdefault(short, set()).add(long)
-        return Lexicon({k: frozenset(v) for k, v in full.items()}, frozenset(titles))
+        return Lexicon({k: frozenset(v) for k, v in full.items()}, frozenset(titles), frozenset(plain(w) for w in usual))
 
 
 def tokens_of(name: str, lexicon: Lexicon) -> tuple[str, ...]:
@@ -128,25 +78,87 @@ def tokens_of(name: str, lexicon: Lexicon) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
-def read_evidence(statements: Iterable[str], lexicon: Lexicon) -> tuple[list[str], dict[str, set[str]]]:
-    """Names that the statements give their subject, and its profile."""
-    names: list[str] = []
-    profile: dict[str, set[str]] = {}
-    for statement in statements:
-        text = " ".join(statement.split()).strip(" .…!?\"")
-        for pattern in STATEMENTS:
-            match = pattern.fullmatch(text)
-            if match:
-                for kind, value in match.groupdict().items():
-                    if value is None:
-                        continue
-                    if kind in "na":
-                        if len(value) <= 60:
-                            names.append(value)
-                    else:
-                        profile.setdefault(kind, set()).add(plain(value))
+def mentions(statement: str, usual: frozenset[str] = frozenset()) -> list[str]:
+    """Written names in a statement: longest runs of capitalised words.
+
+    A comma, a quotation mark, "of", "and" or "the" stays in a run if a capitalised word follows.
+    A first word that is a ``usual`` one has its capital from its place and is left out.
+    """
+    words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(statement)]
+    runs: list[tuple[int, int]] = []
+    i = 0
+    while i < len(words):
+        if not words[i][0][0].isupper():
+            i += 1
+            continue
+        last = j = i
+        while j + 1 < len(words):
+            j += 1
+            if words[j][0][0].isupper():
+                last = j
+            elif words[j][0] not in _INSIDE or j - last > 2:
                 break
-    return names, profile
+        runs.append((i, last))
+        i = last + 1
+    if runs and runs[0][0] == 0 and plain(words[0][0]) in usual:
+        rest = next((k for k in range(1, runs[0][1] + 1) if words[k][0][0].isupper()), None)
+        runs[:1] = [] if rest is None else [(rest, runs[0][1])]
+    return [statement[words[first][1] : words[last][2]] for first, last in runs]
+
+
+def is_of(tokens: Iterable[str], own: Iterable[str]) -> bool:
+    """Whether a word of ``tokens`` is one of the name's own, a typing error aside."""
+    own = [t for t in own if len(t) > 2]
+    return any(t == o or (len(o) > 4 and t[:1] == o[:1] and abs(len(t) - len(o)) < 2 and _edits(t, o, 1) < 2) for t in tokens for o in own)
+
+
+@dataclass(frozen=True)
+class Reading:
+    """What one statement says of the name it stands under."""
+
+    #: Names it writes, as tokens joined by blanks.
+    names: list[str]
+    #: Whether it names its subject.
+    own: bool
+    #: Its other words in order: plain, a capital's as "^word", the subject's own as "|".
+    words: list[str]
+
+
+def read_statement(statement: str, own_tokens: tuple[str, ...], lexicon: Lexicon) -> Reading:
+    text = " ".join(statement.split())
+    names = sorted({" ".join(t) for t in (tokens_of(m, lexicon) for m in mentions(text, lexicon.usual)) if any(t)})
+    said = [(m.group(), i) for i, m in enumerate(_TOKEN.finditer(text))]
+    folded = [(plain(word).translate(_SWAPS) if any(c.isalpha() for c in word) else word, word[0].isupper() and i > 0) for word, i in said]
+    letters = own_tokens[0][1:] if own_tokens and own_tokens[0].startswith("@") else None
+    mine = [is_of([word], own_tokens) or word == letters for word, _ in folded]
+    own = any(mine) or (letters is not None and "@" + letters in names)
+    # Initials, and capitals beside the subject's own words, are parts of its name too.
+    for step in (1, -1):
+        for i in range(len(mine))[::step]:
+            beside = 0 <= i - step < len(mine) and mine[i - step]
+            mine[i] = mine[i] or len(folded[i][0]) == 1 or (beside and (folded[i][1] or i == 0))
+    return Reading(names, own, ["|" if m else f"^{w}" if upper else w for (w, upper), m in zip(folded, mine, strict=True)])
+
+
+def frame(words: Iterable[str], common: frozenset[str]) -> tuple[str, list[str]]:
+    """A statement's frame, its runs of uncommon words replaced by their sort (* or ^), and these runs.
+
+    A run changes where capitals begin or end, so it is proper or plain as a whole.
+    """
+    parts: list[str] = []
+    runs: list[str] = []
+    going = ""
+    for word in words:
+        sort = "" if word == "|" or word.lstrip("^") in common else "^" if word.startswith("^") else "*"
+        if not sort:
+            parts.append(word)
+        elif sort == going:
+            runs[-1] += " " + word
+        else:
+            parts.append(sort)
+            runs.append(word)
+        going = sort
+    return " ".join(parts), runs
 
 
 def _edits(a: str, b: str, most: int) -> int:
@@ -169,7 +181,7 @@ def _edits(a: str, b: str, most: int) -> int:
 
 
 def _is_abbreviation(short: str, long: str) -> bool:
-    if not 2 <= len(short) <= 5 or len(long) < len(short) + 2 or short[0] != long[0]:
+    if len(short) < 2 or len(long) < len(short) + 2 or short[0] != long[0]:
         return False
     letters = iter(long)
     return all(c in letters for c in short)
@@ -266,8 +278,7 @@ class Comparer:
         rest = [*left.values(), *right.values()]
         missing = sum(rarity.get(t, _UNKNOWN).weight * (1.0 if len(t) > 1 else 0.3) for t in rest)
         likeness = met / (total + 0.5 * missing)
-        contradicts = (left and right) or not QUALIFIERS.isdisjoint(rest)
-        return likeness * (0.7 if contradicts else 1.0)
+        return likeness * (0.7 if left and right else 1.0)
 
 
 #: Greatest likeness through a form of initials or an acronym, and of a single token.

@@ -16,85 +16,168 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.llm.name_forms import (
-    EVIDENCE_HINT,
     SHORT_LIKENESS,
     SINGLE_LIKENESS,
     Comparer,
     Lexicon,
     Rarity,
-    read_evidence,
+    frame,
+    read_statement,
     tokens_of,
 )
 from loreloom.session import cut_lineage
 
 #: Letters of a q-gram, and the Jaccard similarity of q-grams below which forms are not compared.
 Q = 3
-LEAST_SHARED = 0.3
+LEAST_SHARED = 0.4
 #: The most frequent q-grams, which come last in the order of the prefix filter.
 COMMON_GRAMS = 2_000
 #: A likeness that links full names by itself; one that links with an agreeing profile.
 STRONG, SUPPORTED = 0.83, 0.66
+#: Most sessions whose worlds are broadcast (about 100 bytes each).
+BROADCAST_SESSIONS = 200_000
+#: Share of worlds up to which a name in a statement is rare, and from which on a word is common.
+RARE_NAME, COMMON_WORD = 1 / 32, 0.4
+#: Share of all statements that makes their frame usual, and of a frame's statements beyond which
+#: what fills a place of it belongs to the frame.
+USUAL_FRAME, FRAME_SHARE = 1 / 300, 0.25
 #: Lead in score that an ambiguous short form needs over its second-best entity.
 LEAD = 0.1
 
 
 def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: str | None) -> DataFrame:
-    """Distinct spellings of a kind: ``kind``, ``world``, ``name``, ``said``, ``aliases``.
+    """Distinct texts of the spellings of a kind: ``kind``, ``world``, ``name``, ``role``, ``text``.
 
-    ``said`` are the statements of all descriptions that tell who is meant.  Rows are
-    reduced to distinct descriptions of an entry before anything is joined or read.
+    A spelling has itself (role ``name``), its aliases (``alias``) and the statements of its
+    descriptions (``said``), each as a row of its own, so that a spelling of which much is said
+    is no large row.  Copies are combined before anything is shuffled.
     """
-    other = F.col(aliases) if aliases else F.array().cast("array<string>")
-    distinct = (
-        states.select("session_id", F.col("entry_key").alias("name"), "description", other.alias("aliases"))
-        .where(F.col("session_id").isNotNull() & F.col("name").isNotNull())
-        .distinct()
-    )
-    told = distinct.select(
-        "session_id",
-        "name",
-        F.filter("description", lambda s: F.rlike(s, F.lit(EVIDENCE_HINT))).alias("said"),
-        "aliases",
-    )
-    worlds = sessions.select("session_id", F.col("world_hash").alias("world")).where(F.col("world").isNotNull())
+
+    def texts(column: Column, role: str) -> Column:
+        listed = F.transform(column, lambda t: F.struct(F.lit(role).alias("role"), t.alias("text")))
+        return F.coalesce(listed, F.array().cast("array<struct<role:string,text:string>>"))
+
+    lists = [texts(F.array("entry_key"), "name"), texts(F.col("description"), "said")]
+    if aliases:
+        lists.append(texts(F.col(aliases), "alias"))
+    worlds = sessions.select("session_id", F.col("world_hash").alias("world")).where(F.col("world").isNotNull()).distinct()
+    if sessions.count() <= BROADCAST_SESSIONS:
+        worlds = F.broadcast(worlds)
     return (
-        told.join(worlds.distinct(), "session_id")
-        .groupBy(F.lit(kind).alias("kind"), "world", "name")
-        .agg(
-            F.array_distinct(F.flatten(F.collect_set("said"))).alias("said"),
-            F.array_distinct(F.flatten(F.collect_set("aliases"))).alias("aliases"),
-        )
+        states.where(F.col("session_id").isNotNull() & F.col("entry_key").isNotNull())
+        .select("session_id", F.col("entry_key").alias("name"), F.concat(*lists).alias("texts"))
+        .join(worlds, "session_id")
+        .select(F.lit(kind).alias("kind"), "world", "name", F.inline("texts"))
+        .where(F.col("text").isNotNull() & (F.col("text") != ""))
+        .distinct()
     )
 
 
-def _with_forms(names: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``node``, ``block``, ``kind``, ``world``, ``name``, ``forms`` (tokens joined by
-    blanks) and ``profile`` (what is said, by kind of statement).  Blocks and nodes are
-    64-bit hashes of their names."""
+def _read(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``kind``, ``block``, ``node``, ``what``, ``value`` of all texts, by the 64-bit hashes of worlds and spellings.
+
+    ``what``: ``key`` and ``alias`` (a typed form), ``own`` (a name of several words in a statement that
+    names its subject), ``other`` (any further name) and ``words`` (of a statement that names its subject).
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = lru_cache(maxsize=50_000)(lambda name: tokens_of(name, lexicon))
+
         for batch in batches:
-            forms, profiles = [], []
-            for name, said, aliases in zip(batch["name"], batch["said"], batch["aliases"], strict=True):
-                given, profile = read_evidence([s for s in (said if said is not None else []) if s], lexicon)
-                known = [name, *given, *[a for a in (aliases if aliases is not None else []) if a]]
-                tokens = (tokens_of(n, lexicon) for n in known)
-                forms.append(sorted({" ".join(t) for t in tokens if any(t)}))
-                profiles.append({k: sorted(v) for k, v in sorted(profile.items())})
-            yield batch[["node", "block", "kind", "world", "name"]].assign(forms=forms, profile=profiles)
-
-    keyed = names.withColumns({"node": F.xxhash64("kind", "world", "name"), "block": F.xxhash64("kind", "world")})
-    return keyed.mapInPandas(
-        read,
-        "node bigint, block bigint, kind string, world string, name string, forms array<string>,"
-        " profile map<string,array<string>>",
-    )
+            rows: dict[tuple[str, int, int, str, str], None] = {}
+            for kind, block, node, name, role, text in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+                if role != "said":
+                    form = " ".join(tokens(text))
+                    if form.strip():
+                        rows[kind, block, node, "key" if role == "name" else "alias", form] = None
+                    continue
+                reading = read_statement(text, tokens(name), lexicon)
+                for form in reading.names:
+                    several = " " in form or form.startswith("@")
+                    if several or reading.own:
+                        rows[kind, block, node, "own" if several and reading.own else "other", form] = None
+                if reading.own:
+                    rows[kind, block, node, "words", " ".join(reading.words)] = None
+            yield pd.DataFrame(list(rows), columns=["kind", "block", "node", "what", "value"])
+
+    keyed = texts.select("kind", F.xxhash64("kind", "world").alias("block"), F.xxhash64("kind", "world", "name").alias("node"), "name", "role", "text")
+    return keyed.mapInPandas(read, "kind string, block bigint, node bigint, what string, value string")
+
+
+def _few_worlds(facts: DataFrame, share: float) -> Column:
+    """Whether ``worlds`` is few: at most ``share`` of the worlds of the kind, or two."""
+    by_kind = {r["kind"]: r["n"] for r in facts.groupBy("kind").agg(F.count_distinct("block").alias("n")).collect()}
+    most = F.lit(2)
+    for kind, n in by_kind.items():
+        most = F.when(F.col("kind") == kind, F.lit(max(2, int(share * n)))).otherwise(most)
+    return F.col("worlds") <= most
+
+
+def _node_forms(facts: DataFrame) -> DataFrame:
+    """``kind``, ``block``, ``node``, ``form``: typed forms, and the names in statements that are evidence.
+
+    A name of several words in a statement on its subject is evidence, and so is any other name that is
+    also typed in this world; but not one of several words that statements of many worlds write, as they
+    do places.
+    """
+    typed = facts.where(F.col("what").isin("key", "alias")).withColumnRenamed("value", "form")
+    own = facts.where("what = 'own'").select("kind", "block", "node", F.col("value").alias("form")).distinct()
+    spelled = typed.groupBy("block", "form").agg(F.max(F.col("what") == "key").alias("keyed"))
+    other = facts.where("what = 'other'").select("kind", "block", "node", F.col("value").alias("form")).distinct()
+    several = F.contains("form", F.lit(" ")) | F.startswith("form", F.lit("@"))
+    other = other.join(spelled, ["block", "form"]).where(several | F.col("keyed"))
+    columns = ["kind", "block", "node", "form"]
+    named = own.select(columns).unionByName(other.where(several).select(columns))
+    worlds = own.groupBy("kind", "form").agg(F.count_distinct("block").alias("worlds")).where(~_few_worlds(facts, RARE_NAME))
+    parts = [
+        typed.select(columns),
+        named.join(worlds.select("kind", "form"), ["kind", "form"], "left_anti").select(columns),
+        other.where(~several).select(columns),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def _profiles(facts: DataFrame) -> DataFrame:
+    """``node`` and ``profile``: the distinct words that statements on it fill their frames with.
+
+    A frame is what a statement shares with others: its common words (of many worlds) in order.  What
+    fills a place of a usual frame describes the subject, unless one filling has so large a share of
+    the place that it belongs to the frame.
+    """
+    said = facts.where("what = 'words'").select("kind", "block", "node", F.col("value").alias("words"))
+    plain_words = F.filter(F.array_distinct(F.split(F.translate("words", "^", ""), " ")), lambda w: w != "|")
+    found = said.select("kind", "block", F.explode(plain_words).alias("word")).distinct()
+    usual = found.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("worlds")).where(~_few_worlds(facts, COMMON_WORD))
+    common: dict[str, set[str]] = {}
+    for row in usual.select("kind", "word").collect():
+        common.setdefault(row["kind"], set()).add(row["word"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {kind: frozenset(words) for kind, words in common.items()}
+        for batch in batches:
+            rows = []
+            for kind, node, words in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+                shape, runs = frame(words.split(" "), known.get(kind, frozenset()))
+                rows.append((kind, node, shape, runs))
+            yield pd.DataFrame(rows, columns=["kind", "node", "frame", "runs"])
+
+    framed = said.select("kind", "node", "words").mapInPandas(cut, "kind string, node bigint, frame string, runs array<string>")
+    framed = cut_lineage(framed.select("kind", "node", F.xxhash64("frame").alias("frame"), "runs"))
+    places = framed.select("kind", "node", "frame", F.posexplode("runs").alias("place", "run"))
+    frames = framed.groupBy("kind", "frame").agg(F.count(F.lit(1)).alias("n"))
+    every = frames.groupBy("kind").agg(F.sum("n").alias("all"))
+    frames = frames.join(F.broadcast(every), "kind").where(F.col("n") >= F.col("all") * USUAL_FRAME).select("kind", "frame", "n")
+    fillings = places.groupBy("kind", "frame", "place", "run").agg(F.count(F.lit(1)).alias("k"))
+    telling = fillings.join(frames, ["kind", "frame"]).where(F.col("k") <= F.col("n") * FRAME_SHARE).drop("k", "n")
+    described = places.join(telling, ["kind", "frame", "place", "run"]).select("node", F.explode(F.split("run", " ")).alias("word"))
+    word = F.struct(F.startswith("word", F.lit("^")).alias("proper"), F.xxhash64("word").alias("h"))
+    return described.groupBy("node").agg(F.collect_set(word).alias("profile"))
 
 
 def _distinct_forms(nodes: DataFrame) -> DataFrame:
     """Each form of a block once: ``f`` (its hash), ``block``, ``form`` and ``rarity``: of
     each token the forms of the block that have it and the worlds that know it."""
-    forms = nodes.select("block", "kind", F.explode("forms").alias("form")).distinct()
+    forms = nodes.select("block", "kind", "form").distinct()
     tokens = forms.select("block", "kind", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("token"))
     local = tokens.groupBy("block", "kind", "token").agg(F.count(F.lit(1)).alias("in_world"))
     overall = local.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("worlds"))
@@ -144,36 +227,43 @@ def candidate_forms(forms: DataFrame) -> DataFrame:
     @F.pandas_udf("array<string>")
     def kept(texts: pd.Series) -> pd.Series:
         def of(form: str) -> list[str]:
+            key = initials_key(form)
+            if form.startswith("@"):
+                return ["0", key]
             ordered = sorted(q_grams(form), key=lambda g: (late.get(g, 0), g))
             n = len(ordered)
             first = ordered[: n - math.ceil(n * LEAST_SHARED) + 1]
-            key = initials_key(form)
             return [str(n), *first] if key is None else [str(n), *first, key]
 
         return texts.map(of)
 
     listed = forms.select("block", "f", kept("form").alias("kept"))
-    index = listed.select(
-        "block",
-        "f",
-        F.get("kept", F.lit(0)).cast("short").alias("n"),
-        F.explode(F.slice("kept", F.lit(2), F.size("kept"))).alias("gram"),
-    ).select(
-        F.xxhash64("block", "gram").alias("key"), "f", F.when(~F.startswith("gram", F.lit("@")), F.col("n")).alias("n")
+    index = cut_lineage(
+        listed.select(
+            "block",
+            "f",
+            F.get("kept", F.lit(0)).cast("short").alias("n"),
+            F.explode(F.slice("kept", F.lit(2), F.size("kept"))).alias("gram"),
+        ).select(
+            F.xxhash64("block", "gram").alias("key"),
+            "f",
+            # Names meet by their initials only with an acronym (0), not with each other (-1).
+            F.when(~F.startswith("gram", F.lit("@")), F.col("n")).otherwise(F.when(F.col("n") == 0, 0).otherwise(-1)).cast("short").alias("n"),
+        )
     )
     left, right = index, index.withColumnsRenamed({"f": "g", "n": "m"})
-    alike = (F.col("n") >= F.col("m") * LEAST_SHARED) & (F.col("m") >= F.col("n") * LEAST_SHARED)
-    met = left.join(right, "key").where(
-        (F.col("f") < F.col("g")) & (F.col("n").isNull() | F.col("m").isNull() | alike)
-    )
+    least, most = F.least("n", "m"), F.greatest("n", "m")
+    alike = ((least > 0) & (least >= most * LEAST_SHARED)) | (most == 0)
+    met = left.join(right, "key").where((F.col("f") < F.col("g")) & alike)
     return met.select("f", "g").distinct()
 
 
 def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``f``, ``g``, ``likeness`` of the candidates that are at least ``SUPPORTED``."""
-    facts = forms.select("f", "form", "rarity")
+    facts = forms.select("f", "block", "form", "rarity")
+    # Keys are hashes of world and q-gram: two worlds whose keys happen to be equal are told apart here.
     joined = pairs.join(facts, "f").join(
-        facts.withColumnsRenamed({"f": "g", "form": "form_g", "rarity": "rarity_g"}), "g"
+        facts.withColumnsRenamed({"f": "g", "form": "form_g", "rarity": "rarity_g"}), ["g", "block"]
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,25 +296,27 @@ def _form_kind(form: Column) -> Column:
 
 
 def _agreement(a: Column, b: Column) -> tuple[Column, Column]:
-    """Points of agreement and contradictions of two profiles; what is unknown is neither."""
+    """Points of agreement and contradictions of two profiles; what is unknown is neither.
+
+    Plain words (what someone is) in common count two points, proper ones (where) one; of each sort
+    two profiles contradict if both have words and share none.
+    """
     agree, contradict = F.lit(0), F.lit(0)
-    for kind, points in (("o", 2), ("t", 2), ("p", 1), ("h", 1), ("e", 1)):
-        shared = F.arrays_overlap(F.try_element_at(a, F.lit(kind)), F.try_element_at(b, F.lit(kind)))
-        agree = agree + F.when(shared, points).otherwise(0)
-        contradict = contradict + F.when(~shared, 1).otherwise(0)
-    years = [F.transform(F.try_element_at(p, F.lit("y")), lambda y: y.cast("int")) for p in (a, b)]
-    apart = F.array_min(F.flatten(F.transform(years[0], lambda x: F.transform(years[1], lambda y: F.abs(x - y)))))
-    return agree + F.when(apart <= 3, 1).otherwise(0), contradict + F.when(apart > 8, 1).otherwise(0)
+    for proper, points in ((False, 2), (True, 1)):
+        sorts = [F.transform(F.filter(p, lambda x: x["proper"] == proper), lambda x: x["h"]) for p in (a, b)]  # noqa: B023
+        shared = F.arrays_overlap(*sorts)
+        known = (F.size(sorts[0]) > 0) & (F.size(sorts[1]) > 0)
+        agree = agree + F.when(known & shared, points).otherwise(0)
+        contradict = contradict + F.when(known & ~shared, 1).otherwise(0)
+    return agree, contradict
 
 
-def scored_pairs(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
+def scored_pairs(nodes: DataFrame, profiles: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``a`` < ``b``, ``likeness`` of their likest forms, whether each of these is a full
     name, and how far their profiles ``agree`` and ``contradict``."""
     forms = cut_lineage(_distinct_forms(nodes))
     alike = _alike_forms(candidate_forms(forms), forms, lexicon)
-    holders = nodes.select("block", "node", F.explode("forms").alias("form")).select(
-        F.xxhash64("block", "form").alias("f"), "node", _form_kind(F.col("form")).alias("kind")
-    )
+    holders = nodes.select(F.xxhash64("block", "form").alias("f"), "node", _form_kind(F.col("form")).alias("kind"))
     others = holders.withColumnsRenamed({"f": "g", "node": "other", "kind": "other_kind"})
     across = alike.join(holders, "f").join(others, "g")
     equal = holders.withColumn("g", F.col("f")).join(others, "g").withColumn("likeness", F.lit(1.0))
@@ -251,9 +343,8 @@ def scored_pairs(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
         .select("a", "b", "best.*")
         .where(F.col("likeness") >= SUPPORTED)
     )
-    said = nodes.select("node", "profile")
-    joined = likest.join(said.withColumnsRenamed({"node": "a", "profile": "pa"}), "a").join(
-        said.withColumnsRenamed({"node": "b", "profile": "pb"}), "b"
+    joined = likest.join(profiles.withColumnsRenamed({"node": "a", "profile": "pa"}), "a", "left").join(
+        profiles.withColumnsRenamed({"node": "b", "profile": "pb"}), "b", "left"
     )
     agree, contradict = _agreement(F.col("pa"), F.col("pb"))
     return joined.select("a", "b", "likeness", "full_a", "full_b", agree.alias("agree"), contradict.alias("contradict"))
@@ -304,25 +395,26 @@ def _consistent(links: DataFrame, against: DataFrame) -> DataFrame:
     return links.select("a", "b").join(dropped, ["a", "b"], "left_anti")
 
 
-def link_names(names: DataFrame, lexicon: Lexicon) -> DataFrame:
+def link_names(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Entities of spellings: ``kind``, ``world``, ``name``, ``entity``, linked spellings only.
 
-    ``names``: distinct ``kind``, ``world``, ``name`` with ``said`` and ``aliases``
-    (see ``typed_names``).  Full names that are alike and not contradicted link at once;
+    ``texts``: distinct ``kind``, ``world``, ``name``, ``role`` and ``text`` (see ``typed_names``).  Full names that are alike and not contradicted link at once;
     a short form (initials, a single token, an acronym) that fits several entities goes
     to the one it fits clearly best, or to none.  Names without letters or digits,
     and worlds with one name, link nothing; an empty table gives no rows.
     """
-    nodes = cut_lineage(_with_forms(names, lexicon))
-    scored = cut_lineage(scored_pairs(nodes, lexicon))
-    fits = (F.col("contradict") == 0) | (F.col("agree") >= 2 * F.col("contradict"))
+    facts = cut_lineage(_read(texts, lexicon))
+    nodes = cut_lineage(_node_forms(facts))
+    scored = cut_lineage(scored_pairs(nodes, _profiles(facts), lexicon))
+    alike = (F.col("likeness") >= 0.99) & (F.col("contradict") < 2)
+    fits = (F.col("contradict") == 0) | (F.col("agree") >= 2 * F.col("contradict")) | alike
     supported = (F.col("agree") >= 2) & (F.col("contradict") == 0)
     both_full = F.col("full_a") & F.col("full_b")
     sure = ((F.col("likeness") >= STRONG) & both_full & fits) | ((F.col("likeness") >= 0.7) & (F.col("agree") >= 3) & fits)
     strong = _consistent(scored.where(sure), scored.where(~fits))
     first = cut_lineage(connected_components(strong))
 
-    weak = scored.where(~sure & fits & ((F.col("likeness") >= 0.78) | supported))
+    weak = scored.where(~sure & fits & (((F.col("likeness") >= 0.78) & ~both_full) | supported))
     short_side = F.when(~F.col("full_a") & ~F.col("full_b"), F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o"))))
     short_side = short_side.when(~F.col("full_a"), F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")))).otherwise(
         F.array(F.struct(F.col("b").alias("s"), F.col("a").alias("o")))
@@ -347,7 +439,8 @@ def link_names(names: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
     stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     entities = connected_components(stars.unionByName(chosen))
-    return nodes.join(entities, "node").select("kind", "world", "name", F.col("component").alias("entity"))
+    spelled = texts.where("role = 'name'").select("kind", "world", "name", F.xxhash64("kind", "world", "name").alias("node"))
+    return spelled.join(entities, "node").select("kind", "world", "name", F.col("component").alias("entity"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def _linked(spark: SparkSession, sf: str) -> DataFrame:
     rows = known.limit(LEXICON_ROWS + 1).collect()
     if len(rows) > LEXICON_ROWS:
         raise ValueError(f"more than {LEXICON_ROWS} short forms; they are sent to every worker")
-    return link_names(names, Lexicon.of([(r["form"], r["full_form"], r["form_kind"]) for r in rows]))
+    usual = [r["word"] for r in table(spark, sf, "common_words").select("word").distinct().collect() if r["word"]]
+    return link_names(names, Lexicon.of([(r["form"], r["full_form"], r["form_kind"]) for r in rows], usual))
 
 
 @catalogue.add()

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from loreloom.llm.name_forms import Comparer, Lexicon, Rarity, read_evidence, tokens_of
+from loreloom.llm.name_forms import Comparer, Lexicon, Rarity, frame, mentions, read_statement, tokens_of
 from loreloom.llm.names import (
     LEAST_SHARED,
     candidate_forms,
@@ -42,9 +42,22 @@ def test_likeness():
     assert like("Alden Rudley", "Aldan Rudley") > 0.83 > like("Alden Rudley", "Aldan Rudley", known)
 
 
-def test_evidence():
-    names, profile = read_evidence(["In Kessel they know this  cook as Rom, but the papers say Rudello, Rosa.", "x", ""], LEXICON)
-    assert set(names) == {"Rom", "Rudello, Rosa"} and profile == {"p": {"kessel"}, "o": {"cook"}}
+def test_written_names_of_a_statement():
+    usual = frozenset({"in", "the"})
+    assert mentions("In Kessel they know this cook as Rom, but the papers say Rudello, Rosa.", usual) == ["Kessel", "Rom", "Rudello, Rosa."]
+    assert mentions("Guild of Kessel and Thornby met Ann 'Annie' Brimere.", usual) == ["Guild of Kessel and Thornby", "Ann 'Annie' Brimere."]
+    assert mentions("", usual) == mentions("nothing here", usual) == []
+    long = "A" + "b" * 90
+    assert mentions(f"He met {long} Brimere.", usual) == ["He", f"{long} Brimere."]
+
+
+def test_reading_tells_the_subject_from_what_is_said():
+    r = read_statement("Nobody knows why  Ann Brimere goes by Rosy now.", ("rosy",), LEXICON)
+    assert r.own and "ann brimere" in r.names and "|" in r.words
+    r = read_statement("Ann Brimerre is a clock mender from Old Kessel.", ("ann", "brimere"), LEXICON)
+    assert r.words == ["|", "|", "is", "|", "clock", "mender", "from", "^old", "^kessel"]
+    assert frame(r.words, frozenset({"is", "from"})) == ("| | is | * from ^", ["clock mender", "^old ^kessel"])
+    assert not read_statement("The road was empty.", ("ann", "brimere"), LEXICON).own
 
 
 def test_prefix_filter_loses_no_similar_pair(spark, monkeypatch):
@@ -71,7 +84,7 @@ def test_components(spark):
 
 ROWS = [
     ("s1", "Ann Brimere", ["Ann Brimere is a cook from Kessel."], None),
-    ("s2", "Brimere, Ann", ["Ann Brimere lives in Kessel.", None], None),
+    ("s2", "Brimere, Ann", ["Ann Brimere is a cook from Kessel.", None], None),
     ("s3", "Ann Brimeree", None, None),
     ("s3", "Rosy", ["Rosy is the name people use for Ann Brimere."], None),
     ("s2", "Anna Brimere", ["Anna Brimere is a printer from Thornby."], None),
@@ -83,10 +96,20 @@ ROWS = [
 ]
 
 
+def others():
+    """People of thirty other worlds, from whose statements the frames are learned."""
+    rng = random.Random(1)
+    jobs = ["cook", "printer", *(a + "wright" for a in ("ship", "wheel", "play", "mill", "cart", "plough", "boat", "house", "gate", "bell"))]
+    towns = ["Kessel", "Thornby", *(a + "ford" for a in ("Ash", "Salt", "Stone", "Vane", "Gull", "Marrow", "Nettle", "Ember", "Low", "Hollow"))]
+    names = ["Tovald Rusk", "Ilse Marn", "Pell Ogden", "Quin Aster"]
+    return [(f"o{w}", n, [f"{n} is a {rng.choice(jobs)} from {rng.choice(towns)}."], None) for w in range(30) for n in names]
+
+
 def test_variants_link_within_their_world(spark):
-    states = spark.createDataFrame(ROWS * 2, "session_id string, entry_key string, description array<string>, world string")
+    states = spark.createDataFrame((ROWS + others()) * 2, "session_id string, entry_key string, description array<string>, world string")
     sessions = spark.createDataFrame(
-        [("s1", "w"), ("s2", "w"), ("s3", "w"), ("s3", "w"), ("s9", "other"), ("s8", None)], "session_id string, world_hash string"
+        [("s1", "w"), ("s2", "w"), ("s3", "w"), ("s3", "w"), ("s9", "other"), ("s8", None)] + [(f"o{w}", f"v{w}") for w in range(30)],
+        "session_id string, world_hash string",
     )
     pairs = spelling_pairs(link_names(typed_names(states, sessions, "character", aliases=None), LEXICON)).collect()
     same = ["Ann Brimere", "Ann Brimeree", "Brimere, Ann", "Rosy"]
