@@ -15,6 +15,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import regex
+
 #: Words that carry no identity in a name.
 FILLERS = frozenset({"the", "of", "and", "de", "von", "van", "del", "la"})
 #: Marks of generation; two names that differ in them are two people.
@@ -23,14 +25,21 @@ _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _QUOTED = re.compile(r"['\"‘’“”«»]\s*([^'\"‘’“”«»]+?)\s*['\"‘’“”«»]")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _ACRONYM = re.compile(r"^(?:[A-Za-z]\.\s?){2,}$|^[A-Z]{2,}$")
-#: Words, and the marks that may stand inside a written name.
-_WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*\.?|[,&'\"‘’“”«»]")
-_INSIDE = frozenset({"of", "and", "the", "&", ",", "'", '"', "‘", "’", "“", "”", "«", "»"})
+#: A written name: capitalised words, with commas, quotation marks and small joining words between them.
+_RUN = regex.compile(
+    r"""(?<![\w'’])\p{Lu}[\w.'’-]*(?:[,'"’”»]*[ ]+(?:(?:of|and|the|&)[ ]+){0,2}['"‘“«]*\p{Lu}[\w.'’-]*)*"""
+)
+_FIRST = regex.compile(r"\W*(\p{Lu}[\w'’-]*)\W+(?:(?:of|and|the|&) )*")
+#: A statement that begins with two words in capitals.
+STARTS_WITH_NAME = r"^[^\p{L}]*\p{Lu}[^\s,]*,?\s+(?:(?:of|and|the|&)\s+){0,2}[^\p{L}\s]?\p{Lu}"
+_START = regex.compile(STARTS_WITH_NAME)
 _SWAPS = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s"})
 
 
 def plain(text: str) -> str:
     """Lower case without accents, single spaces."""
+    if text.isascii():
+        return " ".join(text.lower().split())
     folded = unicodedata.normalize("NFKD", text.replace("ß", "ss"))
     return " ".join("".join(c for c in folded if not unicodedata.combining(c)).lower().split())
 
@@ -84,32 +93,38 @@ def mentions(statement: str, usual: frozenset[str] = frozenset()) -> list[str]:
     A comma, a quotation mark, "of", "and" or "the" stays in a run if a capitalised word follows.
     A first word that is a ``usual`` one has its capital from its place and is left out.
     """
-    words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(statement)]
-    runs: list[tuple[int, int]] = []
-    i = 0
-    while i < len(words):
-        if not words[i][0][0].isupper():
-            i += 1
-            continue
-        last = j = i
-        while j + 1 < len(words):
-            j += 1
-            if words[j][0][0].isupper():
-                last = j
-            elif words[j][0] not in _INSIDE or j - last > 2:
-                break
-        runs.append((i, last))
-        i = last + 1
-    if runs and runs[0][0] == 0 and plain(words[0][0]) in usual:
-        rest = next((k for k in range(1, runs[0][1] + 1) if words[k][0][0].isupper()), None)
-        runs[:1] = [] if rest is None else [(rest, runs[0][1])]
-    return [statement[words[first][1] : words[last][2]] for first, last in runs]
-
-
-def is_of(tokens: Iterable[str], own: Iterable[str]) -> bool:
-    """Whether a word of ``tokens`` is one of the name's own, a typing error aside."""
-    own = [t for t in own if len(t) > 2]
-    return any(t == o or (len(o) > 4 and t[:1] == o[:1] and abs(len(t) - len(o)) < 2 and _edits(t, o, 1) < 2) for t in tokens for o in own)
+    found = _RUN.findall(statement)
+    first = _FIRST.match(statement)
+    if found and first is not None and plain(first[1]) in usual and statement.startswith(found[0], first.start(1)):
+        rest = statement[first.end() : first.start(1) + len(found[0])]
+        found[:1] = [rest] if rest[:1].isupper() else []
+    return found
+
+
+class Own:
+    """The words of one name, to find them in statements."""
+
+    def __init__(self, tokens: tuple[str, ...]) -> None:
+        self.letters = tokens[0][1:] if tokens and tokens[0].startswith("@") else None
+        self.words = frozenset(t for t in tokens if len(t) > 2)
+        self._by_first: dict[str, list[str]] = {}
+        for t in self.words:
+            if len(t) > 4:
+                self._by_first.setdefault(t[0], []).append(t)
+        stems = {part for t in self.words for part in ((t,) if len(t) < 6 else (t[:4], t[-4:]))}
+        self._stems = [*stems, *([self.letters] if self.letters else [])]
+        self._spelled = self.letters is not None
+
+    def may_be_in(self, text: str) -> bool:
+        """Whether ``text`` (lower case) holds a piece of the name: a plain search before words are parted."""
+        return any(stem in text for stem in self._stems) or (self._spelled and "." in text[:-1])
+
+    def has(self, word: str) -> bool:
+        """Whether ``word`` is one of the name's, a typing error aside."""
+        if word in self.words or word == self.letters:
+            return True
+        near = self._by_first.get(word[0])
+        return near is not None and any(abs(len(word) - len(o)) < 2 and _edits(word, o, 1) < 2 for o in near)
 
 
 @dataclass(frozen=True)
@@ -120,24 +135,54 @@ class Reading:
     names: list[str]
     #: Whether it names its subject.
     own: bool
-    #: Its other words in order: plain, a capital's as "^word", the subject's own as "|".
+    #: If so, its words in order: plain, a capital's as "^word", the subject's own as "|".
     words: list[str]
 
 
-def read_statement(statement: str, own_tokens: tuple[str, ...], lexicon: Lexicon) -> Reading:
-    text = " ".join(statement.split())
-    names = sorted({" ".join(t) for t in (tokens_of(m, lexicon) for m in mentions(text, lexicon.usual)) if any(t)})
-    said = [(m.group(), i) for i, m in enumerate(_TOKEN.finditer(text))]
-    folded = [(plain(word).translate(_SWAPS) if any(c.isalpha() for c in word) else word, word[0].isupper() and i > 0) for word, i in said]
-    letters = own_tokens[0][1:] if own_tokens and own_tokens[0].startswith("@") else None
-    mine = [is_of([word], own_tokens) or word == letters for word, _ in folded]
-    own = any(mine) or (letters is not None and "@" + letters in names)
-    # Initials, and capitals beside the subject's own words, are parts of its name too.
-    for step in (1, -1):
-        for i in range(len(mine))[::step]:
-            beside = 0 <= i - step < len(mine) and mine[i - step]
-            mine[i] = mine[i] or len(folded[i][0]) == 1 or (beside and (folded[i][1] or i == 0))
-    return Reading(names, own, ["|" if m else f"^{w}" if upper else w for (w, upper), m in zip(folded, mine, strict=True)])
+class Reader:
+    """Reads statements under one lexicon; remembers written names, which recur."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+        self.tokens = lru_cache(maxsize=200_000)(lambda name: tokens_of(name, lexicon))
+        self.own = lru_cache(maxsize=20_000)(lambda name: Own(self.tokens(name)))
+
+    def read(self, statement: str, name: str) -> Reading:
+        text = " ".join(statement.split())
+        own = self.own(name)
+        if not own.may_be_in(text.lower() if text.isascii() else plain(text)):
+            # Of a statement on something else only a name that it begins with may be its subject's.
+            if _START.match(text) is None:
+                return Reading([], False, [])
+            first = mentions(text, self.lexicon.usual)[:1]
+            return Reading([f for f in (" ".join(self.tokens(m)) for m in first) if f.strip()], False, [])
+        names = sorted({" ".join(t) for t in map(self.tokens, mentions(text, self.lexicon.usual)) if any(t)})
+        said = _TOKEN.findall(text)
+        folded = [_folded(word) for word in said]
+        mine = [own.has(word) for word in folded]
+        if not any(mine) and (own.letters is None or "@" + own.letters not in names):
+            return Reading(names, False, [])
+        # Initials, and capitals beside the subject's own words, are parts of its name too.
+        last = len(said) - 1
+        for i in [i for i, own_word in enumerate(mine) if own_word]:
+            j = i + 1
+            while j <= last and said[j][0].isupper():
+                mine[j] = True
+                j += 1
+            j = i - 1
+            while j >= 0 and (j == 0 or said[j][0].isupper()):
+                mine[j] = True
+                j -= 1
+        words = [
+            "|" if own_word or len(word) == 1 else f"^{word}" if i and raw[0].isupper() else word
+            for i, (word, raw, own_word) in enumerate(zip(folded, said, mine, strict=True))
+        ]
+        return Reading(names, True, words)
+
+
+@lru_cache(maxsize=100_000)
+def _folded(word: str) -> str:
+    return plain(word).translate(_SWAPS) if any(c.isalpha() for c in word) else word
 
 
 def frame(words: Iterable[str], common: frozenset[str]) -> tuple[str, list[str]]:
@@ -163,9 +208,17 @@ def frame(words: Iterable[str], common: frozenset[str]) -> tuple[str, list[str]]
 
 def _edits(a: str, b: str, most: int) -> int:
     """Damerau-Levenshtein distance (neighbouring letters may swap), or ``most + 1``."""
-    # An edit changes at most two letters of the sets, so sets further apart need no table.
     if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
-        return most + 1
+        return most + 1  # an edit changes at most two letters of the sets
+    begin, end = 0, 0
+    shorter = min(len(a), len(b))
+    while begin < shorter and a[begin] == b[begin]:
+        begin += 1
+    while end < shorter - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]

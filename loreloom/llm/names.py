@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 from loreloom.llm.name_forms import (
     SHORT_LIKENESS,
     SINGLE_LIKENESS,
+    STARTS_WITH_NAME,
     Comparer,
     Lexicon,
     Rarity,
+    Reader,
     frame,
-    read_statement,
-    tokens_of,
 )
 from loreloom.session import cut_lineage
 
 #: Letters of a q-gram, and the Jaccard similarity of q-grams below which forms are not compared.
 Q = 3
-LEAST_SHARED = 0.4
+LEAST_SHARED = 0.33
 #: The most frequent q-grams, which come last in the order of the prefix filter.
 COMMON_GRAMS = 2_000
 #: A likeness that links full names by itself; one that links with an agreeing profile.
@@ -45,6 +45,15 @@ USUAL_FRAME, FRAME_SHARE = 1 / 300, 0.25
 LEAD = 0.1
 
 
+def _may_tell(name: Column, text: Column) -> Column:
+    """Whether a statement may be read for a name: it holds the beginning or end of a word of the name (or of
+    initials a full stop or the name as it stands), or begins with a name."""
+    low = F.lower(text)
+    words = F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)
+    held = F.exists(words, lambda w: F.contains(low, F.left(w, F.lit(4))) | F.contains(low, F.right(w, F.lit(4))))
+    return F.contains(text, name) | held | F.rlike(text, F.lit(STARTS_WITH_NAME)) | F.rlike(text, F.lit(r"\p{Lu}\.\p{Lu}"))
+
+
 def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: str | None) -> DataFrame:
     """Distinct texts of the spellings of a kind: ``kind``, ``world``, ``name``, ``role``, ``text``.
 
@@ -69,39 +78,44 @@ def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: s
         .join(worlds, "session_id")
         .select(F.lit(kind).alias("kind"), "world", "name", F.inline("texts"))
         .where(F.col("text").isNotNull() & (F.col("text") != ""))
+        .where((F.col("role") != "said") | _may_tell(F.col("name"), F.col("text")))
         .distinct()
     )
 
 
 def _read(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``kind``, ``block``, ``node``, ``what``, ``value`` of all texts, by the 64-bit hashes of worlds and spellings.
+    """``kind``, ``block``, ``node``, ``what``, ``value`` of all texts, by the 64-bit hashes of worlds and spellings;
+    ``world`` and ``name`` stand in the rows of a spelling itself.
 
     ``what``: ``key`` and ``alias`` (a typed form), ``own`` (a name of several words in a statement that
     names its subject), ``other`` (any further name) and ``words`` (of a statement that names its subject).
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = lru_cache(maxsize=50_000)(lambda name: tokens_of(name, lexicon))
+        reader = Reader(lexicon)
 
         for batch in batches:
-            rows: dict[tuple[str, int, int, str, str], None] = {}
-            for kind, block, node, name, role, text in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+            rows: dict[tuple[str, int, int, str, str, str | None, str | None], None] = {}
+            for kind, block, node, world, name, role, text in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
                 if role != "said":
-                    form = " ".join(tokens(text))
-                    if form.strip():
-                        rows[kind, block, node, "key" if role == "name" else "alias", form] = None
+                    form = " ".join(reader.tokens(text))
+                    if form.strip() and role == "name":
+                        rows[kind, block, node, "key", form, world, name] = None
+                    elif form.strip():
+                        rows[kind, block, node, "alias", form, None, None] = None
                     continue
-                reading = read_statement(text, tokens(name), lexicon)
+                reading = reader.read(text, name)
                 for form in reading.names:
                     several = " " in form or form.startswith("@")
                     if several or reading.own:
-                        rows[kind, block, node, "own" if several and reading.own else "other", form] = None
+                        rows[kind, block, node, "own" if several and reading.own else "other", form, None, None] = None
                 if reading.own:
-                    rows[kind, block, node, "words", " ".join(reading.words)] = None
-            yield pd.DataFrame(list(rows), columns=["kind", "block", "node", "what", "value"])
+                    rows[kind, block, node, "words", " ".join(reading.words), None, None] = None
+            yield pd.DataFrame(list(rows), columns=["kind", "block", "node", "what", "value", "world", "name"])
 
-    keyed = texts.select("kind", F.xxhash64("kind", "world").alias("block"), F.xxhash64("kind", "world", "name").alias("node"), "name", "role", "text")
-    return keyed.mapInPandas(read, "kind string, block bigint, node bigint, what string, value string")
+    node = F.xxhash64("kind", "world", "name")
+    keyed = texts.select("kind", F.xxhash64("kind", "world").alias("block"), node.alias("node"), "world", "name", "role", "text")
+    return keyed.mapInPandas(read, "kind string, block bigint, node bigint, what string, value string, world string, name string")
 
 
 def _few_worlds(facts: DataFrame, share: float) -> Column:
@@ -116,8 +130,8 @@ def _few_worlds(facts: DataFrame, share: float) -> Column:
 def _node_forms(facts: DataFrame) -> DataFrame:
     """``kind``, ``block``, ``node``, ``form``: typed forms, and the names in statements that are evidence.
 
-    A name of several words in a statement on its subject is evidence, and so is any other name that is
-    also typed in this world; but not one of several words that statements of many worlds write, as they
+    A name of several words in a statement on its subject is evidence, and so is any other name there, or
+    at the beginning of a statement, that is also typed in this world; but not one of several words that statements of many worlds write, as they
     do places.
     """
     typed = facts.where(F.col("what").isin("key", "alias")).withColumnRenamed("value", "form")
@@ -177,15 +191,19 @@ def _profiles(facts: DataFrame) -> DataFrame:
 def _distinct_forms(nodes: DataFrame) -> DataFrame:
     """Each form of a block once: ``f`` (its hash), ``block``, ``form`` and ``rarity``: of
     each token the forms of the block that have it and the worlds that know it."""
-    forms = nodes.select("block", "kind", "form").distinct()
-    tokens = forms.select("block", "kind", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("token"))
+    forms = nodes.select("block", "kind", "form").distinct().withColumn("f", F.xxhash64("block", "form"))
+    tokens = forms.select("block", "kind", "f", F.explode(F.array_distinct(F.split("form", " "))).alias("token"))
     local = tokens.groupBy("block", "kind", "token").agg(F.count(F.lit(1)).alias("in_world"))
     overall = local.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("worlds"))
     known = local.join(overall, ["kind", "token"]).select("block", "token", "in_world", "worlds")
-    counted = tokens.select("block", "form", "token").join(known, ["block", "token"])
+    counted = tokens.select("block", "f", "token").join(known, ["block", "token"])
     entry = F.concat_ws(":", "token", F.col("in_world").cast("string"), F.col("worlds").cast("string"))
-    rarity = counted.groupBy("block", "form").agg(F.array_join(F.collect_list(entry), " ").alias("rarity"))
-    return rarity.select(F.xxhash64("block", "form").alias("f"), "block", "form", "rarity")
+    # Tokens stand in order, so the entries of a form spell it.
+    return counted.groupBy("block", "f").agg(F.array_join(F.sort_array(F.collect_list(entry)), " ").alias("rarity"))
+
+
+def _form_of(rarity: Column) -> Column:
+    return F.regexp_replace(rarity, r":\d+:\d+", "")
 
 
 def q_grams(form: str) -> list[str]:
@@ -220,7 +238,7 @@ def candidate_forms(forms: DataFrame) -> DataFrame:
     def all_grams(texts: pd.Series) -> pd.Series:
         return texts.map(q_grams)
 
-    counted = forms.select(F.explode(all_grams("form")).alias("gram")).groupBy("gram").count()
+    counted = forms.select(F.explode(all_grams(F.col("form"))).alias("gram")).groupBy("gram").count()
     common = [r["gram"] for r in counted.orderBy(F.desc("count"), "gram").limit(COMMON_GRAMS).collect()]
     late = {gram: COMMON_GRAMS - i for i, gram in enumerate(common)}
 
@@ -243,47 +261,62 @@ def candidate_forms(forms: DataFrame) -> DataFrame:
             "block",
             "f",
             F.get("kept", F.lit(0)).cast("short").alias("n"),
-            F.explode(F.slice("kept", F.lit(2), F.size("kept"))).alias("gram"),
+            F.posexplode(F.slice("kept", F.lit(2), F.size("kept"))).alias("place", "gram"),
         ).select(
             F.xxhash64("block", "gram").alias("key"),
             "f",
+            F.col("place").cast("short").alias("place"),
             # Names meet by their initials only with an acronym (0), not with each other (-1).
             F.when(~F.startswith("gram", F.lit("@")), F.col("n")).otherwise(F.when(F.col("n") == 0, 0).otherwise(-1)).cast("short").alias("n"),
         )
     )
-    left, right = index, index.withColumnsRenamed({"f": "g", "n": "m"})
-    least, most = F.least("n", "m"), F.greatest("n", "m")
-    alike = ((least > 0) & (least >= most * LEAST_SHARED)) | (most == 0)
-    met = left.join(right, "key").where((F.col("f") < F.col("g")) & alike)
+    # Both sides are the same exchange: columns are told apart by alias, not renamed.
+    one, other = index.alias("one"), index.alias("other")
+    n, m = F.col("one.n"), F.col("other.n")
+    least, most = F.least(n, m), F.greatest(n, m)
+    # What two forms can share at most if this is the first q-gram they share, and what they must.
+    shared = F.least(n - F.col("one.place"), m - F.col("other.place"))
+    needed = F.lit(LEAST_SHARED / (1 + LEAST_SHARED)) * (n + m) - 1e-6
+    alike = ((least > 0) & (least >= most * LEAST_SHARED) & (shared >= needed)) | (most == 0)
+    met = one.join(other, F.col("one.key") == F.col("other.key")).where((F.col("one.f") < F.col("other.f")) & alike)
+    met = met.select(F.col("one.f").alias("f"), F.col("other.f").alias("g"))
     return met.select("f", "g").distinct()
 
 
 def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``f``, ``g``, ``likeness`` of the candidates that are at least ``SUPPORTED``."""
-    facts = forms.select("f", "block", "form", "rarity")
+    facts = forms.select("f", "block", "rarity")
     # Keys are hashes of world and q-gram: two worlds whose keys happen to be equal are told apart here.
     joined = pairs.join(facts, "f").join(
-        facts.withColumnsRenamed({"f": "g", "form": "form_g", "rarity": "rarity_g"}), ["g", "block"]
+        facts.withColumnsRenamed({"f": "g", "rarity": "rarity_g"}), ["g", "block"]
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         comparer = Comparer(lexicon)
 
         @lru_cache(maxsize=100_000)
-        def facts_of(form: str, rarity: str) -> tuple[tuple[str, ...], dict[str, Rarity]]:
-            parts = (item.rsplit(":", 2) for item in rarity.split(" "))
-            return tuple(form.split(" ")), {token: Rarity(int(n), int(w)) for token, n, w in parts}
+        def facts_of(rarity: str) -> tuple[str, tuple[str, ...], frozenset[str], dict[str, Rarity]]:
+            parts = [item.rsplit(":", 2) for item in rarity.split(" ")]
+            tokens = tuple(token for token, _, _ in parts)
+            form = " ".join(tokens)
+            return form, tokens, frozenset(q_grams(form)), {token: Rarity(int(n), int(w)) for token, n, w in parts}
+
+        def similar(form: str, x: frozenset[str], other: str, y: frozenset[str]) -> bool:
+            """Whether the pair belongs to the similarity join; acronyms meet by their letters."""
+            shared = len(x & y)
+            return shared >= LEAST_SHARED * (len(x) + len(y) - shared) or "@" in (form[0], other[0])
 
         for batch in batches:
             rows = []
-            for f, g, form, rarity, form_g, rarity_g in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
-                (one, known), (other, known_g) = facts_of(form, rarity), facts_of(form_g, rarity_g)
-                likeness = comparer.forms(one, other, known | known_g)
-                if likeness >= SUPPORTED:
-                    rows.append((f, g, likeness))
+            for f, g, rarity, rarity_g in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+                (form, one, x, known), (form_g, other, y, known_g) = facts_of(rarity), facts_of(rarity_g)
+                if similar(form, x, form_g, y):
+                    likeness = comparer.forms(one, other, known | known_g)
+                    if likeness >= SUPPORTED:
+                        rows.append((f, g, likeness))
             yield pd.DataFrame(rows, columns=["f", "g", "likeness"])
 
-    columns = joined.select("f", "g", "form", "rarity", "form_g", "rarity_g")
+    columns = joined.select("f", "g", "rarity", "rarity_g")
     return columns.mapInPandas(compare, "f bigint, g bigint, likeness double")
 
 
@@ -315,7 +348,8 @@ def scored_pairs(nodes: DataFrame, profiles: DataFrame, lexicon: Lexicon) -> Dat
     """``a`` < ``b``, ``likeness`` of their likest forms, whether each of these is a full
     name, and how far their profiles ``agree`` and ``contradict``."""
     forms = cut_lineage(_distinct_forms(nodes))
-    alike = _alike_forms(candidate_forms(forms), forms, lexicon)
+    spelled = forms.select("block", "f", _form_of(F.col("rarity")).alias("form"))
+    alike = _alike_forms(candidate_forms(spelled), forms, lexicon)
     holders = nodes.select(F.xxhash64("block", "form").alias("f"), "node", _form_kind(F.col("form")).alias("kind"))
     others = holders.withColumnsRenamed({"f": "g", "node": "other", "kind": "other_kind"})
     across = alike.join(holders, "f").join(others, "g")
@@ -439,7 +473,7 @@ def link_names(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
     stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     entities = connected_components(stars.unionByName(chosen))
-    spelled = texts.where("role = 'name'").select("kind", "world", "name", F.xxhash64("kind", "world", "name").alias("node"))
+    spelled = facts.where("what = 'key'").select("kind", "world", "name", "node")
     return spelled.join(entities, "node").select("kind", "world", "name", F.col("component").alias("entity"))
 
 

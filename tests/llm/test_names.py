@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from loreloom.llm.name_forms import Comparer, Lexicon, Rarity, frame, mentions, read_statement, tokens_of
+from loreloom.llm.name_forms import Comparer, Lexicon, Rarity, Reader, frame, mentions, tokens_of
 from loreloom.llm.names import (
     LEAST_SHARED,
     candidate_forms,
@@ -52,12 +52,13 @@ def test_written_names_of_a_statement():
 
 
 def test_reading_tells_the_subject_from_what_is_said():
-    r = read_statement("Nobody knows why  Ann Brimere goes by Rosy now.", ("rosy",), LEXICON)
+    read = Reader(LEXICON).read
+    r = read("Nobody knows why  Ann Brimere goes by Rosy now.", "Rosy")
     assert r.own and "ann brimere" in r.names and "|" in r.words
-    r = read_statement("Ann Brimerre is a clock mender from Old Kessel.", ("ann", "brimere"), LEXICON)
+    r = read("Ann Brimerre is a clock mender from Old Kessel.", "Ann Brimere")
     assert r.words == ["|", "|", "is", "|", "clock", "mender", "from", "^old", "^kessel"]
     assert frame(r.words, frozenset({"is", "from"})) == ("| | is | * from ^", ["clock mender", "^old ^kessel"])
-    assert not read_statement("The road was empty.", ("ann", "brimere"), LEXICON).own
+    assert not read("The road was empty.", "Ann Brimere").own
 
 
 def test_prefix_filter_loses_no_similar_pair(spark, monkeypatch):
