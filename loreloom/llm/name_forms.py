@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import regex
 
@@ -240,8 +241,12 @@ def _is_abbreviation(short: str, long: str) -> bool:
     return all(c in letters for c in short)
 
 
-@dataclass(frozen=True)
-class Rarity:
+@lru_cache(maxsize=10_000)
+def _weight(in_world: int) -> float:
+    return 1 / (1 + math.log(in_world))
+
+
+class Rarity(NamedTuple):
     """How rare a token is: among the spellings of its world and over all worlds."""
 
     in_world: int
@@ -249,7 +254,7 @@ class Rarity:
 
     @property
     def weight(self) -> float:
-        return 1 / (1 + math.log(self.in_world))
+        return _weight(self.in_world)
 
 
 _UNKNOWN = Rarity(1, 1)
@@ -293,43 +298,55 @@ class Comparer:
         edits = _edits(short, long, most)
         return 1 - edits / len(long) * (0.8 if edits == 1 else 1.0) if edits <= most else 0.0
 
-    def token(self, a: str, b: str, rarity: dict[str, Rarity]) -> float:
+    def token(self, a: str, b: str, rare_a: Rarity, rare_b: Rarity) -> float:
         """0 to 1: how likely the two tokens were meant as the same."""
         if a == b:
             return 1.0
         short, long = (a, b) if (len(a), a) <= (len(b), b) else (b, a)
         likeness = self._short(short, long)
-        if likeness >= 0.95 or len(short) == 1:
-            return likeness
-        if both_established(rarity.get(a, _UNKNOWN), rarity.get(b, _UNKNOWN)):
+        if likeness >= 0.95 or len(short) == 1 or both_established(rare_a, rare_b):
             return likeness
         return max(likeness, self._typo(short, long))
 
-    def forms(self, a: tuple[str, ...], b: tuple[str, ...], rarity: dict[str, Rarity]) -> float:
+    def forms(self, a: tuple[str, ...], b: tuple[str, ...], known_a: dict[str, Rarity], known_b: dict[str, Rarity]) -> float:
         """Soft weighted token similarity of two forms."""
         if a == b:
             return 1.0
-        if {t for t in a if t in GENERATIONS} != {t for t in b if t in GENERATIONS}:
+        if not (GENERATIONS.isdisjoint(a) and GENERATIONS.isdisjoint(b)) and GENERATIONS.intersection(a) != GENERATIONS.intersection(b):
             return 0.0
         for one, other in ((a, b), (b, a)):
             if len(one) == 1 and one[0].startswith("@"):
                 letters = sorted(one[0][1:])
                 return 0.93 if len(other) > 1 and sorted(t[0] for t in other) == letters else 0.0
-        scored = [(self.token(x, y, rarity), i, j) for i, x in enumerate(a) for j, y in enumerate(b)]
-        left, right = dict(enumerate(a)), dict(enumerate(b))
+        left, right = list(a), list(b)
         met = total = 0.0
-        for likeness, i, j in sorted(scored, key=lambda s: (-s[0], s[1], s[2])):
-            if likeness < 0.5:
-                break
-            if i in left and j in right:
-                x, y = left.pop(i), right.pop(j)
-                both = max(rarity.get(x, _UNKNOWN).weight, rarity.get(y, _UNKNOWN).weight)
-                met += likeness * both
-                total += both
+        for token in a:
+            if token in right:  # equal tokens pair first
+                left.remove(token)
+                right.remove(token)
+                weight = max(known_a.get(token, _UNKNOWN).weight, known_b.get(token, _UNKNOWN).weight)
+                met += weight
+                total += weight
+        if left and right:
+            scored = [
+                (self.token(x, y, known_a.get(x, _UNKNOWN), known_b.get(y, _UNKNOWN)), i, j) for i, x in enumerate(left) for j, y in enumerate(right)
+            ]
+            gone_left, gone_right = set(), set()
+            for likeness, i, j in sorted(scored, key=lambda s: (-s[0], s[1], s[2])):
+                if likeness < 0.5:
+                    break
+                if i not in gone_left and j not in gone_right:
+                    gone_left.add(i)
+                    gone_right.add(j)
+                    weight = max(known_a.get(left[i], _UNKNOWN).weight, known_b.get(right[j], _UNKNOWN).weight)
+                    met += likeness * weight
+                    total += weight
+            left = [t for i, t in enumerate(left) if i not in gone_left]
+            right = [t for j, t in enumerate(right) if j not in gone_right]
         if not total:
             return 0.0
-        rest = [*left.values(), *right.values()]
-        missing = sum(rarity.get(t, _UNKNOWN).weight * (1.0 if len(t) > 1 else 0.3) for t in rest)
+        missing = sum(known_a.get(t, _UNKNOWN).weight * (1.0 if len(t) > 1 else 0.3) for t in left)
+        missing += sum(known_b.get(t, _UNKNOWN).weight * (1.0 if len(t) > 1 else 0.3) for t in right)
         likeness = met / (total + 0.5 * missing)
         return likeness * (0.7 if left and right else 1.0)
 

@@ -45,13 +45,16 @@ USUAL_FRAME, FRAME_SHARE = 1 / 300, 0.25
 LEAD = 0.1
 
 
-def _may_tell(name: Column, text: Column) -> Column:
-    """Whether a statement may be read for a name: it holds the beginning or end of a word of the name (or of
-    initials a full stop or the name as it stands), or begins with a name."""
-    low = F.lower(text)
+def _stems(name: Column) -> Column:
+    """Beginnings and ends of the words of a name, in lower case."""
     words = F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)
-    held = F.exists(words, lambda w: F.contains(low, F.left(w, F.lit(4))) | F.contains(low, F.right(w, F.lit(4))))
-    return F.contains(text, name) | held | F.rlike(text, F.lit(STARTS_WITH_NAME)) | F.rlike(text, F.lit(r"\p{Lu}\.\p{Lu}"))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(F.left(w, F.lit(4)), F.right(w, F.lit(4))))))
+
+
+def _may_tell(name: Column, stems: Column, text: Column) -> Column:
+    """Whether a statement may be read for a name: it holds the name or a stem of it, or begins with a name."""
+    low = F.lower(text)
+    return F.contains(text, name) | F.exists(stems, lambda w: F.contains(low, w)) | F.rlike(text, F.lit(STARTS_WITH_NAME))
 
 
 def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: str | None) -> DataFrame:
@@ -74,11 +77,12 @@ def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: s
         worlds = F.broadcast(worlds)
     return (
         states.where(F.col("session_id").isNotNull() & F.col("entry_key").isNotNull())
-        .select("session_id", F.col("entry_key").alias("name"), F.concat(*lists).alias("texts"))
+        .select("session_id", F.col("entry_key").alias("name"), _stems(F.col("entry_key")).alias("stems"), F.concat(*lists).alias("texts"))
         .join(worlds, "session_id")
-        .select(F.lit(kind).alias("kind"), "world", "name", F.inline("texts"))
+        .select("world", "name", "stems", F.inline("texts"))
         .where(F.col("text").isNotNull() & (F.col("text") != ""))
-        .where((F.col("role") != "said") | _may_tell(F.col("name"), F.col("text")))
+        .where((F.col("role") != "said") | _may_tell(F.col("name"), F.col("stems"), F.col("text")))
+        .select(F.lit(kind).alias("kind"), "world", "name", "role", "text")
         .distinct()
     )
 
@@ -160,8 +164,9 @@ def _profiles(facts: DataFrame) -> DataFrame:
     """
     said = facts.where("what = 'words'").select("kind", "block", "node", F.col("value").alias("words"))
     plain_words = F.filter(F.array_distinct(F.split(F.translate("words", "^", ""), " ")), lambda w: w != "|")
-    found = said.select("kind", "block", F.explode(plain_words).alias("word")).distinct()
-    usual = found.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("worlds")).where(~_few_worlds(facts, COMMON_WORD))
+    # Near the threshold a few per cent of the count decide nothing, hence sketches in place of a shuffle of all words.
+    found = said.select("kind", "block", F.explode(plain_words).alias("word"))
+    usual = found.groupBy("kind", "word").agg(F.approx_count_distinct("block", 0.03).alias("worlds")).where(~_few_worlds(facts, COMMON_WORD))
     common: dict[str, set[str]] = {}
     for row in usual.select("kind", "word").collect():
         common.setdefault(row["kind"], set()).add(row["word"])
@@ -311,7 +316,7 @@ def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFr
             for f, g, rarity, rarity_g in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
                 (form, one, x, known), (form_g, other, y, known_g) = facts_of(rarity), facts_of(rarity_g)
                 if similar(form, x, form_g, y):
-                    likeness = comparer.forms(one, other, known | known_g)
+                    likeness = comparer.forms(one, other, known, known_g)
                     if likeness >= SUPPORTED:
                         rows.append((f, g, likeness))
             yield pd.DataFrame(rows, columns=["f", "g", "likeness"])

@@ -30,7 +30,7 @@ def test_tokens(name, tokens):
 
 def test_likeness():
     compare = Comparer(LEXICON)
-    like = lambda a, b, r={}: compare.forms(tokens_of(a, LEXICON), tokens_of(b, LEXICON), r)
+    like = lambda a, b, r={}: compare.forms(tokens_of(a, LEXICON), tokens_of(b, LEXICON), r, r)
     assert like("Ann Brimere", "Brimere Ann") == 1
     assert like("Wilmarund Brimere", "Will Brimere") > 0.9
     assert like("Ann Brimere", "Ann Brimeree") > 0.85
