@@ -53,12 +53,22 @@ def has_quote(text: Column) -> Column:
 
 
 def strip_thinking(text: Column) -> Column:
-    """Without the model's thoughts: a closed block (also namespaced) is removed, an open
-    one takes the rest, a lone closing mark takes what stands before it."""
-    opened, closed = r"<(?:\w+:)?think>", r"</(?:\w+:)?think>"
-    cleaned = F.regexp_replace(text, rf"(?s){opened}.*?{closed}", "")
-    after = F.regexp_replace(cleaned, rf"(?s)^.*{closed}", "")
-    return strip_space(F.when(F.rlike(after, F.lit(opened)), F.regexp_replace(after, rf"(?s){opened}.*$", "")).otherwise(after))
+    """What follows the model's thoughts.
+
+    A text without any mark stays as it stands.  With an opening mark all before the first fitting
+    closing mark goes, what stood before the opening one too; without a closing mark nothing is
+    left.  A lone closing mark takes what stands before it.  Marks may carry a name (``<ns:think>``),
+    which the closing one repeats.
+    """
+    opened, closed = r"(?s)<((?:.+?:)?)think>", r"(?s)</(?:.+?:)?think>"
+    name = F.regexp_extract(text, opened, 1)
+    has_open = F.rlike(text, F.lit(opened))
+    own_close = F.concat(F.lit("</"), name, F.lit("think>"))
+    after_own = F.substr(text, F.position(own_close, text) + F.length(own_close))
+    after_any = F.regexp_replace(text, r"(?s)^.*?</(?:.+?:)?think>", "")
+    ended = F.when(name != "", F.contains(text, own_close)).otherwise(F.rlike(text, F.lit(closed)))
+    rest = F.regexp_replace(F.when(name != "", after_own).otherwise(after_any), r"^\s+", "")
+    return F.when(ended, rest).when(has_open, F.lit("")).otherwise(text)
 
 
 def strip_fences(text: Column) -> Column:
@@ -87,17 +97,46 @@ def mark_field(value: Column, path: Column) -> Column:
     return F.concat(value, F.lit(" " + "<" * 12 + " "), path)
 
 
+#: White space of one byte, the same class in every dialect.
+_WHITE = r"[\t-\r ]"
+#: Introductions that a model puts before its answer, whatever the case.
+INTRODUCTIONS = (
+    r"(?:Here's|Here is) my response as \"\w+\":",
+    r"(?:Of course|Certainly|Here is the response|Here's the story|Here is your story), as requested:",
+)
+#: Words from which on a block that looks like a title is a paragraph.
+TITLE_WORDS = 8
+
+
 def meaningful_paragraphs(text: Column) -> Column:
-    """Paragraphs that say something: without list or bold titles, introductions and
-    headings of fewer than eight words that end in a colon; quotes around one are removed."""
-    bare = F.transform(paragraphs(text), lambda p: F.regexp_replace(p, '^"(.*)"$', "$1"))
-    kept = F.filter(
-        bare,
-        lambda p: ~(F.rlike(p, F.lit(r"^\*\*[^*]+\*\*:?$")) | F.rlike(p, F.lit(r"^#+\s")))
-        & ~(F.endswith(p, F.lit(":")) & (F.size(F.split(p, r"\s+")) < 8))
-        & ~F.rlike(p, F.lit(r"^(?:Here is|Here are|Sure)\b")),
+    """Paragraphs that say something, joined by blank lines; empty for null.
+
+    Quotation marks around the whole text and an introduction are removed, the text is cut at blank
+    lines, a list mark with a bold title before a paragraph goes, and blocks that are titles are
+    dropped: bold ones that are short or end in a colon, others that are short and end in a colon.
+    """
+    trim = lambda t: F.regexp_replace(t, rf"^{_WHITE}+|{_WHITE}+$", "")
+    bare = trim(F.coalesce(text, F.lit("")))
+    wrapped = F.startswith(bare, F.lit('"')) & F.endswith(bare, F.lit('"'))
+    bare = F.when(wrapped, trim(F.substr(bare, F.lit(2), F.greatest(F.length(bare) - 2, F.lit(0))))).otherwise(bare)
+    for introduction in INTRODUCTIONS:
+        bare = F.regexp_replace(bare, rf"(?i)^{introduction}{_WHITE}*", "")
+    blocks = F.transform(F.split(trim(bare), rf"\n{_WHITE}*\n+"), trim)
+    blocks = F.transform(
+        F.filter(blocks, lambda b: b != ""),
+        lambda b: F.regexp_replace(b, rf"^{_WHITE}*[*-]{_WHITE}*\*\*([^\n]*?)\*\*:{_WHITE}*", ""),
     )
-    return F.array_join(kept, "\n\n")
+
+    def few(block: Column) -> Column:
+        return F.size(F.filter(F.split(block, rf"{_WHITE}+"), lambda w: w != "")) < TITLE_WORDS
+
+    def is_title(block: Column) -> Column:
+        inside = trim(F.substr(block, F.lit(3), F.greatest(F.length(block) - 4, F.lit(0))))
+        colon = F.endswith(block, F.lit(":"))
+        bold = F.startswith(block, F.lit("**")) & F.endswith(block, F.lit("**"))
+        return (bold & (few(inside) | F.endswith(inside, F.lit(":")))) | (few(block) & colon)
+
+    return F.array_join(F.filter(blocks, lambda b: ~is_title(b)), "\n\n")
 
 
 def strip_prefixes(text: Column, prefixes: list[str]) -> Column:
@@ -164,31 +203,137 @@ def tool_call(text: Column) -> Column:
     return F.when(name != "", F.struct(name.alias("name"), arguments.alias("arguments")))
 
 
-def patch_lines(text: Column) -> Column:
-    """``array<struct<path, value>>`` of the lines ``path: a.b, value: v`` of an answer.
+#: A patch: where to write, what (as JSON), and how that is read.
+PATCHES = "array<struct<path:string,value:string,kind:string>>"
 
-    An empty answer and one that begins with NO have no patches.
+
+def patches_of(answer: Column) -> Column:
+    """The valid patches of an answer in their order: a list, one object, or lines ``path: a.b, value: v``.
+
+    A closing END_OF_UPDATES, thoughts and fences are removed.  An empty answer and NO alone have
+    none; items of a list without a textual path or without a value are left out (a null value is
+    one).  ``value`` is JSON: what is not JSON of its own is written as a string; ``kind`` tells
+    its type.
     """
-    cleaned = strip_space(F.replace(text, F.lit("END_OF_UPDATES"), F.lit("")))
-    lines = F.regexp_extract_all(cleaned, F.lit(r"(?m)^\s*path:\s*[^,\n]+,\s*value:\s*.+$"), F.lit(0))
+    said = strip_space(answer)
+    said = strip_space(F.when(F.endswith(said, F.lit("END_OF_UPDATES")), F.left(said, F.length(said) - 14)).otherwise(said))
+    body = strip_space(strip_response(said))
+    listed = F.when(F.startswith(body, F.lit("[")), F.from_json(body, "array<string>")).when(
+        F.json_object_keys(body).isNotNull(), F.array(body)
+    )
+
+    def item(text: Column) -> Column:
+        keys = F.json_object_keys(text)
+        raw = F.from_json(text, "path string, value string")
+        plain = F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0].path")
+        textual = F.rlike(text, F.lit(r'"path"\s*:\s*"'))
+        value = F.when(raw["value"].isNull(), "null").when(
+            F.rlike(text, F.lit(r'"value"\s*:\s*"')), F.to_json(F.array(raw["value"]))
+        ).otherwise(raw["value"])
+        value = F.when(F.rlike(text, F.lit(r'"value"\s*:\s*"')), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.when(
+            F.array_contains(keys, "path") & F.array_contains(keys, "value") & textual & plain.isNotNull(),
+            F.struct(raw["path"].alias("path"), value.alias("value"), literal_type(value).alias("kind")),
+        )
+
+    lines = F.regexp_extract_all(body, F.lit(r"(?m)^\s*path\s*:\s*[^,]+?\s*,\s*value\s*:\s*.+$"), F.lit(0))
     parsed = F.transform(
         lines,
         lambda line: F.struct(
-            F.trim(F.regexp_extract(line, r"path:\s*([^,\n]+),", 1)).alias("path"),
-            F.trim(F.regexp_extract(line, r"value:\s*(.+)$", 1)).alias("value"),
+            F.trim(F.regexp_extract(line, r"path\s*:\s*([^,]+?)\s*,", 1)).alias("path"),
+            literal_value(F.trim(F.regexp_extract(line, r"value\s*:\s*(.+)$", 1))).alias("value"),
+            literal_type(literal_value(F.trim(F.regexp_extract(line, r"value\s*:\s*(.+)$", 1)))).alias("kind"),
         ),
     )
-    none = F.array().cast("array<struct<path:string,value:string>>")
-    return F.when((cleaned == "") | F.startswith(cleaned, F.lit("NO")), none).otherwise(parsed)
+    none = F.array().cast(PATCHES)
+    items = F.filter(F.transform(listed, item), lambda p: p.isNotNull())
+    return F.when((said == "") | (said == "NO"), none).when(listed.isNotNull(), items.cast(PATCHES)).otherwise(parsed.cast(PATCHES))
+
+
+def patch_lines(text: Column) -> Column:
+    """``array<struct<path, value>>`` of an answer's patches, values as text."""
+    return F.transform(patches_of(text), lambda p: F.struct(p["path"].alias("path"), p["value"].alias("value")))
+
+
+def literal_value(text: Column) -> Column:
+    """A written value as JSON: itself if it is JSON, a word for true, false or null as that, else a string."""
+    low = F.lower(text)
+    number = F.rlike(text, F.lit(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"))
+    quoted = F.rlike(text, F.lit(r'^"(?:[^"\\]|\\.)*"$'))
+    nested = (F.startswith(text, F.lit("{")) & F.json_object_keys(text).isNotNull()) | (
+        F.startswith(text, F.lit("[")) & F.json_array_length(text).isNotNull()
+    )
+    escaped = F.to_json(F.array(text))
+    return (
+        F.when(low.isin("true", "false", "null"), low)
+        .when(number, F.regexp_replace(text, r"^\+", ""))
+        .when(quoted | nested, text)
+        .otherwise(F.substr(escaped, F.lit(2), F.length(escaped) - 2))
+    )
 
 
 def literal_type(value: Column) -> Column:
-    """What a written value is read as: boolean, null, int, float, json or string."""
+    """What a JSON value is: boolean, null, int, float, list, dict or string."""
     return (
-        F.when(F.lower(value).isin("true", "false"), "boolean")
-        .when(F.lower(value).isin("null", "none"), "null")
+        F.when(value.isin("true", "false"), "boolean")
+        .when(value == "null", "null")
         .when(F.rlike(value, F.lit(r"^-?\d+$")), "int")
-        .when(F.rlike(value, F.lit(r"^-?\d+\.\d+$")), "float")
-        .when(F.rlike(value, F.lit(r"^[\[{]")) , "json")
+        .when(F.rlike(value, F.lit(r"^-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")), "float")
+        .when(F.startswith(value, F.lit("[")), "list")
+        .when(F.startswith(value, F.lit("{")), "dict")
         .otherwise("string")
     )
+
+
+def typed_answer(answer: Column, kind: Column) -> Column:
+    """An answer as JSON of the type that a field asks for; null if it does not fit, which asks for another try.
+
+    ``kind``: int, float, bool, list, list[str], dict or anything else (a string).  A list of strings that
+    is no JSON is cut at commas; true, yes and 1 are true, any other word false.
+    """
+    said = strip_space(strip_response(answer))
+    whole = F.when(F.rlike(said, F.lit(r"^[+-]?\d+$")), said.try_cast("bigint").cast("string"))
+    number = F.when(F.rlike(said, F.lit(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")), said.try_cast("double").cast("string"))
+    listed = F.when(F.startswith(said, F.lit("[")) & F.json_array_length(said).isNotNull(), said)
+    parts = F.filter(F.transform(F.split(said, ","), strip_space), lambda x: x != "")
+    keyed = F.when(F.json_object_keys(said).isNotNull(), said)
+    text = F.to_json(F.array(said))
+    return (
+        F.when(kind == "int", whole)
+        .when(kind == "float", number)
+        .when(kind == "bool", F.lower(said).isin("true", "yes", "1").cast("string"))
+        .when(kind == "list[str]", F.coalesce(listed, F.to_json(parts)))
+        .when(F.startswith(kind, F.lit("list")), listed)
+        .when(F.startswith(kind, F.lit("dict")), keyed)
+        .otherwise(F.substr(text, F.lit(2), F.length(text) - 2))
+    )
+
+
+def stop_hit(text: Column, stops: list[str], *, anywhere: bool) -> Column:
+    """The first of ``stops``, in their order, that ``text`` begins with (white space aside) or holds; null if none."""
+    low = F.regexp_replace(text, r"^\s+", "")
+    test = (lambda s: F.contains(text, s)) if anywhere else (lambda s: F.startswith(low, s))
+    return F.get(F.filter(F.array(*[F.lit(s) for s in stops]), test), F.lit(0))
+
+
+def clock_part(stamp: Column) -> Column:
+    """What follows the T of an ISO time; null without one."""
+    return F.nullif(F.split_part(stamp, F.lit("T"), F.lit(2)), F.lit(""))
+
+
+def template_dialect(template: Column) -> Column:
+    """``jinja`` if a template opens an expression or a statement of that dialect, else ``format``."""
+    return F.when(F.contains(template, F.lit("{{ ")) | F.contains(template, F.lit("{%")), "jinja").otherwise("format")
+
+
+def tool_response(status: Column, output: Column, error: Column) -> Column:
+    """The answer of a tool as JSON text: its output, or an object with the error."""
+    failed = F.concat(F.lit('{"error": '), F.substr(F.to_json(F.array(error)), F.lit(2), F.length(F.to_json(F.array(error))) - 2), F.lit("}"))
+    return F.when(status == "error", failed).otherwise(output)
+
+
+def bullet_text(entries: Column, most: int = 2_000) -> Column:
+    """A map as lines ``- key: value`` in the order written, cut to ``most`` characters with dots."""
+    lines = F.transform(F.map_entries(entries), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None"))))
+    text = F.array_join(lines, "\n")
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)

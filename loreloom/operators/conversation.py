@@ -93,16 +93,48 @@ def tag_chunks(stored: DataFrame, tags: DataFrame, key: list[str], columns: list
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in stored.columns])
 
 
+#: Numbers of one cell of the next level, as a power of two, and levels (together all of 32 bits).
+_CELL_BITS, _LEVELS = 8, 4
+
+
+def _cells(lo: Column, hi: Column) -> Column:
+    """Cells ``(level, cell)`` that cover ``lo`` to ``hi`` exactly: at most 510 of each level, however long it is."""
+
+    def bounds(level: int) -> tuple[Column, Column]:
+        width = 1 << (_CELL_BITS * level)
+        return F.ceil(lo / width).cast("bigint"), (F.floor((hi + 1) / width) - 1).cast("bigint")
+
+    def run(level: int, first: Column, last: Column) -> Column:
+        cells = F.transform(F.sequence(first, last), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
+        return F.when(first <= last, cells).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+
+    parts = []
+    for level in range(_LEVELS):
+        first, last = bounds(level)
+        if level == _LEVELS - 1:
+            parts.append(run(level, first, last))
+            continue
+        up, down = bounds(level + 1)
+        inner = up <= down
+        parts.append(run(level, first, F.when(inner, F.shiftleft(up, _CELL_BITS) - 1).otherwise(last)))
+        parts.append(run(level, F.when(inner, F.shiftleft(down + 1, _CELL_BITS)).otherwise(F.lit(1).cast("bigint")), F.when(inner, last).otherwise(F.lit(0).cast("bigint"))))
+    return F.flatten(F.array(*parts))
+
+
 def interval_tags(points: DataFrame, intervals: DataFrame, group: str, point: str) -> DataFrame:
     """Each point with the interval that holds it; of several the one with the greatest ``ord``.
 
-    ``intervals``: ``group``, ``name``, ``ord``, ``lo``, ``hi``, both ends inclusive.  An
-    interval is spread over the points it covers, so the join is one on equality.
+    ``intervals``: ``group``, ``name``, ``ord``, ``lo``, ``hi``, both ends inclusive.  An interval is spread
+    over cells of widths 1, 256, 256^2 and so on, of which it needs few whatever its length, and a point
+    lies in one cell of each width, so the join is one on equality.
     """
-    covered = intervals.where(F.col("lo") <= F.col("hi")).select(
-        group, F.explode(F.sequence("lo", "hi")).alias(point), "name", "ord"
+    spread = intervals.where(F.col("lo") <= F.col("hi")).select(
+        group, F.inline(_cells(F.col("lo").cast("bigint"), F.col("hi").cast("bigint"))), "name", "ord"
     )
-    chosen = covered.groupBy(group, point).agg(F.max(F.struct("ord", "name"))["name"].alias("tag"))
+    best = spread.groupBy(group, "level", "cell").agg(F.max(F.struct("ord", "name")).alias("best"))
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(F.col(point).cast("bigint"), _CELL_BITS * i).alias("cell")) for i in range(_LEVELS)])
+    placed = points.select(group, point).distinct().select(group, point, F.inline(levels))
+    chosen = placed.join(best, [group, "level", "cell"]).groupBy(group, point).agg(F.max("best")["name"].alias("tag"))
     return points.join(chosen, [group, point], "left")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,19 @@ from loreloom.session import cut_lineage
 IMPORTANT = 75
 
 
-def latest_entries(states: DataFrame, columns: list[str]) -> DataFrame:
+def latest_entries(states: DataFrame, columns: list[str], snapshots: DataFrame | None = None) -> DataFrame:
     """Entries of each session's last snapshot, each as last delivered.
 
+    ``snapshots`` (``session_id``, ``snapshot_seq``) lists what was delivered in any table, so that an
+    empty last part of a snapshot has no entries; by default these are the snapshots of ``states``.
     Rows without session, number or key are dropped; the last number is an aggregate
     joined back, so no session is sorted.
     """
     known = states.where(
         F.col("session_id").isNotNull() & F.col("snapshot_seq").isNotNull() & F.col("entry_key").isNotNull()
     )
-    last = known.groupBy("session_id").agg(F.max("snapshot_seq").alias("snapshot_seq"))
+    delivered = known if snapshots is None else snapshots
+    last = delivered.groupBy("session_id").agg(F.max("snapshot_seq").alias("snapshot_seq"))
     rows = known.join(last, ["session_id", "snapshot_seq"])
     newest = F.max_by(F.struct(*columns), F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp")))
     return rows.groupBy("session_id", "entry_key").agg(newest.alias("__row")).select("session_id", "entry_key", "__row.*")
@@ -61,24 +66,29 @@ def closure(seeds: DataFrame, edges: DataFrame, group: str) -> DataFrame:
     """All nodes that ``seeds`` (``group``, ``node``) reach over ``edges`` (``group``, ``src``, ``dst``).
 
     A fix-point loop: each round follows the edges of the newest nodes and drops those
-    already reached; it ends when a round finds none, so cycles end too.  Rounds are
-    materialised in the reliable checkpoint folder; the driver sees only whether one was empty.
+    already reached; it ends when a round finds none, so cycles end too.  Each round's new nodes are
+    materialised once in the reliable checkpoint folder; the driver sees only whether there were any.
     Result: ``group``, ``node``, ``depth`` (steps from the nearest seed).
     """
     steps = cut_lineage(edges.select(group, "src", "dst").distinct())
-    reached = cut_lineage(seeds.select(group, "node").distinct().withColumn("depth", F.lit(0)))
-    newest, depth = reached, 0
+    frontiers = [cut_lineage(seeds.select(group, "node").distinct().withColumn("depth", F.lit(0)))]
     while True:
-        depth += 1
+        reached = reduce(DataFrame.unionByName, frontiers)
         found = (
-            newest.select(group, F.col("node").alias("src"))
+            frontiers[-1]
+            .select(group, F.col("node").alias("src"))
             .join(steps, [group, "src"])
             .select(group, F.col("dst").alias("node"))
             .distinct()
             .join(reached, [group, "node"], "left_anti")
-            .withColumn("depth", F.lit(depth))
+            .withColumn("depth", F.lit(len(frontiers)))
         )
         newest = cut_lineage(found)
         if newest.isEmpty():
             return reached
-        reached = cut_lineage(reached.unionByName(newest))
+        frontiers.append(newest)
+
+
+def pair_edges(edges: DataFrame, pairs: DataFrame, threshold: int = 0) -> DataFrame:
+    """Edges of the asked ``pairs`` (``session_id``, ``src``, ``dst``) of at least ``threshold``; both directions are two pairs."""
+    return edges.join(pairs.distinct(), ["session_id", "src", "dst"], "left_semi").where(is_important(F.col("importance"), threshold))

@@ -7,18 +7,60 @@ as ``{}`` or ``[]``).
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.functions.documents import let
 
 LEAVES = "array<struct<path:array<string>,ord:array<int>,value:string>>"
-#: Levels that a document is opened; deeper parts stay as JSON text.
+#: Levels that a document is opened by expressions; a deeper document is read as a whole (``_deep_leaves``).
 DEPTH = 8
 
 
+def _read_whole(document: str) -> list[tuple[list[str], list[int], str | None]]:
+    """Leaves of one document of any depth, as ``leaves`` gives them."""
+    found: list[tuple[list[str], list[int], str | None]] = []
+    waiting: list[tuple[list[str], list[int], object]] = [
+        ([], [], json.loads(document, parse_float=_Number, parse_int=_Number, object_pairs_hook=_Pairs))
+    ]
+    while waiting:
+        path, place, value = waiting.pop()
+        if isinstance(value, _Pairs):
+            parts, empty = list(value), "{}"
+        elif isinstance(value, list):
+            parts, empty = [(str(i), v) for i, v in enumerate(value)], "[]"
+        else:
+            found.append((path, place, value if value is None or isinstance(value, str) else json.dumps(value)))
+            continue
+        if not parts:
+            found.append((path, place, empty))
+        waiting.extend([([*path, k], [*place, i], v) for i, (k, v) in enumerate(parts)][::-1])
+    return found
+
+
+def _deep_leaves(document: Column) -> Column:
+    """``_read_whole`` in Arrow batches, for documents below ``DEPTH`` levels only; null for null."""
+
+    @F.pandas_udf(LEAVES)
+    def read(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda d: None if d is None else _read_whole(d))
+
+    return read(document)
+
+
+class _Number(str):
+    """A number as written."""
+
+
+class _Pairs(list):
+    """Members of an object in the order written."""
+
+
 def leaves(text: Column, depth: int = DEPTH) -> Column:
-    """Leaves of a JSON document in the order written; null for null."""
+    """Leaves of a JSON document in the order written, down to ``depth`` levels; null for null."""
 
     def children(value: Column) -> Column:
         kind = "array<struct<key:string,item:string>>"
@@ -55,8 +97,14 @@ def leaves(text: Column, depth: int = DEPTH) -> Column:
 
 
 def leaf_table(documents: DataFrame, key: list[str], doc: str) -> DataFrame:
-    """``key``, ``path``, ``ord``, ``value``: one row for each leaf."""
-    return documents.select(*key, F.inline(leaves(F.col(doc))))
+    """``key``, ``path``, ``ord``, ``value``: one row for each leaf, however deep.
+
+    Documents within ``DEPTH`` levels are opened by expressions; only deeper ones cross to Python.
+    """
+    opened = documents.select(*key, F.col(doc).alias("__doc"), leaves(F.col(doc)).alias("__leaves"))
+    closed = F.exists("__leaves", lambda x: (F.size(x["path"]) == DEPTH) & (F.json_object_keys(x["value"]).isNotNull() | F.json_array_length(x["value"]).isNotNull()))
+    deep = _deep_leaves(F.when(closed, F.col("__doc")))
+    return opened.select(*key, F.inline(F.coalesce(deep, F.col("__leaves"))))
 
 
 def path_text(path: Column) -> Column:
@@ -89,15 +137,30 @@ def fuzzy_key(rows: DataFrame, group: list[str], key: str, order: str, patterns:
 
 
 def search(leaf_rows: DataFrame, key: list[str], terms: list[str], most: int = 10) -> DataFrame:
-    """For each term the first ``most`` leaves whose last step or value contains it, and how many there are."""
-    last = F.lower(F.element_at("path", -1))
-    fits = lambda t: F.contains(last, t) | F.contains(F.lower("value"), t)
-    found = leaf_rows.where(F.size("path") > 0).select(
-        *key, "path", "value", F.explode(F.filter(F.array(*[F.lit(t) for t in terms]), fits)).alias("term")
+    """For each term the first ``most`` hits and how many there are: ``term``, ``key``, ``path``, ``value``, ``matched_on``, ``total_found``.
+
+    A leaf is hit by its value; any step, inner ones too, by its key, with the path down to it and a null
+    value unless it is the leaf.  Of hits on one path the one on the key stands.  Hits are found once and
+    counted before the best are ranked; the ranking of a term is a top-k, combined before the shuffle.
+    """
+    wanted = F.array(*[F.lit(t) for t in terms])
+    inside = F.transform(
+        "path",
+        lambda step, i: F.struct(
+            F.slice("path", F.lit(1), i + 1).alias("path"),
+            F.when(i == F.size("path") - 1, F.col("value")).alias("value"),
+            F.lower(step).alias("text"),
+            F.lit("key").alias("matched_on"),
+        ),
+    )
+    own = F.array(F.struct(F.col("path"), F.col("value"), F.lower("value").alias("text"), F.lit("value").alias("matched_on")))
+    parts = leaf_rows.where(F.size("path") > 0).select(*key, F.inline(F.concat(inside, own)))
+    hits = parts.select(
+        *key, path_text(F.col("path")).alias("path"), "value", "matched_on", F.explode(F.filter(wanted, lambda t: F.contains(F.col("text"), t))).alias("term")
     )
-    hits = found.withColumn("path", path_text(F.col("path"))).distinct()
+    hits = hits.groupBy("term", *key, "path").agg(F.min(F.struct("matched_on", "value")).alias("h")).select("term", *key, "path", "h.value", "h.matched_on")
     total = hits.groupBy("term").agg(F.count(F.lit(1)).alias("total_found"))
-    best = Window.partitionBy("term").orderBy(*key, "path", "value")
+    best = Window.partitionBy("term").orderBy(*key, "path")
     ranked = hits.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= most).drop("__n")
     return ranked.join(total, "term")
 

@@ -11,15 +11,21 @@ from loreloom.operators.running import running_sum
 CHAPTER_BOUNDS, ARC_BOUNDS = (4, 10), (3, 12)
 
 
-def gate_rejects(answer: Column) -> Column:
-    """A gate rejects on an answer that begins with NO or contains UNCHANGED."""
+#: Stop reasons that mean nothing has to change.
+_UNCHANGED = ("NO", "UNCHANGED")
+
+
+def gate_rejects(answer: Column, stop: Column | None = None) -> Column:
+    """A gate rejects on a stop reason of NO or UNCHANGED, and on an answer that begins with NO or contains UNCHANGED."""
     said = F.upper(F.trim(answer))
-    return F.startswith(said, F.lit("NO")) | F.contains(said, F.lit("UNCHANGED"))
+    stopped = F.lit(False) if stop is None else F.coalesce(F.upper(F.trim(stop)).isin(*_UNCHANGED), F.lit(False))
+    return stopped | F.coalesce(F.startswith(said, F.lit("NO")) | F.contains(said, F.lit("UNCHANGED")), F.lit(False))
 
 
-def query_rejects(answer: Column) -> Column:
-    """A branch query rejects only on NO or UNCHANGED alone."""
-    return F.upper(F.trim(answer)).isin("NO", "UNCHANGED")
+def query_rejects(answer: Column, stop: Column | None = None) -> Column:
+    """A branch query rejects on the same stop reasons, and only on NO or UNCHANGED alone."""
+    stopped = F.lit(False) if stop is None else F.coalesce(F.upper(F.trim(stop)).isin(*_UNCHANGED), F.lit(False))
+    return stopped | F.coalesce(F.upper(F.trim(answer)).isin(*_UNCHANGED), F.lit(False))
 
 
 def closes(answer: Column, stop: Column, count: Column, bounds: tuple[int, int]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.functions.text import loose_words
@@ -11,13 +11,19 @@ from loreloom.functions.text import loose_words
 def whole_word_mentions(texts: DataFrame, names: DataFrame, group: str) -> DataFrame:
     """``texts`` x ``names`` of one group where the name occurs as whole words.
 
-    ``texts`` has a column ``text``, ``names`` one ``name``.  The join is on ``group``
-    and on the name's first word, so only texts that hold this word are compared.
+    ``texts`` has a column ``text``, ``names`` one ``name``.  The join is on ``group`` and on that word of
+    the name that fewest texts of the group hold, so a common first word brings nothing together.
     """
     words = texts.withColumn("__loose", loose_words(F.col("text")))
     tokens = words.withColumn("__word", F.explode(F.array_distinct(F.split(F.trim("__loose"), " "))))
+    counts = tokens.groupBy(group, "__word").agg(F.count(F.lit(1)).alias("__n"))
     keyed = names.withColumn("__name", loose_words(F.col("name"))).where(F.trim("__name") != "")
-    keyed = keyed.withColumn("__word", F.get(F.split(F.trim("__name"), " "), F.lit(0)))
+    parts = keyed.select(group, "__name").distinct().select(group, "__name", F.explode(F.array_distinct(F.split(F.trim("__name"), " "))).alias("__word"))
+    # A name of which no text has some word occurs nowhere.
+    held = parts.join(counts, [group, "__word"], "left").groupBy(group, "__name").agg(
+        F.min_by("__word", F.struct(F.coalesce("__n", F.lit(0)), "__word")).alias("__word"), F.min(F.coalesce("__n", F.lit(0))).alias("__least")
+    )
+    keyed = keyed.join(held.where(F.col("__least") > 0).drop("__least"), [group, "__name"])
     return (
         tokens.join(keyed, [group, "__word"])
         .where(F.contains("__loose", F.col("__name")))
@@ -25,13 +31,32 @@ def whole_word_mentions(texts: DataFrame, names: DataFrame, group: str) -> DataF
     )
 
 
+def _grams(word: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` letters of a word."""
+    places = F.sequence(F.lit(1), F.length(word) - size + 1)
+    return F.when(F.length(word) >= size, F.array_distinct(F.transform(places, lambda i: F.substr(word, i, F.lit(size)))))
+
+
 def loose_mentions(texts: DataFrame, names: DataFrame, group: str) -> DataFrame:
     """``texts`` x ``names`` of one group where full name, first or last word occur
-    anywhere, whatever the case."""
-    low, name = F.lower("text"), F.lower("name")
-    words = F.split(F.trim(name), r"\s+")
-    hit = F.contains(low, name) | F.contains(low, F.element_at(words, 1)) | F.contains(low, F.element_at(words, -1))
-    return texts.join(names.where(F.trim("name") != ""), group).where(hit)
+    anywhere, whatever the case.
+
+    A full name holds its first word, so first and last words decide, and one lies within one word of a
+    text.  Words of names meet the distinct words of a group's texts by a piece of up to three letters
+    (a q-gram index, verified), and these the texts; no text is compared with all names.
+    """
+    said = texts.withColumn("__token", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+")))).where(F.col("__token") != "")
+    tokens = said.select(group, "__token").distinct()
+    pieces = F.flatten(F.array_compact(F.array(*[_grams(F.col("__token"), size) for size in (1, 2, 3)])))
+    index = tokens.select(group, "__token", F.explode(pieces).alias("__piece"))
+    words = F.split(F.regexp_replace(F.lower("name"), r"^\s+|\s+$", ""), r"\s+")
+    ends = F.array_distinct(F.array(F.element_at(words, 1), F.element_at(words, -1)))
+    wanted = names.where(F.trim("name") != "").select(group, "name", F.explode(ends).alias("__end")).where(F.col("__end") != "")
+    keys = wanted.select(group, "__end").distinct().withColumn("__piece", F.left("__end", F.lit(3)))
+    found = index.join(keys, [group, "__piece"]).where(F.contains("__token", F.col("__end"))).select(group, "__token", "__end")
+    named = found.join(wanted, [group, "__end"]).select(group, "__token", "name").distinct()
+    hits = said.join(named, [group, "__token"]).drop("__token").distinct()
+    return hits.join(names.distinct(), [group, "name"]) if set(names.columns) - {group, "name"} else hits
 
 
 def entity_lists(mentions: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -39,20 +64,72 @@ def entity_lists(mentions: DataFrame, key: list[str], name: str) -> DataFrame:
     return mentions.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(name)), "|").alias("entities"))
 
 
-def speaker_lines(texts: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Lines that open with ``Name:`` and who speaks in them, numbered from 1."""
-    lines = texts.select(*key, F.posexplode(F.split(text, "\n")).alias("__i", "line"))
-    speaker = F.regexp_extract("line", r"^\s*(\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*){0,3})\s*:", 1)
-    return (
-        lines.select(*key, (F.col("__i") + 1).alias("line_no"), speaker.alias("speaker"))
-        .where(F.col("speaker") != "")
+def speaker_lines(texts: DataFrame, names: DataFrame, key: list[str], text: str, group: str) -> DataFrame:
+    """Lines that open with ``Name:`` of a known name, and who speaks in them, numbered from 1.
+
+    ``names``: ``group``, ``name`` (as written: a spelling or an alias), ``speaker`` and ``ord``.  Case and
+    white space around do not count; a name that several have is the first one's.
+    """
+    lines = texts.select(*key, group, F.posexplode(F.split(text, "\n")).alias("__i", "line"))
+    said = lines.withColumn("__name", F.lower(F.regexp_extract("line", r"^\s*([^:]*?)\s*:", 1))).where(F.col("__name") != "")
+    known = names.withColumn("__name", F.lower(F.trim("name"))).where(F.col("__name") != "")
+    known = known.groupBy(group, "__name").agg(F.min_by("speaker", F.struct("ord", "speaker")).alias("speaker"))
+    return said.join(known, [group, "__name"]).select(*key, (F.col("__i") + 1).alias("line_no"), "speaker")
+
+
+#: Pronouns by sex; any other sex has the last list.
+PRONOUNS = {
+    "male": ("he", "him", "his", "himself"),
+    "female": ("she", "her", "hers", "herself"),
+    None: ("they", "them", "their", "theirs", "themself", "themselves"),
+}
+
+
+def pronouns_of(sex: Column) -> Column:
+    lists = {kind: F.array(*[F.lit(w) for w in words]) for kind, words in PRONOUNS.items()}
+    return F.when(sex == "male", lists["male"]).when(sex == "female", lists["female"]).otherwise(lists[None])
+
+
+def referred_tokens(texts: DataFrame, names: DataFrame, key: list[str], text: str, group: str) -> DataFrame:
+    """Words of texts with whom they refer to: ``key``, ``pos`` (from 1), ``word``, ``named``, ``refers_to``.
+
+    ``names``: ``group``, ``name``, ``sex``, ``ord``; a word that is one of a name's words (of three letters
+    or more) names it, the first of several.  ``refers_to`` is given for pronouns: the name mentioned last
+    if the pronoun fits it, else all of the group that it fits, joined by "/".  Texts are walked word by
+    word, the window spans one text.
+    """
+    everyone = [w for words in PRONOUNS.values() for w in words]
+    tokens = texts.select(*key, group, F.posexplode(F.split(text, " ")).alias("__i", "word"))
+    tokens = tokens.withColumn("__bare", F.lower(F.regexp_replace("word", r"[^\p{L}]", "")))
+    listed = names.withColumn("__fits", pronouns_of(F.col("sex")))
+    words = listed.select(group, "name", "ord", "__fits", F.explode(F.split(F.lower("name"), r"[^\p{L}]+")).alias("__bare"))
+    known = words.where(F.length("__bare") > 2).groupBy(group, "__bare").agg(
+        F.min_by(F.struct("name", "__fits"), F.struct("ord", "name")).alias("__named")
+    )
+    marked = tokens.join(known, [group, "__bare"], "left")
+    along = Window.partitionBy(*key).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("__last", F.last("__named", ignorenulls=True).over(along))
+    fitting = listed.select(group, "name", F.explode("__fits").alias("__bare")).distinct()
+    fitting = fitting.groupBy(group, "__bare").agg(F.array_join(F.array_sort(F.collect_set("name")), "/").alias("__all"))
+    is_pronoun = F.col("__bare").isin(*everyone)
+    last = F.when(F.array_contains("__last.__fits", F.col("__bare")), F.col("__last.name"))
+    return marked.join(fitting, [group, "__bare"], "left").select(
+        *key, (F.col("__i") + 1).alias("pos"), "word", F.col("__named.name").alias("named"), F.when(is_pronoun, F.coalesce(last, "__all")).alias("refers_to")
     )
 
 
-def last_named(tokens: DataFrame, group: list[str], order: str, name: str, pronoun: str) -> DataFrame:
-    """For each pronoun token the name mentioned last before it (null if none)."""
-    along = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.withColumn("refers_to", F.last(name, ignorenulls=True).over(along)).where(F.col(pronoun))
+def tag_references(referred: DataFrame, key: list[str]) -> DataFrame:
+    """``tagged``: the texts again, each pronoun followed by whom it refers to in brackets where it stands."""
+    word = F.when(F.col("refers_to").isNull(), F.col("word")).otherwise(F.concat("word", F.lit(" ["), "refers_to", F.lit("]")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", word.alias("w"))))
+    return referred.groupBy(*key).agg(F.array_join(F.transform(ordered, lambda t: t["w"]), " ").alias("tagged"))
+
+
+def speakers_among(paragraphs: DataFrame, speakers: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct speakers of each paragraph that are among the names it holds, joined by bars (a set intersection)."""
+    met = speakers.join(names.withColumnRenamed("name", "speaker"), [*key, "speaker"], "left_semi")
+    found = met.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("speaker")), "|").alias("speakers"))
+    return paragraphs.select(*key).distinct().join(found, key, "left")
 
 
 def union_in_order(parts: list[tuple[DataFrame, int]], key: list[str], name: str, order: str) -> DataFrame:
@@ -98,25 +175,3 @@ def quoted_speakers(sentences: DataFrame, key: list[str], text: str) -> DataFram
     speaker = F.coalesce(F.nullif(after, F.lit("")), F.nullif(before, F.lit("")))
     quoted = F.rlike(F.col(text), F.lit("[\"“”«»]"))
     return sentences.where(quoted & speaker.isNotNull()).select(*key, speaker.alias("speaker"))
-
-
-def tag_pronouns(texts: DataFrame, key: list[str], text: str, names: list[str], pronouns: tuple[str, ...]) -> DataFrame:
-    """``tagged``: each pronoun followed by the last name before it in brackets.
-
-    The text is walked word by word, so a tag is put where its pronoun stands and once;
-    a pronoun before any name stays as it is.  ``names`` is a fixed dictionary of words.
-    """
-    known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
-
-    def step(state, word):  # noqa: ANN001, ANN202
-        bare = F.regexp_replace(word, r"[^\p{L}]", "")
-        tag = F.lower(bare).isin(*pronouns) & state["last"].isNotNull()
-        tagged = F.when(tag, F.concat(word, F.lit(" ["), state["last"], F.lit("]"))).otherwise(word)
-        return F.struct(
-            F.when(F.array_contains(known, bare), bare).otherwise(state["last"]).alias("last"),
-            F.concat(state["out"], F.array(tagged)).alias("out"),
-        )
-
-    walked = F.aggregate(F.split(text, " "), start, step)
-    return texts.select(*key, F.array_join(walked["out"], " ").alias("tagged"))

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.functions.text import (
+    INTRODUCTIONS,
+    TITLE_WORDS,
     command_flags,
     escape_html,
     fill_template,
     has_quote,
-    literal_type,
     mark_field,
     meaningful_paragraphs,
     node_parts,
-    patch_lines,
+    patches_of,
     path_tokens,
     preview,
     references,
@@ -42,9 +43,11 @@ from loreloom.operators.conversation import (
 )
 from loreloom.operators.mentions import (
     entity_lists,
-    last_named,
     loose_mentions,
+    referred_tokens,
     speaker_lines,
+    speakers_among,
+    tag_references,
     union_in_order,
     whole_word_mentions,
 )
@@ -197,15 +200,69 @@ def entity_arrays(spark: SparkSession, sf: str) -> DataFrame:
     return entity_lists(mention_filter(spark, sf), ["session_id", "about", "text"], "name")
 
 
+#: Every spelling and alias by which a session's entries are called, with the place of the entry.
+CALLED = """called AS (
+  SELECT session_id, speaker, name, min(ord) AS ord FROM (
+    SELECT session_id, entry_key AS speaker, entry_key AS name, entry_ord AS ord FROM character_states
+    UNION ALL SELECT session_id, entry_key, entry_key, 1000000 + entry_ord FROM group_states
+    UNION ALL SELECT session_id, entry_key, unnest(aliases), 1000000 + entry_ord FROM group_states)
+  WHERE session_id IS NOT NULL AND speaker IS NOT NULL AND name IS NOT NULL GROUP BY ALL)"""
+SAYING = """saying AS (SELECT DISTINCT context_id, session_id, (i - 1)::INT AS message_idx, messages[i] AS text FROM (
+  SELECT context_id, session_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM retrieval_contexts)
+  WHERE session_id IS NOT NULL AND messages[i] IS NOT NULL)"""
+
+
+def called_names(spark: SparkSession, sf: str) -> DataFrame:
+    people, groups = table(spark, sf, "character_states"), table(spark, sf, "group_states")
+    later = F.col("entry_ord") + 1_000_000
+    rows = (
+        people.select("session_id", F.col("entry_key").alias("speaker"), F.col("entry_key").alias("name"), F.col("entry_ord").alias("ord"))
+        .unionByName(groups.select("session_id", F.col("entry_key").alias("speaker"), F.col("entry_key").alias("name"), later.alias("ord")))
+        .unionByName(groups.select("session_id", F.col("entry_key").alias("speaker"), F.explode("aliases").alias("name"), later.alias("ord")))
+    )
+    rows = rows.where(F.col("session_id").isNotNull() & F.col("speaker").isNotNull() & F.col("name").isNotNull())
+    return rows.groupBy("session_id", "speaker", "name").agg(F.min("ord").alias("ord"))
+
+
+def session_messages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "retrieval_contexts").where(F.col("session_id").isNotNull())
+    listed = rows.select("context_id", "session_id", F.posexplode("messages").alias("message_idx", "text"))
+    return listed.where(F.col("text").isNotNull()).distinct()
+
+
 @catalogue.add(
-    sql=r"""SELECT doc_id, i::INT AS line_no, speaker FROM (
-        SELECT doc_id, i, regexp_extract(lines[i], '^\s*(\p{Lu}[\p{L}''-]*(?: \p{Lu}[\p{L}''-]*){0,3})\s*:', 1) AS speaker
-        FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
-              FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)))
-        WHERE speaker <> ''"""
+    sql=rf"""WITH {CALLED}, {SAYING}, lines AS (
+          SELECT context_id, session_id, message_idx, i::INT AS line_no, lower(regexp_extract(ls[i], '^[\t-\r ]*([^:]*?)[\t-\r ]*:', 1)) AS name FROM (
+            SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM saying))),
+        known AS (SELECT session_id, lower(trim(name)) AS name, arg_min(speaker, (ord, speaker)) AS speaker FROM called GROUP BY ALL)
+        SELECT context_id, message_idx, line_no, speaker FROM lines JOIN known USING (session_id, name) WHERE name <> ''"""
 )
 def speaker_line(spark: SparkSession, sf: str) -> DataFrame:
-    return speaker_lines(table(spark, sf, "documents"), ["doc_id"], "text")
+    """Lines of messages that open with a name or alias known in their session."""
+    return speaker_lines(session_messages(spark, sf), called_names(spark, sf), ["context_id", "message_idx"], "text", "session_id")
+
+
+@catalogue.add(
+    sql="""WITH m AS (SELECT DISTINCT context_id, i, messages_metadata[i] AS m FROM (
+          SELECT context_id, messages_metadata, unnest(range(1, len(messages_metadata) + 1)) AS i FROM retrieval_contexts) WHERE messages_metadata[i] IS NOT NULL),
+        met AS (SELECT context_id, m.paragraph_idx AS para, unnest(list_intersect(m.speakers, m.characters_present)) AS name FROM m)
+        SELECT p.context_id, p.para, string_agg(DISTINCT name, '|' ORDER BY name) AS speakers
+        FROM (SELECT DISTINCT context_id, m.paragraph_idx AS para FROM m WHERE m.paragraph_idx IS NOT NULL) p LEFT JOIN met USING (context_id, para) GROUP BY ALL"""
+)
+def paragraph_speakers(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct speakers of each paragraph number that are also present in the same sentence."""
+    rows = metadata_rows(spark, sf).select(
+        F.col("conv_id").alias("context_id"), F.col("m.paragraph_idx").alias("para"), "ord", "m.speakers", "m.characters_present"
+    )
+    rows = rows.where(F.col("para").isNotNull()).distinct()
+    key = ["context_id", "para", "ord"]
+    said = rows.select(*key, F.explode("speakers").alias("speaker")).where(F.col("speaker").isNotNull())
+    there = rows.select(*key, F.explode("characters_present").alias("name")).distinct()
+    met = speakers_among(rows, said, there, key)
+    names = met.select("context_id", "para", F.explode_outer(F.split("speakers", r"\|")).alias("name"))
+    return names.groupBy("context_id", "para").agg(
+        F.nullif(F.array_join(F.array_sort(F.collect_set("name")), "|"), F.lit("")).alias("speakers")
+    )
 
 
 @catalogue.add(
@@ -285,49 +342,6 @@ def dedup_messages(spark: SparkSession, sf: str) -> DataFrame:
     return first_by_text(rows, ["conv_id"], "text", "message_idx")
 
 
-_STORED = f"""{CHUNKS}, stored AS (SELECT conv_id, node, message_idx, text, 'old' AS state FROM chunks),
-    fresh AS (SELECT conv_id, message_idx || '_summary' AS node, message_idx, left(text, 40) AS text, 'new' AS state
-              FROM conv WHERE message_idx % 5 = 0)"""
-
-
-def _stored_and_fresh(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    messages = conversations(spark, sf)
-    stored = sentence_chunks(messages).select("conv_id", "node", "message_idx", "text", F.lit("old").alias("state"))
-    fresh = messages.where(F.col("message_idx") % 5 == 0).select(
-        "conv_id",
-        F.concat(F.col("message_idx").cast("string"), F.lit("_summary")).alias("node"),
-        "message_idx",
-        F.left("text", F.lit(40)).alias("text"),
-        F.lit("new").alias("state"),
-    )
-    return stored, fresh
-
-
-@catalogue.add(
-    sql=f"""WITH {_STORED} SELECT * FROM stored s WHERE NOT EXISTS (
-        SELECT 1 FROM fresh f WHERE f.conv_id = s.conv_id AND f.message_idx = s.message_idx) UNION ALL SELECT * FROM fresh"""
-)
-def upsert_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    return upsert_chunks(*_stored_and_fresh(spark, sf), ["conv_id", "message_idx"])
-
-
-@catalogue.add(
-    sql=f"""WITH {_STORED} SELECT * FROM stored s WHERE NOT EXISTS (
-        SELECT 1 FROM fresh f WHERE f.conv_id = s.conv_id AND f.message_idx = s.message_idx)"""
-)
-def delete_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    return delete_chunks(*_stored_and_fresh(spark, sf), ["conv_id", "message_idx"])
-
-
-@catalogue.add(
-    sql=f"""WITH {_STORED} SELECT s.conv_id, s.node, s.message_idx, coalesce(f.state, s.state) AS state
-        FROM stored s LEFT JOIN fresh f ON f.conv_id = s.conv_id AND f.message_idx = s.message_idx"""
-)
-def tag_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    stored, fresh = _stored_and_fresh(spark, sf)
-    return tag_chunks(stored.drop("text"), fresh, ["conv_id", "message_idx"], ["state"])
-
-
 SUMMARIES = """summaries AS (
   SELECT DISTINCT context_id AS conv_id, (i - 1) || '_summary' AS node, (i - 1)::INT AS message_idx, messages[i] AS text
   FROM (SELECT context_id, messages, messages_metadata, unnest(range(1, len(messages) + 1)) AS i FROM retrieval_contexts)
@@ -354,12 +368,12 @@ def _stored_and_summaries(spark: SparkSession, sf: str) -> tuple[DataFrame, Data
 
 
 @catalogue.add(sql=f"WITH {_KEPT} {_UNTOUCHED} UNION ALL SELECT * FROM fresh")
-def upsert_summary(spark: SparkSession, sf: str) -> DataFrame:
+def upsert_chunk(spark: SparkSession, sf: str) -> DataFrame:
     return upsert_chunks(*_stored_and_summaries(spark, sf), ["conv_id", "message_idx"])
 
 
 @catalogue.add(sql=f"WITH {_KEPT} {_UNTOUCHED}")
-def delete_summarized(spark: SparkSession, sf: str) -> DataFrame:
+def delete_chunk(spark: SparkSession, sf: str) -> DataFrame:
     return delete_chunks(*_stored_and_summaries(spark, sf), ["conv_id", "message_idx"])
 
 
@@ -367,49 +381,49 @@ def delete_summarized(spark: SparkSession, sf: str) -> DataFrame:
     sql=f"""WITH {_KEPT} SELECT s.conv_id, s.node, s.message_idx, coalesce(f.state, s.state) AS state
         FROM stored s LEFT JOIN fresh f ON f.conv_id = s.conv_id AND f.message_idx = s.message_idx"""
 )
-def tag_summarized(spark: SparkSession, sf: str) -> DataFrame:
+def tag_chunk(spark: SparkSession, sf: str) -> DataFrame:
     stored, fresh = _stored_and_summaries(spark, sf)
     return tag_chunks(stored.drop("text"), fresh, ["conv_id", "message_idx"], ["state"])
 
 
 @catalogue.add(sql=f"WITH {SUMMARIES} SELECT *, 'System' AS speaker, true AS is_summary FROM summaries")
-def summary_whole(spark: SparkSession, sf: str) -> DataFrame:
+def summary_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return summaries(spark, sf).select("*", F.lit("System").alias("speaker"), F.lit(True).alias("is_summary"))
 
 
+_LEFT_TRIM = r"regexp_replace({0}, '^[\t-\r ]+', '')"
+
+
 @catalogue.add(
-    sql=f"""WITH {CONV} SELECT conv_id, message_idx, trim(split_part(c, '</think>', 2), chr(32) || chr(10) || chr(13) || chr(9) || chr(11) || chr(12)) AS closed, '' AS unclosed, text_trim AS lone
-        FROM (SELECT conv_id, message_idx, '<think>' || message_idx || '</think>' || replace(text, '<', '(') AS c,
-              regexp_replace(replace(text, '<', '('), '^\\s+|\\s+$', '', 'g') AS text_trim FROM conv)"""
+    sql=f"""WITH {CONV} SELECT conv_id, message_idx, {_LEFT_TRIM.format("text")} AS closed, '' AS unclosed, {_LEFT_TRIM.format("text")} AS lone,
+          {_LEFT_TRIM.format("text")} AS named, text AS bare FROM conv"""
 )
 def strip_thoughts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = conversations(spark, sf).withColumn("text", F.replace("text", F.lit("<"), F.lit("(")))
+    """Each message after thoughts with text before them, after an open mark, after a lone closing one, after named marks, and bare."""
     number = F.col("message_idx").cast("string")
-    return rows.select(
+    return conversations(spark, sf).select(
         "conv_id",
         "message_idx",
-        strip_thinking(F.concat(F.lit("<think>"), number, F.lit("</think>"), "text")).alias("closed"),
-        strip_thinking(F.concat(F.lit("<ns:think>"), F.col("text"))).alias("unclosed"),
-        strip_thinking(F.concat(number, F.lit("</think>"), "text")).alias("lone"),
+        strip_thinking(F.concat(F.lit("Well <think>"), number, F.lit("</think> \n"), "text")).alias("closed"),
+        strip_thinking(F.concat(F.col("text"), F.lit("<ns:think>"), F.col("text"))).alias("unclosed"),
+        strip_thinking(F.concat(number, F.lit("</seed:think>"), "text")).alias("lone"),
+        strip_thinking(F.concat(F.lit("a<ns:think>b</ns:think>"), F.col("text"))).alias("named"),
+        strip_thinking(F.col("text")).alias("bare"),
     )
 
 
+def _fence_sql(text: str) -> str:
+    hit = lambda pattern: f"CASE WHEN regexp_matches({text}, '{pattern}') THEN regexp_extract({text}, '{pattern}', 1) END"
+    patterns = (r"(?s)```(?:[A-Za-z]*)[ \t]*(?:\r?\n)?(.*?)```", r'(?s)"""(.*?)"""', r"(?s)(\{.*\})")
+    return f"coalesce({', '.join(hit(p) for p in patterns)}, {text})"
+
+
 @catalogue.add(
-    sql="""SELECT doc_id, t AS fenced, t AS quoted FROM (SELECT doc_id, regexp_replace(text, '["`{}]', '', 'g') AS t FROM documents)
-        WHERE t IS NOT NULL AND NOT regexp_matches(t, '^\\s|^[A-Za-z]') AND t <> ''"""
+    sql=f"""SELECT doc_id, {_fence_sql("fenced")} AS fenced, {_fence_sql("quoted")} AS quoted, {_fence_sql("bare")} AS bare
+        FROM (SELECT doc_id, '```json' || chr(10) || text || chr(10) || '```' AS fenced, '\"\"\"' || text || '\"\"\"' AS quoted, text AS bare
+              FROM documents WHERE text IS NOT NULL)"""
 )
 def strip_fence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", '["`{}]', "").alias("t"))
-    rows = rows.where(F.col("t").isNotNull() & (F.col("t") != "") & ~F.rlike("t", F.lit(r"^\s|^[A-Za-z]")))
-    return rows.select(
-        "doc_id",
-        strip_fences(F.concat(F.lit("```json\n"), "t", F.lit("```"))).alias("fenced"),
-        strip_fences(F.concat(F.lit('"""'), "t", F.lit('"""'))).alias("quoted"),
-    )
-
-
-@catalogue.add()
-def strip_fence_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Every text that is not null, as it stands: within fences, within triple quotes and bare."""
     rows = table(spark, sf, "documents").where(F.col("text").isNotNull())
     return rows.select(
@@ -428,24 +442,31 @@ def strip_marker(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", strip_markers(F.concat(marked, F.lit("\n"), section)).alias("text"))
 
 
-@catalogue.add(
-    sql=r"""SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10) || chr(10)),
-              lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(x, '^"(.*)"$', '\1')),
-            lambda p: NOT (regexp_matches(p, '^\*\*[^*]+\*\*:?$') OR regexp_matches(p, '^#+\s'))
-              AND NOT (p LIKE '%:' AND len(string_split_regex(p, '\s+')) < 8)
-              AND NOT regexp_matches(p, '^(?:Here is|Here are|Sure)\b')), chr(10) || chr(10)) AS text
-        FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))"""
-)
-def meaningful_paragraph(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\r")))
-    return rows.select("doc_id", meaningful_paragraphs(F.col("text")).alias("text"))
+_W = r"[\t-\r ]"
+_BARE = r"regexp_replace({0}, '^[\t-\r ]+|[\t-\r ]+$', '', 'g')"
+
+
+def _few_sql(block: str) -> str:
+    return f"len(list_filter(string_split_regex({block}, '{_W}+'), lambda w: w <> '')) < {TITLE_WORDS}"
+
 
+_INSIDE = _BARE.format("substr(p, 3, greatest(length(p) - 4, 0))")
+_INTRODUCED = "t"
+for _introduction in INTRODUCTIONS:
+    _INTRODUCED = f"regexp_replace({_INTRODUCED}, '(?i)^{_introduction.replace(chr(39), chr(39) * 2)}{_W}*', '')"
+_MEANING_SQL = rf"""WITH bare AS (SELECT doc_id, {_BARE.format("text")} AS t FROM documents WHERE text IS NOT NULL),
+  unwrapped AS (SELECT doc_id, CASE WHEN t LIKE '"%' AND t LIKE '%"' THEN {_BARE.format("substr(t, 2, greatest(length(t) - 2, 0))")} ELSE t END AS t FROM bare),
+  introduced AS (SELECT doc_id, {_BARE.format(_INTRODUCED)} AS t FROM unwrapped),
+  cut AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split_regex(t, '\n{_W}*\n+'), lambda b: {_BARE.format("b")}), lambda b: b <> ''),
+            lambda b: regexp_replace(b, '^{_W}*[*-]{_W}*\*\*([^\n]*?)\*\*:{_W}*', '')) AS blocks FROM introduced)
+  SELECT doc_id, array_to_string(list_filter(blocks, lambda p: NOT ((p LIKE '**%' AND p LIKE '%**' AND ({_few_sql(_INSIDE)} OR {_INSIDE} LIKE '%:'))
+    OR ({_few_sql("p")} AND p LIKE '%:'))), chr(10) || chr(10)) AS text FROM cut"""
 
-@catalogue.add()
-def meaningful_paragraph_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Every text that is not null; a carriage return ends a line, with or without a line feed."""
+
+@catalogue.add(sql=_MEANING_SQL)
+def meaningful_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").where(F.col("text").isNotNull())
-    return rows.select("doc_id", meaningful_paragraphs(F.regexp_replace("text", r"\r\n?", "\n")).alias("text"))
+    return rows.select("doc_id", meaningful_paragraphs(F.col("text")).alias("text"))
 
 
 @catalogue.add(
@@ -463,8 +484,7 @@ def banned_prefixes(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalogue.add(
     sql="""SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
-          replace(lower(source), ' ', '_') AS slug, replace(replace(replace(replace(replace(left(text, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe
-        FROM documents"""
+          replace(lower(source), ' ', '_') AS slug FROM documents"""
 )
 def preview_truncate(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents")
@@ -472,7 +492,6 @@ def preview_truncate(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         preview(F.col("text")).alias("preview"),
         slug(F.col("source")).alias("slug"),
-        escape_html(F.left("text", F.lit(80))).alias("safe"),
     )
 
 
@@ -500,28 +519,32 @@ def tool_call_parse(spark: SparkSession, sf: str) -> DataFrame:
 @catalogue.add(
     sql="""SELECT event_id, path, value, kind FROM (
           SELECT event_id, event_type, 'user.' || user_id AS path, value::VARCHAR AS value, 'float' AS kind FROM events
-          UNION ALL SELECT event_id, event_type, 'props', props, 'json' FROM events
-          UNION ALL SELECT event_id, event_type, 'kind', event_type, 'string' FROM events)
-        WHERE event_type <> 'error'"""
+          UNION ALL SELECT event_id, event_type, 'props', props, 'dict' FROM events
+          UNION ALL SELECT event_id, event_type, 'kind', '"' || event_type || '"', 'string' FROM events
+          UNION ALL SELECT event_id, event_type, 'seen', 'true', 'boolean' FROM events)
+        WHERE event_type <> 'error' AND (event_type NOT IN ('signup', 'click') OR path = 'props')"""
 )
 def patch_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Patches of answers in lines, as a fenced list after thoughts (one item is no patch), as one object, and of NO."""
     lines = F.concat(
         F.lit("path: user."), F.col("user_id").cast("string"), F.lit(", value: "), F.col("value").cast("string"),
-        F.lit("\npath: props, value: "), "props",
+        F.lit("\npath: props, value: "), "props", F.lit("\npath: seen, value: True"),
         F.lit("\npath: kind, value: "), "event_type", F.lit("\nEND_OF_UPDATES"),
     )
-    answer = F.when(F.col("event_type") == "error", F.lit("NO changes")).otherwise(lines)
-    patches = table(spark, sf, "events").select("event_id", F.inline(patch_lines(answer)))
-    return patches.select("event_id", "path", "value", literal_type(F.col("value")).alias("kind"))
+    item = F.concat(F.lit('{"path": "props", "value": '), "props", F.lit("}"))
+    listed = F.concat(F.lit("<think>hm</think>```json\n["), item, F.lit(', {"path": 3, "value": 1}, {"path": "x"}, 4]\n``` END_OF_UPDATES'))
+    kind = F.col("event_type")
+    answer = F.when(kind == "error", F.lit(" NO ")).when(kind == "signup", listed).when(kind == "click", item).otherwise(lines)
+    return table(spark, sf, "events").select("event_id", F.inline(patches_of(answer)))
 
 
 @catalogue.add(
-    sql="""SELECT event_id, event_type || '|' || user_id || '|k|0|"x"' AS steps, 1 AS n_refs, 'Phase Of ' || upper(left(event_type, 1)) || substr(event_type, 2) AS title FROM events"""
+    sql="""SELECT event_id, event_type || '|' || user_id || '|k|0|x y' AS steps, 1 AS n_refs, 'Phase Of ' || upper(left(event_type, 1)) || substr(event_type, 2) AS title FROM events"""
 )
 def path_steps(spark: SparkSession, sf: str) -> DataFrame:
     user = F.col("user_id").cast("string")
-    path = F.concat("event_type", F.lit("["), user, F.lit("].k[0].x"))
-    steps = F.concat_ws("|", F.slice(path_tokens(path), 1, 4), F.lit('"x"'))
+    path = F.concat("event_type", F.lit("["), user, F.lit("].k[0][\"x y\"]"))
+    steps = F.array_join(path_tokens(path), "|")
     template = F.concat(F.lit("See {subjects."), "event_type", F.lit(".name} and {other}"))
     return table(spark, sf, "events").select(
         "event_id",
@@ -531,31 +554,40 @@ def path_steps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_PRONOUNS = ("he", "she", "they", "him", "her", "them")
+_THEY = ("they", "them", "their", "theirs", "themself", "themselves")
+_REFERRED = rf"""{SAYING}, people AS (SELECT session_id, entry_key AS name, min(entry_ord) AS ord FROM character_states
+          WHERE session_id IS NOT NULL AND entry_key IS NOT NULL GROUP BY ALL),
+        known AS (SELECT session_id, w, arg_min(name, (ord, name)) AS named FROM (
+          SELECT session_id, name, ord, unnest(string_split_regex(lower(name), '[^\p{{L}}]+')) AS w FROM people) WHERE length(w) > 2 GROUP BY ALL),
+        every AS (SELECT session_id, string_agg(DISTINCT name, '/' ORDER BY name) AS every_name FROM people GROUP BY 1),
+        tokens AS (SELECT context_id, session_id, message_idx, i::INT AS pos, ws[i] AS word, lower(regexp_replace(ws[i], '[^\p{{L}}]', '', 'g')) AS w FROM (
+          SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT *, string_split(text, ' ') AS ws FROM saying))),
+        marked AS (SELECT t.*, named, last_value(named IGNORE NULLS) OVER (PARTITION BY context_id, session_id, message_idx ORDER BY pos ROWS UNBOUNDED PRECEDING) AS before
+          FROM tokens t LEFT JOIN known USING (session_id, w)),
+        referred AS (SELECT context_id, message_idx, pos, word, named, CASE WHEN w IN {_THEY} THEN coalesce(before, every_name) END AS refers_to
+          FROM marked LEFT JOIN every USING (session_id))"""
+
+
+def _referred(spark: SparkSession, sf: str) -> DataFrame:
+    people = table(spark, sf, "character_states").where(F.col("session_id").isNotNull() & F.col("entry_key").isNotNull())
+    names = people.groupBy("session_id", F.col("entry_key").alias("name")).agg(F.min("entry_ord").alias("ord"))
+    # The tables know no sex, so "they" and its forms fit everyone.
+    names = names.withColumn("sex", F.lit(None).cast("string"))
+    return referred_tokens(session_messages(spark, sf), names, ["context_id", "message_idx"], "text", "session_id")
+
+
+@catalogue.add(sql=f"WITH {_REFERRED} SELECT context_id, message_idx, pos, word, named, refers_to FROM referred WHERE named IS NOT NULL OR refers_to IS NOT NULL")
+def coref_last_name(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _referred(spark, sf)
+    return rows.where(F.col("named").isNotNull() | F.col("refers_to").isNotNull())
 
 
 @catalogue.add(
-    sql=rf"""WITH {CONV}, words AS (
-          SELECT conv_id, message_idx, i::INT AS pos, ws[i] AS word FROM (
-            SELECT conv_id, message_idx, ws, unnest(range(1, len(ws) + 1)) AS i FROM (
-              SELECT conv_id, message_idx, string_split_regex(text, '[^\p{{L}}\p{{N}}]+') AS ws FROM conv))),
-        firsts AS (SELECT DISTINCT full_form AS word FROM name_forms WHERE form_kind = 'nickname'),
-        marked AS (SELECT w.*, f.word AS named, lower(w.word) IN {_PRONOUNS} AS pronoun FROM words w LEFT JOIN firsts f USING (word))
-        SELECT conv_id, message_idx, pos, word, refers_to FROM (
-          SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY conv_id, message_idx ORDER BY pos ROWS UNBOUNDED PRECEDING) AS refers_to FROM marked)
-        WHERE pronoun"""
+    sql=f"""WITH {_REFERRED} SELECT context_id, message_idx,
+          string_agg(CASE WHEN refers_to IS NULL THEN word ELSE word || ' [' || refers_to || ']' END, ' ' ORDER BY pos) AS tagged FROM referred GROUP BY ALL"""
 )
-def coref_last_name(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "name_forms").where(F.col("form_kind") == "nickname")
-    firsts = known.select(F.col("full_form").alias("word")).distinct().withColumn("named", F.col("word"))
-    words = conversations(spark, sf).select(
-        "conv_id", "message_idx", F.posexplode(F.split("text", r"[^\p{L}\p{N}]+")).alias("__i", "word")
-    )
-    tokens = words.select("conv_id", "message_idx", (F.col("__i") + 1).alias("pos"), "word").join(firsts, "word", "left")
-    tokens = tokens.withColumn("pronoun", F.lower("word").isin(*_PRONOUNS))
-    return last_named(tokens, ["conv_id", "message_idx"], "pos", "named", "pronoun").select(
-        "conv_id", "message_idx", "pos", "word", "refers_to"
-    )
+def pronoun_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return tag_references(_referred(spark, sf), ["context_id", "message_idx"])
 
 
 @catalogue.add(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +25,7 @@ from loreloom.operators.maintenance import (
 from loreloom.plans.conversation import CONV, conversations
 from loreloom.plans.registry import Catalogue
 from loreloom.schema.story import STORY, field_table
-from loreloom.session import shared_folder
+from loreloom.session import scratch_path
 from loreloom.sources.tables import table
 from loreloom.streaming.events import (
     client_percent,
@@ -259,11 +257,6 @@ def event_fold_state(spark: SparkSession, sf: str) -> DataFrame:
     return session_states(status_events(spark, sf))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the folder all executors share."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @catalogue.add(sql=_SESSION_STATE)
 def stream_fold_state(spark: SparkSession, sf: str) -> DataFrame:
     """The same state as ``event_fold_state``, folded by a stream over the events' files."""
@@ -272,7 +265,7 @@ def stream_fold_state(spark: SparkSession, sf: str) -> DataFrame:
     # The pattern fits a table of one file and a folder of part files alike.
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{source}*")
     states = live_session_states(_lifecycle(stream).select("session", "seq", "type", "phase"))
-    written = run_available(spark, states, _scratch(spark, "states"), _scratch(spark, "progress"))
+    written = run_available(spark, states, scratch_path(spark, "states"), scratch_path(spark, "progress"))
     return latest_of(written, ["session"], "batch", ["running", "n_active", "n_done", "n_error"]).drop("batch")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreloom.operators.conversation import sentence_chunks
 from loreloom.operators.knowledge import leaf_table, path_text
-from loreloom.operators.mentions import quoted_speakers, speech_pattern, tag_pronouns
+from loreloom.operators.mentions import quoted_speakers, speech_pattern
 from loreloom.plans import knowledge
 from loreloom.plans.conversation import CHUNKS, CONV, conversations, metadata_rows
 from loreloom.plans.registry import Catalogue
@@ -28,16 +28,6 @@ def quoted_speaker(spark: SparkSession, sf: str) -> DataFrame:
     return quoted_speakers(sentence_chunks(conversations(spark, sf)), ["conv_id", "node"], "text")
 
 
-@catalogue.add()
-def pronoun_tags(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "name_forms").where(F.col("form_kind") == "nickname").select("full_form").distinct()
-    names = sorted(r["full_form"] for r in known.limit(1_001).collect() if r["full_form"])
-    if len(names) > 1_000:
-        raise ValueError("the dictionary of names is part of the expression; more than 1,000 do not fit")
-    texts = table(spark, sf, "retrieval_contexts").where(F.col("context").isNotNull()).select("context_id", "context").distinct()
-    return tag_pronouns(texts, ["context_id"], "context", names, ("he", "she", "they"))
-
-
 @catalogue.add(
     sql="""SELECT DISTINCT context_id, ord, msg FROM (
           SELECT context_id, (i - 1)::INT AS ord, messages_metadata[i].message_idx AS msg, lo, hi FROM (
@@ -54,21 +44,6 @@ def range_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(msg.between(F.col("lo") + 1, F.col("lo") + 41)).select("context_id", "ord", msg.alias("msg")).distinct()
 
 
-@catalogue.add(
-    sql=f"""WITH {CONV} SELECT conv_id, message_idx || '_summary' AS node, message_idx, left(text, 120) AS text, 'System' AS speaker, true AS is_summary FROM conv"""
-)
-def summary_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = conversations(spark, sf)
-    return rows.select(
-        "conv_id",
-        F.concat(F.col("message_idx").cast("string"), F.lit("_summary")).alias("node"),
-        "message_idx",
-        F.left("text", F.lit(120)).alias("text"),
-        F.lit("System").alias("speaker"),
-        F.lit(True).alias("is_summary"),
-    )
-
-
 @catalogue.add(
     sql="""SELECT DISTINCT context_id AS conv_id, ord, messages[ord + 1] AS text, m.scene_id AS scene, m.is_summary AS is_summary FROM (
           SELECT context_id, messages, (i - 1)::INT AS ord, messages_metadata[i] AS m FROM (
@@ -84,12 +59,14 @@ def zip_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalogue.add(
-    sql="""WITH meta AS (SELECT context_id, unnest(messages_metadata) AS m FROM retrieval_contexts)
+    sql="""WITH meta AS (SELECT DISTINCT context_id, i, messages_metadata[i] AS m FROM (
+          SELECT context_id, messages_metadata, unnest(range(1, len(messages_metadata) + 1)) AS i FROM retrieval_contexts))
         SELECT m.chapter_number AS chapter_number, count(*) AS n_chunks, count(DISTINCT m.scene_id) AS n_scenes,
           count(*) FILTER (m.is_summary) AS n_summaries FROM meta WHERE m IS NOT NULL GROUP BY 1"""
 )
 def chapter_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return metadata_rows(spark, sf).groupBy(F.col("m.chapter_number").alias("chapter_number")).agg(
+    # A context that was delivered again counts once.
+    return metadata_rows(spark, sf).dropDuplicates(["conv_id", "ord"]).groupBy(F.col("m.chapter_number").alias("chapter_number")).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("m.scene_id").alias("n_scenes"), F.count_if("m.is_summary").alias("n_summaries")
     )
 

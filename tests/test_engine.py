@@ -9,7 +9,7 @@ from loreloom.operators.conversation import first_by_text, interval_tags, messag
 from loreloom.operators.graph import closure, overridden_edges
 from loreloom.operators.knowledge import apply_patches, expand_list, leaf_table, pack_list
 from loreloom.operators.maintenance import closes, gate_rejects, query_rejects, run_actions
-from loreloom.operators.mentions import quoted_speakers, speaker_lines, tag_pronouns, whole_word_mentions
+from loreloom.operators.mentions import loose_mentions, quoted_speakers, referred_tokens, speaker_lines, tag_references, whole_word_mentions
 from loreloom.operators.vectors import cosine_topk
 from loreloom.streaming.events import phase_states, session_states, throttled, weighted_progress
 
@@ -21,8 +21,8 @@ def one(spark, column, value):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("<think>a</think>b", "b"), ("x<ns:think>a\nb</ns:think> y", "x y"), ("a<think>b", "a"), ("b</think> c", "c"),
-        ("plain", "plain"), ("", ""), (None, None),
+        ("<think>a</think>b", "b"), ("x<ns:think>a\nb</ns:think> y", "y"), ("a<think>b", ""), ("b</think> c", "c"),
+        ("<ns:think>a</think> b", ""), ("a</x:think>b</think>c", "b</think>c"), (" plain ", " plain "), ("", ""), (None, None),
     ],
 )
 def test_strip_thinking(spark, text, expected):
@@ -60,28 +60,38 @@ def _unfenced(text):
 
 
 def test_fences_of_every_text_equal_brute_force(spark, tmp_path):
-    from loreloom.plans.conversation import strip_fence_whole
+    from loreloom.plans.conversation import strip_fence
 
     texts = [
         "He went.", "  indented\n\ttext ", "\n\nlate", "", " ", "1. a", 'a "quoted" word"', '"all"', "a {b} c } d", "x ``` y", "x ```py\nz\n``` y",
         'a """b""" c', '""""""', "``````", "{", "}{", "\u2028line {é}\r\nend", "``` \r\n a```", "a`b``c", None,
     ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = {r.doc_id: (r.fenced, r.quoted, r.bare) for r in strip_fence_whole(spark, str(tmp_path)).collect()}
+    rows = {r.doc_id: (r.fenced, r.quoted, r.bare) for r in strip_fence(spark, str(tmp_path)).collect()}
     assert rows == {
         i: (_unfenced(f"```json\n{t}\n```"), _unfenced(f'"""{t}"""'), _unfenced(t)) for i, t in enumerate(texts) if t is not None
     }
 
 
-@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
-def test_meaningful_paragraphs_with_any_line_end(spark, tmp_path, end):
-    from loreloom.plans.conversation import meaningful_paragraph_whole
-
-    texts = ["**Title**\n\nHe went\nhome.\n\n# Head\n\n\"Quoted.\"\n\nThe places:\n\nSure, here it is.\n\nEnd.", "One line", "", None]
-    rows = [(i, t and t.replace("\n", end)) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    kept = {r.doc_id: r.text for r in meaningful_paragraph_whole(spark, str(tmp_path)).collect()}
-    assert kept == {0: "He went\nhome.\n\nQuoted.\n\nEnd.", 1: "One line", 2: ""}
+@pytest.mark.parametrize(
+    ("text", "kept"),
+    [
+        ("**Title**\n\nHe went\nhome.\n\n# Head\n\nEnd.", "He went\nhome.\n\n# Head\n\nEnd."),
+        ('"All of it.\n \nQuoted."', "All of it.\n\nQuoted."),
+        ('Here\'s my response as "Ann":\n\nShe left.', "She left."),
+        ("of course, as requested: She left.", "She left."),
+        ("Here is a long way home for us all.", "Here is a long way home for us all."),
+        ("* **Move**: They left.\n\nThe places:\n\nWords that end as a title does but are a whole lot:", "They left.\n\nWords that end as a title does but are a whole lot:"),
+        ("**a bold block of more than eight words stays in the text**", "**a bold block of more than eight words stays in the text**"),
+        ("**a bold block of more than eight words that ends in:**", ""),
+        ("One\r\n\r\nTwo\rmore", "One\n\nTwo\rmore"),
+        ("", ""),
+        (None, ""),
+        ('"', ""),
+    ],
+)
+def test_meaningful_paragraphs(spark, text, kept):
+    assert one(spark, X.meaningful_paragraphs, text) == kept
 
 
 def test_whole_texts_are_escaped(spark, tmp_path):
@@ -103,11 +113,11 @@ def test_summaries_come_from_metadata_as_whole_texts(spark, tmp_path):
     df = spark.createDataFrame(rows, "context_id bigint, messages array<string>, messages_metadata array<struct<is_summary: boolean>>")
     df.write.parquet(str(tmp_path / "retrieval_contexts.parquet"))
     run = lambda query: query(spark, str(tmp_path)).collect()
-    assert [tuple(r) for r in run(C.summary_whole)] == [(1, "1_summary", 1, long, "System", True)]
+    assert [tuple(r) for r in run(C.summary_chunks)] == [(1, "1_summary", 1, long, "System", True)]
     kept = {(1, "A."), (1, "B."), (1, "C."), (2, "D."), (2, "E."), (3, "F.")}
-    assert {(r.conv_id, r.text) for r in run(C.delete_summarized)} == kept
-    assert {(r.conv_id, r.text) for r in run(C.upsert_summary)} == kept | {(1, long)}
-    assert {(r.conv_id, r.message_idx) for r in run(C.tag_summarized) if r.state == "new"} == {(1, 1)}
+    assert {(r.conv_id, r.text) for r in run(C.delete_chunk)} == kept
+    assert {(r.conv_id, r.text) for r in run(C.upsert_chunk)} == kept | {(1, long)}
+    assert {(r.conv_id, r.message_idx) for r in run(C.tag_chunk) if r.state == "new"} == {(1, 1)}
 
 
 def test_tool_calls(spark):
@@ -153,14 +163,36 @@ def test_speakers(spark):
         [(1, '"Go," said Ann Bell.'), (2, 'Bob asked "why"'), (3, "Ann said nothing"), (4, None), (5, '"Nobody"')], "i int, text string"
     )
     assert {(r.i, r.speaker) for r in quoted_speakers(df, ["i"], "text").collect()} == {(1, "Ann Bell"), (2, "Bob")}
-    lines = spark.createDataFrame([(1, "Ann: hi\nnote: no\n Bob Lee : yes"), (2, None), (3, "")], "i int, text string")
-    assert {(r.line_no, r.speaker) for r in speaker_lines(lines, ["i"], "text").collect()} == {(1, "Ann"), (3, "Bob Lee")}
+    lines = spark.createDataFrame([(1, "s", "Ann: hi\nnote: no\n bob LEE : yes\n: x"), (2, "s", None), (3, "s", ""), (4, "t", "Ann: hi")], "i int, g string, text string")
+    names = spark.createDataFrame([("s", "Ann", "Ann Bell", 1), ("s", "Bob Lee", "Bob Lee", 0), ("s", "ann", "Anna", 3), ("s", "", "x", 0)], "g string, name string, speaker string, ord int")
+    assert {(r.i, r.line_no, r.speaker) for r in speaker_lines(lines, names, ["i"], "text", "g").collect()} == {(1, 1, "Ann Bell"), (1, 3, "Bob Lee")}
 
 
 def test_pronouns_are_tagged_where_they_stand(spark):
-    df = spark.createDataFrame([(1, "She saw Ann. Then she, and Bob: he left she"), (2, None), (3, "")], "i int, text string")
-    got = {r.i: r.tagged for r in tag_pronouns(df, ["i"], "text", ["Ann", "Bob"], ("he", "she")).collect()}
-    assert got == {1: "She saw Ann. Then she, [Ann] and Bob: he [Bob] left she [Bob]", 2: None, 3: ""}
+    df = spark.createDataFrame([(1, "g", "They saw Ann. Then she, and Bob: he left she, they"), (2, "g", None), (3, "g", ""), (4, "h", "they")], "i int, g string, text string")
+    names = spark.createDataFrame([("g", "Ann Bell", "female", 0), ("g", "Bob", "male", 1), ("g", "Cy", None, 2), ("g", "Dee", None, 3)], "g string, name string, sex string, ord int")
+    rows = referred_tokens(df, names, ["i"], "text", "g")
+    got = {r.i: r.tagged for r in tag_references(rows, ["i"]).collect()}
+    assert got == {1: "They [Cy/Dee] saw Ann. Then she, [Ann Bell] and Bob: he [Bob] left she, [Ann Bell] they [Cy/Dee]", 3: "", 4: "they"}
+
+
+def test_loose_mentions_equal_all_pairs(spark):
+    texts = [("g", "The Channel of Annecy"), ("g", "bob"), ("g", ""), ("h", "Ann"), ("g", "o LEE")]
+    names = [("g", "Ann Lee"), ("g", "O"), ("g", " "), ("g", "Bobby"), ("h", "nn x")]
+    got = {(r.g, r.text, r.name) for r in loose_mentions(spark.createDataFrame(texts, "g string, text string"), spark.createDataFrame(names, "g string, name string"), "g").collect()}
+    fits = lambda t, n: any(w in t.lower() for w in (n.lower().split()[0], n.lower().split()[-1]))
+    assert got == {(g, t, n) for g, t in texts for k, n in names if g == k and n.strip() and fits(t, n)}
+
+
+@pytest.mark.parametrize("lo", [0, 3, -700])
+def test_long_intervals_need_few_cells(spark, lo):
+    from loreloom.operators.conversation import _cells
+
+    for hi in (lo, lo + 1, lo + 255, lo + 256, lo + 70_000, lo + 10**9):
+        row = spark.range(1).select(_cells(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint")).alias("c")).first()
+        assert len(row.c) <= 510 * 4
+        spans = sorted((c.cell << (8 * c.level), ((c.cell + 1) << (8 * c.level)) - 1) for c in row.c)
+        assert spans[0][0] == lo and spans[-1][1] == hi and all(b + 1 == c for (_, b), (c, _) in zip(spans, spans[1:]))
 
 
 def test_closure_ends_on_cycles(spark):
@@ -183,6 +215,19 @@ def test_leaves_round_trip_containers(spark):
     assert got == {(1, "z.a.0", "1"), (1, "z.a.1.b", "x"), (1, "z.e", "{}"), (1, "n", None), (1, "l", "[]"), (3, "", "{}")}
 
 
+def test_documents_of_any_depth_are_opened(spark):
+    deep = {"x": 1.50, "s": "q\"", "e": [], "n": None}
+    for _ in range(11):
+        deep = {"a": [deep, True]}
+    text = json.dumps(deep).replace("1.5", "1.50")
+    df = spark.createDataFrame([(1, text), (2, '{"a": 1}')], "i int, d string")
+    rows = leaf_table(df, ["i"], "d").collect()
+    inner = ".".join(["a.0"] * 11)
+    got = {(r.i, ".".join(r.path), r.value) for r in rows}
+    assert {(1, f"{inner}.x", "1.50"), (1, f"{inner}.s", 'q"'), (1, f"{inner}.e", "[]"), (1, f"{inner}.n", None), (1, "a.1", "true"), (2, "a", "1")} <= got
+    assert len(got) == 4 + 11 + 1 and all(len(r.path) == len(r.ord) for r in rows)
+
+
 def test_last_patch_wins_and_replaces_below(spark):
     leaves = spark.createDataFrame([(1, ["a", "b"], "0"), (1, ["a", "c"], "0"), (1, ["d"], "0")], "k int, path array<string>, value string")
     patches = spark.createDataFrame(
