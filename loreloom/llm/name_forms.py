@@ -14,7 +14,6 @@ import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
-from typing import NamedTuple
 
 import regex
 
@@ -34,6 +33,8 @@ _FIRST = regex.compile(r"\W*(\p{Lu}[\w'’-]*)\W+(?:(?:of|and|the|&) )*")
 #: A statement that begins with two words in capitals.
 STARTS_WITH_NAME = r"^[^\p{L}]*\p{Lu}[^\s,]*,?\s+(?:(?:of|and|the|&)\s+){0,2}[^\p{L}\s]?\p{Lu}"
 _START = regex.compile(STARTS_WITH_NAME)
+#: Names of plain words, which need no further reading.
+_PLAIN = re.compile(r"(?:[A-Z]?[a-z]+,? )*[A-Z]?[a-z]+")
 _SWAPS = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s"})
 
 
@@ -69,6 +70,11 @@ class Lexicon:
 
 def tokens_of(name: str, lexicon: Lexicon) -> tuple[str, ...]:
     """Normal tokens of a name, sorted; a quoted nickname, titles and fillers are left out."""
+    if _PLAIN.fullmatch(name):
+        found = [t for t in _CAMEL.sub(" ", name).lower().replace(",", " ").split() if t not in FILLERS and t not in lexicon.titles]
+        long = [t for t in found if len(t) > 1]
+        if found:
+            return tuple(sorted(long if len(long) >= 2 else found))
     if _ACRONYM.match(name.strip()):
         return ("@" + re.sub(r"[^a-z]", "", name.lower()),)
     rest = _QUOTED.sub(" ", name)
@@ -241,40 +247,26 @@ def _is_abbreviation(short: str, long: str) -> bool:
     return all(c in letters for c in short)
 
 
-@lru_cache(maxsize=10_000)
-def _weight(in_world: int) -> float:
-    return 1 / (1 + math.log(in_world))
+#: Of two known tokens, the share that the rarer has of the other's worlds for these to be two names.
+ESTABLISHED_SHARE = 0.25
 
 
-class Rarity(NamedTuple):
-    """How rare a token is: among the spellings of its world and over all worlds."""
-
-    in_world: int
-    worlds: int
-
-    @property
-    def weight(self) -> float:
-        return _weight(self.in_world)
-
-
-_UNKNOWN = Rarity(1, 1)
-#: Worlds that must know both of two tokens for these to count as two names, not one
-#: with a typing error, and the share that the rarer has of the other's worlds.
-ESTABLISHED_WORLDS, ESTABLISHED_SHARE = 4, 0.25
-
-
-def both_established(a: Rarity, b: Rarity) -> bool:
-    few, many = sorted((a.worlds, b.worlds))
-    return few >= ESTABLISHED_WORLDS and few >= ESTABLISHED_SHARE * many
+def token_weight(share: float) -> float:
+    """What a token counts: 1 if few worlds know it, less the more do."""
+    return 1 / (1 + math.log(1 + 200 * share))
 
 
 class Comparer:
     """Compares forms under one lexicon; remembers the likeness of token pairs."""
 
-    def __init__(self, lexicon: Lexicon) -> None:
+    def __init__(self, lexicon: Lexicon, known: dict[str, dict[str, float]]) -> None:
+        """``known``: by kind the tokens that many worlds know and their share of the worlds."""
         self.lexicon = lexicon
+        self.known = known
+        self._weights = {kind: {t: token_weight(s) for t, s in tokens.items()} for kind, tokens in known.items()}
         self._short = lru_cache(maxsize=200_000)(self._short_likeness)
         self._typo = lru_cache(maxsize=200_000)(self._typo_likeness)
+        self._token = lru_cache(maxsize=500_000)(self.token)
 
     def _short_likeness(self, short: str, long: str) -> float:
         """Likeness of a nickname, initial or abbreviation to the whole."""
@@ -298,17 +290,21 @@ class Comparer:
         edits = _edits(short, long, most)
         return 1 - edits / len(long) * (0.8 if edits == 1 else 1.0) if edits <= most else 0.0
 
-    def token(self, a: str, b: str, rare_a: Rarity, rare_b: Rarity) -> float:
+    def token(self, a: str, b: str, kind: str) -> float:
         """0 to 1: how likely the two tokens were meant as the same."""
         if a == b:
             return 1.0
         short, long = (a, b) if (len(a), a) <= (len(b), b) else (b, a)
         likeness = self._short(short, long)
-        if likeness >= 0.95 or len(short) == 1 or both_established(rare_a, rare_b):
+        if likeness >= 0.95 or len(short) == 1:
+            return likeness
+        known = self.known.get(kind, {})
+        few, many = sorted((known.get(a, 0.0), known.get(b, 0.0)))
+        if few > 0 and few >= ESTABLISHED_SHARE * many:
             return likeness
         return max(likeness, self._typo(short, long))
 
-    def forms(self, a: tuple[str, ...], b: tuple[str, ...], known_a: dict[str, Rarity], known_b: dict[str, Rarity]) -> float:
+    def forms(self, a: tuple[str, ...], b: tuple[str, ...], kind: str) -> float:
         """Soft weighted token similarity of two forms."""
         if a == b:
             return 1.0
@@ -318,19 +314,18 @@ class Comparer:
             if len(one) == 1 and one[0].startswith("@"):
                 letters = sorted(one[0][1:])
                 return 0.93 if len(other) > 1 and sorted(t[0] for t in other) == letters else 0.0
+        weights = self._weights.get(kind, {})
         left, right = list(a), list(b)
         met = total = 0.0
         for token in a:
             if token in right:  # equal tokens pair first
                 left.remove(token)
                 right.remove(token)
-                weight = max(known_a.get(token, _UNKNOWN).weight, known_b.get(token, _UNKNOWN).weight)
+                weight = weights.get(token, 1.0)
                 met += weight
                 total += weight
         if left and right:
-            scored = [
-                (self.token(x, y, known_a.get(x, _UNKNOWN), known_b.get(y, _UNKNOWN)), i, j) for i, x in enumerate(left) for j, y in enumerate(right)
-            ]
+            scored = [(self._token(x, y, kind), i, j) for i, x in enumerate(left) for j, y in enumerate(right)]
             gone_left, gone_right = set(), set()
             for likeness, i, j in sorted(scored, key=lambda s: (-s[0], s[1], s[2])):
                 if likeness < 0.5:
@@ -338,15 +333,14 @@ class Comparer:
                 if i not in gone_left and j not in gone_right:
                     gone_left.add(i)
                     gone_right.add(j)
-                    weight = max(known_a.get(left[i], _UNKNOWN).weight, known_b.get(right[j], _UNKNOWN).weight)
+                    weight = max(weights.get(left[i], 1.0), weights.get(right[j], 1.0))
                     met += likeness * weight
                     total += weight
             left = [t for i, t in enumerate(left) if i not in gone_left]
             right = [t for j, t in enumerate(right) if j not in gone_right]
         if not total:
             return 0.0
-        missing = sum(known_a.get(t, _UNKNOWN).weight * (1.0 if len(t) > 1 else 0.3) for t in left)
-        missing += sum(known_b.get(t, _UNKNOWN).weight * (1.0 if len(t) > 1 else 0.3) for t in right)
+        missing = sum(weights.get(t, 1.0) * (1.0 if len(t) > 1 else 0.3) for t in (*left, *right))
         likeness = met / (total + 0.5 * missing)
         return likeness * (0.7 if left and right else 1.0)
 

@@ -21,7 +21,6 @@ from loreloom.llm.name_forms import (
     STARTS_WITH_NAME,
     Comparer,
     Lexicon,
-    Rarity,
     Reader,
     frame,
 )
@@ -41,10 +40,16 @@ RARE_NAME, COMMON_WORD = 1 / 32, 0.4
 #: Share of all statements that makes their frame usual, and of a frame's statements beyond which
 #: what fills a place of it belongs to the frame.
 USUAL_FRAME, FRAME_SHARE = 1 / 300, 0.25
+#: Share of worlds (and number) from which on a token is known: a name of its own, no typing error.
+KNOWN_SHARE, LEAST_WORLDS = 1 / 200, 4
 #: Lead in score that an ambiguous short form needs over its second-best entity.
 LEAD = 0.1
 
 
+#: Stems that are looked for one by one in generated code; names of more words have the rest looked for too.
+_FIRST_STEMS = 6
+
+
 def _stems(name: Column) -> Column:
     """Beginnings and ends of the words of a name, in lower case."""
     words = F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)
@@ -54,7 +59,11 @@ def _stems(name: Column) -> Column:
 def _may_tell(name: Column, stems: Column, text: Column) -> Column:
     """Whether a statement may be read for a name: it holds the name or a stem of it, or begins with a name."""
     low = F.lower(text)
-    return F.contains(text, name) | F.exists(stems, lambda w: F.contains(low, w)) | F.rlike(text, F.lit(STARTS_WITH_NAME))
+    held = F.contains(text, name)
+    for i in range(_FIRST_STEMS):
+        held = held | F.coalesce(F.contains(low, F.get(stems, F.lit(i))), F.lit(False))
+    more = F.when(F.size(stems) > _FIRST_STEMS, F.exists(stems, lambda w: F.contains(low, w))).otherwise(F.lit(False))
+    return held | more | F.rlike(text, F.lit(STARTS_WITH_NAME))
 
 
 def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: str | None) -> DataFrame:
@@ -72,12 +81,13 @@ def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: s
     lists = [texts(F.array("entry_key"), "name"), texts(F.col("description"), "said")]
     if aliases:
         lists.append(texts(F.col(aliases), "alias"))
+    known = F.col("session_id").isNotNull() & F.col("entry_key").isNotNull()
+    entries = states.where(known)
     worlds = sessions.select("session_id", F.col("world_hash").alias("world")).where(F.col("world").isNotNull()).distinct()
     if sessions.count() <= BROADCAST_SESSIONS:
         worlds = F.broadcast(worlds)
     return (
-        states.where(F.col("session_id").isNotNull() & F.col("entry_key").isNotNull())
-        .select("session_id", F.col("entry_key").alias("name"), _stems(F.col("entry_key")).alias("stems"), F.concat(*lists).alias("texts"))
+        entries.select("session_id", F.col("entry_key").alias("name"), _stems(F.col("entry_key")).alias("stems"), F.concat(*lists).alias("texts"))
         .join(worlds, "session_id")
         .select("world", "name", "stems", F.inline("texts"))
         .where(F.col("text").isNotNull() & (F.col("text") != ""))
@@ -194,21 +204,23 @@ def _profiles(facts: DataFrame) -> DataFrame:
 
 
 def _distinct_forms(nodes: DataFrame) -> DataFrame:
-    """Each form of a block once: ``f`` (its hash), ``block``, ``form`` and ``rarity``: of
-    each token the forms of the block that have it and the worlds that know it."""
-    forms = nodes.select("block", "kind", "form").distinct().withColumn("f", F.xxhash64("block", "form"))
-    tokens = forms.select("block", "kind", "f", F.explode(F.array_distinct(F.split("form", " "))).alias("token"))
-    local = tokens.groupBy("block", "kind", "token").agg(F.count(F.lit(1)).alias("in_world"))
-    overall = local.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("worlds"))
-    known = local.join(overall, ["kind", "token"]).select("block", "token", "in_world", "worlds")
-    counted = tokens.select("block", "f", "token").join(known, ["block", "token"])
-    entry = F.concat_ws(":", "token", F.col("in_world").cast("string"), F.col("worlds").cast("string"))
-    # Tokens stand in order, so the entries of a form spell it.
-    return counted.groupBy("block", "f").agg(F.array_join(F.sort_array(F.collect_list(entry)), " ").alias("rarity"))
+    """Each form of a block once: ``f`` (its hash), ``block``, ``kind``, ``form``."""
+    return nodes.select("block", "kind", "form").distinct().select(F.xxhash64("block", "form").alias("f"), "block", "kind", "form")
 
 
-def _form_of(rarity: Column) -> Column:
-    return F.regexp_replace(rarity, r":\d+:\d+", "")
+def known_tokens(forms: DataFrame) -> dict[str, dict[str, float]]:
+    """By kind the tokens that at least ``KNOWN_SHARE`` of the worlds know, with their share of the worlds.
+
+    If worlds know v tokens on average there are at most v / ``KNOWN_SHARE`` such tokens, whatever the
+    number of worlds; all others are rare and need no entry.
+    """
+    held = forms.select("kind", "block", F.explode(F.split("form", " ")).alias("token")).groupBy("kind", "token").agg(F.count_distinct("block").alias("n"))
+    worlds = forms.groupBy("kind").agg(F.count_distinct("block").alias("w"))
+    rows = held.join(F.broadcast(worlds), "kind").where((F.col("n") >= F.col("w") * KNOWN_SHARE) & (F.col("n") >= LEAST_WORLDS)).collect()
+    known: dict[str, dict[str, float]] = {}
+    for r in rows:
+        known.setdefault(r["kind"], {})[r["token"]] = r["n"] / r["w"]
+    return known
 
 
 def q_grams(form: str) -> list[str]:
@@ -290,21 +302,16 @@ def candidate_forms(forms: DataFrame) -> DataFrame:
 
 def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``f``, ``g``, ``likeness`` of the candidates that are at least ``SUPPORTED``."""
-    facts = forms.select("f", "block", "rarity")
     # Keys are hashes of world and q-gram: two worlds whose keys happen to be equal are told apart here.
-    joined = pairs.join(facts, "f").join(
-        facts.withColumnsRenamed({"f": "g", "rarity": "rarity_g"}), ["g", "block"]
-    )
+    joined = pairs.join(forms, "f").join(forms.select(F.col("f").alias("g"), "block", F.col("form").alias("form_g")), ["g", "block"])
+    known = known_tokens(forms)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        comparer = Comparer(lexicon)
+        comparer = Comparer(lexicon, known)
 
-        @lru_cache(maxsize=100_000)
-        def facts_of(rarity: str) -> tuple[str, tuple[str, ...], frozenset[str], dict[str, Rarity]]:
-            parts = [item.rsplit(":", 2) for item in rarity.split(" ")]
-            tokens = tuple(token for token, _, _ in parts)
-            form = " ".join(tokens)
-            return form, tokens, frozenset(q_grams(form)), {token: Rarity(int(n), int(w)) for token, n, w in parts}
+        @lru_cache(maxsize=200_000)
+        def read(form: str) -> tuple[tuple[str, ...], frozenset[str]]:
+            return tuple(form.split(" ")), frozenset(q_grams(form))
 
         def similar(form: str, x: frozenset[str], other: str, y: frozenset[str]) -> bool:
             """Whether the pair belongs to the similarity join; acronyms meet by their letters."""
@@ -313,15 +320,15 @@ def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFr
 
         for batch in batches:
             rows = []
-            for f, g, rarity, rarity_g in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
-                (form, one, x, known), (form_g, other, y, known_g) = facts_of(rarity), facts_of(rarity_g)
+            for f, g, kind, form, form_g in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+                (one, x), (other, y) = read(form), read(form_g)
                 if similar(form, x, form_g, y):
-                    likeness = comparer.forms(one, other, known, known_g)
+                    likeness = comparer.forms(one, other, kind)
                     if likeness >= SUPPORTED:
                         rows.append((f, g, likeness))
             yield pd.DataFrame(rows, columns=["f", "g", "likeness"])
 
-    columns = joined.select("f", "g", "rarity", "rarity_g")
+    columns = joined.select("f", "g", "kind", "form", "form_g")
     return columns.mapInPandas(compare, "f bigint, g bigint, likeness double")
 
 
@@ -353,8 +360,7 @@ def scored_pairs(nodes: DataFrame, profiles: DataFrame, lexicon: Lexicon) -> Dat
     """``a`` < ``b``, ``likeness`` of their likest forms, whether each of these is a full
     name, and how far their profiles ``agree`` and ``contradict``."""
     forms = cut_lineage(_distinct_forms(nodes))
-    spelled = forms.select("block", "f", _form_of(F.col("rarity")).alias("form"))
-    alike = _alike_forms(candidate_forms(spelled), forms, lexicon)
+    alike = _alike_forms(candidate_forms(forms), forms, lexicon)
     holders = nodes.select(F.xxhash64("block", "form").alias("f"), "node", _form_kind(F.col("form")).alias("kind"))
     others = holders.withColumnsRenamed({"f": "g", "node": "other", "kind": "other_kind"})
     across = alike.join(holders, "f").join(others, "g")
