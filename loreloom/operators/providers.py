@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -57,3 +57,32 @@ class FunctionProvider:
 
         asked = with_prompt_hash(prompts).select("prompt", "prompt_hash").dropDuplicates(["prompt_hash"])
         return asked.mapInPandas(run, ANSWERS)
+
+
+def stream_tokens(tokens: Iterable[str], stops: Iterable[str] = ()) -> Iterator[str]:
+    """The text so far after each token, up to the first stop string, which is left out.
+
+    The end of the text is held back while it may yet become a stop string, so no part of one is ever shown.
+    """
+    stops = [s for s in stops if s]
+    text, shown = "", ""
+    for token in tokens:
+        text += token
+        ends = [i for i in (text.find(s) for s in stops) if i >= 0]
+        if ends:
+            yield text[: min(ends)]
+            return
+        held = max((n for s in stops for n in range(1, len(s)) if text.endswith(s[:n])), default=0)
+        ready = text[: len(text) - held]
+        if ready != shown:
+            shown = ready
+            yield shown
+    if text != shown:
+        yield text
+
+
+def cached_by_seed(answers: DataFrame, seed: str) -> DataFrame:
+    """One answer for each seed, the first attempt's: what a seed gave once is not asked for again."""
+    rest = [c for c in answers.columns if c not in (seed, "attempt")]
+    first = F.min(F.struct("attempt", *rest)).alias("a")
+    return answers.groupBy(seed).agg(first).select(seed, "a.*")

@@ -9,8 +9,8 @@ from loreloom.operators.graph import (
     closure,
     edges_within,
     is_important,
-    latest_entries,
     overridden_edges,
+    pair_edges,
     relationship_edges,
 )
 from loreloom.operators.knowledge import (
@@ -28,8 +28,8 @@ from loreloom.operators.knowledge import (
 from loreloom.functions.documents import object_text
 from loreloom.operators.mentions import whole_word_mentions
 from loreloom.operators.vectors import cosine_topk
-from loreloom.plans.conversation import statements
 from loreloom.plans.registry import Catalogue
+from loreloom.plans.upkeep import latest
 from loreloom.sources.tables import table
 
 catalogue = Catalogue()
@@ -40,12 +40,12 @@ _EDGES = """edges AS (
     SELECT session_id, src, e.key AS dst, e.value AS rs, unnest(range(1, len(e.value) + 1)) AS i FROM (
       SELECT session_id, entry_key AS src, unnest(map_entries(relationships)) AS e FROM (
         SELECT session_id, entry_key, arg_max(relationships, loaded_at) AS relationships FROM character_states t
-        JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM character_states GROUP BY 1) m
+        JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM (SELECT session_id, snapshot_seq FROM character_states UNION ALL SELECT session_id, snapshot_seq FROM group_states) GROUP BY 1) m
           USING (session_id, snapshot_seq) GROUP BY ALL))))"""
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return relationship_edges(latest_entries(table(spark, sf, "character_states"), ["relationships"]))
+    return relationship_edges(latest(spark, sf, "character_states", ["relationships"]))
 
 
 @catalogue.add(sql=f"WITH {_EDGES} SELECT * FROM edges")
@@ -67,39 +67,62 @@ def relationship_override(spark: SparkSession, sf: str) -> DataFrame:
     return overridden_edges(_edges(spark, sf))
 
 
-_PEOPLE = """people AS (SELECT DISTINCT session_id, entry_key AS name FROM character_states t
-  JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM character_states GROUP BY 1) m USING (session_id, snapshot_seq))"""
+#: Characters of a session's scenes, as the metadata of its retrieved messages names them.
+PRESENT = """people AS (SELECT DISTINCT session_id, name FROM (SELECT session_id, unnest(m.characters_present) AS name FROM (
+  SELECT session_id, unnest(messages_metadata) AS m FROM retrieval_contexts)) WHERE session_id IS NOT NULL AND name IS NOT NULL)"""
+
+
+def present_people(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "retrieval_contexts").select("session_id", F.explode("messages_metadata").alias("m"))
+    names = rows.select("session_id", F.explode("m.characters_present").alias("name"))
+    return names.where(F.col("session_id").isNotNull() & F.col("name").isNotNull()).distinct()
+
+
+def contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the sessions' contexts say: ``session_id``, ``text``, distinct."""
+    rows = table(spark, sf, "retrieval_contexts").select("session_id", F.col("context").alias("text"))
+    return rows.where(F.col("session_id").isNotNull() & F.col("text").isNotNull()).distinct()
 
 
 @catalogue.add(
-    sql=f"""WITH {_EDGES}, {_PEOPLE} SELECT e.* FROM edges e WHERE src <> dst
+    sql=f"""WITH {_EDGES}, {PRESENT} SELECT e.* FROM edges e WHERE src <> dst
         AND EXISTS (SELECT 1 FROM people p WHERE p.session_id = e.session_id AND p.name = e.src)
         AND EXISTS (SELECT 1 FROM people p WHERE p.session_id = e.session_id AND p.name = e.dst)"""
 )
 def pairwise_edges(spark: SparkSession, sf: str) -> DataFrame:
-    entries = latest_entries(table(spark, sf, "character_states"), ["relationships"])
-    people = entries.select("session_id", F.col("entry_key").alias("name"))
-    return edges_within(relationship_edges(entries), people)
+    return edges_within(_edges(spark, sf), present_people(spark, sf))
 
 
 @catalogue.add(
-    sql=f"""WITH RECURSIVE {_EDGES}, strong AS (SELECT DISTINCT session_id, src, dst FROM edges WHERE coalesce(importance, 0) >= 50),
-        seeds AS (SELECT DISTINCT session_id, min(src) AS node FROM edges GROUP BY session_id),
-        reached AS (SELECT session_id, node FROM seeds
+    sql=f"""WITH {_EDGES}, pairs AS (SELECT DISTINCT session_id, src, dst FROM edges WHERE length(src) % 2 = 0
+          UNION SELECT DISTINCT session_id, dst, src FROM edges WHERE length(src) % 2 = 0)
+        SELECT e.* FROM edges e JOIN pairs USING (session_id, src, dst) WHERE coalesce(importance, 0) >= 40"""
+)
+def pair_relationships(spark: SparkSession, sf: str) -> DataFrame:
+    """Relationships of asked pairs, in both directions, from a least importance on."""
+    edges = _edges(spark, sf)
+    asked = edges.where(F.length("src") % 2 == 0).select("session_id", "src", "dst")
+    back = asked.select("session_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return pair_edges(edges, asked.unionByName(back), 40)
+
+
+@catalogue.add(
+    sql=f"""WITH RECURSIVE {_EDGES}, {PRESENT}, strong AS (SELECT DISTINCT session_id, src, dst FROM edges WHERE coalesce(importance, 0) >= 75),
+        reached AS (SELECT session_id, name AS node FROM people
           UNION SELECT s.session_id, s.dst FROM reached r JOIN strong s ON r.session_id = s.session_id AND r.node = s.src)
         SELECT * FROM reached"""
 )
 def closure_important(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _edges(spark, sf)
-    seeds = edges.groupBy("session_id").agg(F.min("src").alias("node"))
-    return closure(seeds, edges.where(is_important(F.col("importance"), 50)), "session_id").select("session_id", "node")
+    """Whom a session's scene characters reach over important relationships."""
+    seeds = present_people(spark, sf).withColumnRenamed("name", "node")
+    edges = _edges(spark, sf).where(is_important(F.col("importance")))
+    return closure(seeds, edges, "session_id").select("session_id", "node")
 
 
 _GROUPS = """orgs AS (SELECT session_id, entry_key, r.aliases AS aliases, r.events AS events, r.characters AS characters FROM (
   SELECT session_id, entry_key, arg_max({'aliases': aliases, 'events': events, 'characters': characters}, loaded_at) AS r FROM group_states t
-  JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM group_states GROUP BY 1) m USING (session_id, snapshot_seq) GROUP BY ALL))"""
-_SAID = """said AS (SELECT DISTINCT session_id, text FROM (
-  SELECT session_id, unnest(description) AS text FROM character_states) WHERE text IS NOT NULL)"""
+  JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM (SELECT session_id, snapshot_seq FROM character_states UNION ALL SELECT session_id, snapshot_seq FROM group_states) GROUP BY 1) m USING (session_id, snapshot_seq) GROUP BY ALL))"""
+_SAID = """said AS (SELECT DISTINCT session_id, context AS text FROM retrieval_contexts WHERE session_id IS NOT NULL AND context IS NOT NULL)"""
 _L = r"(' ' || trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) || ' ')"
 _NAMED = f"""called AS (SELECT DISTINCT o.session_id, o.entry_key FROM (
     SELECT session_id, entry_key, entry_key AS name FROM orgs UNION SELECT session_id, entry_key, unnest(aliases) FROM orgs) o
@@ -109,11 +132,8 @@ relevant AS (SELECT session_id, entry_key FROM called UNION
 
 
 def _relevant_groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    groups = latest_entries(table(spark, sf, "group_states"), ["aliases", "events", "characters"])
-    people = latest_entries(table(spark, sf, "character_states"), ["entry_ord"]).select(
-        "session_id", F.col("entry_key").alias("name")
-    )
-    said = statements(spark, sf).select("session_id", "text").distinct()
+    groups = latest(spark, sf, "group_states", ["aliases", "events", "characters"])
+    people, said = present_people(spark, sf), contexts(spark, sf)
     names = groups.select("session_id", "entry_key", F.col("entry_key").alias("name")).unionByName(
         groups.select("session_id", "entry_key", F.explode("aliases").alias("name"))
     )
@@ -124,7 +144,7 @@ def _relevant_groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     return groups, found
 
 
-@catalogue.add(sql=f"WITH {_GROUPS}, {_SAID}, {_PEOPLE}, {_NAMED} SELECT session_id, entry_key FROM relevant")
+@catalogue.add(sql=f"WITH {_GROUPS}, {_SAID}, {PRESENT}, {_NAMED} SELECT session_id, entry_key FROM relevant")
 def group_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return _relevant_groups(spark, sf)[1]
 
@@ -134,7 +154,7 @@ _SCENE_NAMES = """scenes AS (SELECT DISTINCT session_id, m.scene_id AS scene FRO
 
 
 @catalogue.add(
-    sql=f"""WITH {_GROUPS}, {_SAID}, {_PEOPLE}, {_NAMED}, {_SCENE_NAMES}
+    sql=f"""WITH {_GROUPS}, {_SAID}, {PRESENT}, {_NAMED}, {_SCENE_NAMES}
         SELECT s.session_id, s.scene FROM scenes s JOIN said t ON s.session_id = t.session_id
           AND contains({_L.format("t.text")}, {_L.format("s.scene")}) AND trim({_L.format("s.scene")}) <> ''
         UNION SELECT s.session_id, s.scene FROM scenes s JOIN (
@@ -144,7 +164,7 @@ def scene_relevance(spark: SparkSession, sf: str) -> DataFrame:
     metadata = table(spark, sf, "retrieval_contexts").select("session_id", F.explode("messages_metadata").alias("m"))
     scenes = metadata.select("session_id", F.col("m.scene_id").alias("scene"))
     scenes = scenes.where(F.col("scene").isNotNull() & F.col("session_id").isNotNull()).distinct()
-    said = statements(spark, sf).select("session_id", "text").distinct()
+    said = contexts(spark, sf)
     called = whole_word_mentions(said, scenes.withColumn("name", F.col("scene")), "session_id")
     groups, relevant = _relevant_groups(spark, sf)
     listed = groups.join(relevant, ["session_id", "entry_key"], "left_semi").select(
@@ -201,7 +221,7 @@ def list_children(spark: SparkSession, sf: str) -> DataFrame:
 
 _PATTERNS = ("brunella", "company", "guild", "captain brunella of the guild")
 _KEYS = """keys AS (SELECT session_id, entry_key, arg_max(entry_ord, loaded_at) AS ord FROM group_states t
-  JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM group_states GROUP BY 1) m USING (session_id, snapshot_seq) GROUP BY ALL)"""
+  JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM (SELECT session_id, snapshot_seq FROM character_states UNION ALL SELECT session_id, snapshot_seq FROM group_states) GROUP BY 1) m USING (session_id, snapshot_seq) GROUP BY ALL)"""
 
 
 def _fuzzy_sql(fits: str) -> str:
@@ -212,7 +232,7 @@ def _fuzzy_sql(fits: str) -> str:
 
 
 def _keys(spark: SparkSession, sf: str) -> DataFrame:
-    return latest_entries(table(spark, sf, "group_states"), ["entry_ord"])
+    return latest(spark, sf, "group_states", ["entry_ord"])
 
 
 @catalogue.add(sql=_fuzzy_sql("contains(lower(entry_key), pattern) OR contains(pattern, lower(entry_key))"))
@@ -227,10 +247,13 @@ def path_get_template(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalogue.add(
     sql=f"""WITH {_LEAVES}, terms(term) AS (VALUES ('segment'), ('auto'), ('none'), ('name')),
-        hits AS (SELECT DISTINCT c_custkey, path, value, term FROM leaves, terms
-          WHERE contains(lower(string_split(path, '.')[-1]), term) OR contains(lower(value), term))
-        SELECT term, c_custkey, path, value, total_found FROM (
-          SELECT *, count(*) OVER (PARTITION BY term) AS total_found, row_number() OVER (PARTITION BY term ORDER BY c_custkey, path, value) AS n FROM hits)
+        steps AS (SELECT DISTINCT c_custkey, array_to_string(ps[1:i], '.') AS path, lower(ps[i]) AS text, CASE WHEN i = len(ps) THEN value END AS value
+          FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT *, string_split(path, '.') AS ps FROM leaves))),
+        hits AS (SELECT term, c_custkey, path, value, 'key' AS matched_on FROM steps, terms WHERE contains(text, term)
+          UNION ALL SELECT term, c_custkey, path, value, 'value' FROM leaves, terms WHERE contains(lower(value), term)),
+        best AS (SELECT term, c_custkey, path, min(value) AS value, min(matched_on) AS matched_on FROM hits GROUP BY term, c_custkey, path)
+        SELECT term, c_custkey, path, value, matched_on, total_found FROM (
+          SELECT *, count(*) OVER (PARTITION BY term) AS total_found, row_number() OVER (PARTITION BY term ORDER BY c_custkey, path) AS n FROM best)
         WHERE n <= 10"""
 )
 def search_kb(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,13 +325,16 @@ def validate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalogue.add(
-    sql=f"""WITH {_GROUPS}, {_PEOPLE} SELECT DISTINCT o.session_id, o.name FROM (
+    sql=f"""WITH {_GROUPS}, people AS (SELECT DISTINCT session_id, entry_key AS name FROM character_states t JOIN (
+          SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM (SELECT session_id, snapshot_seq FROM character_states UNION ALL
+            SELECT session_id, snapshot_seq FROM group_states) GROUP BY 1) m USING (session_id, snapshot_seq))
+        SELECT DISTINCT o.session_id, o.name FROM (
         SELECT session_id, unnest(map_keys(characters)) AS name FROM orgs) o
         WHERE NOT EXISTS (SELECT 1 FROM people p WHERE p.session_id = o.session_id AND p.name = o.name)"""
 )
 def add_new_keys(spark: SparkSession, sf: str) -> DataFrame:
-    groups = latest_entries(table(spark, sf, "group_states"), ["characters"])
-    people = latest_entries(table(spark, sf, "character_states"), ["entry_ord"])
+    groups = latest(spark, sf, "group_states", ["characters"])
+    people = latest(spark, sf, "character_states", ["entry_ord"])
     named = groups.select("session_id", F.explode(F.map_keys("characters")).alias("name")).distinct()
     return named.join(people.select("session_id", F.col("entry_key").alias("name")), ["session_id", "name"], "left_anti")
 

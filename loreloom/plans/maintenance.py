@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreloom.operators.conversation import last_exchanges
-from loreloom.operators.graph import closure, latest_entries
+from loreloom.operators.graph import closure
 from loreloom.operators.maintenance import (
     ARC_BOUNDS,
     CHAPTER_BOUNDS,
@@ -24,17 +24,23 @@ from loreloom.operators.maintenance import (
 )
 from loreloom.plans.conversation import CONV, conversations
 from loreloom.plans.registry import Catalogue
+from loreloom.plans.upkeep import latest
 from loreloom.schema.story import STORY, field_table
 from loreloom.session import scratch_path
 from loreloom.sources.tables import table
 from loreloom.streaming.events import (
     client_percent,
+    is_top_level,
     latest_of,
+    nearest_ancestors,
     pending_phases,
+    phase_events,
     phase_states,
+    replay,
     ring_buffer,
     session_states,
     since_last_start,
+    step_messages,
     throttled,
     weighted_progress,
     with_epoch,
@@ -81,14 +87,18 @@ def _answer(mapping: dict[str, str]) -> Column:
 
 
 @catalogue.add(
-    sql="""SELECT event_id, event_type IN ('view', 'click', 'error', 'purchase') AS gate_rejects, event_type IN ('view', 'click') AS query_rejects,
-          event_type = 'signup' AND value > 50 AS scene_changes FROM events"""
+    sql="""SELECT event_id, event_type IN ('view', 'click', 'error', 'purchase') OR event_id % 7 = 0 AS gate_rejects,
+          event_type IN ('view', 'click') OR event_id % 7 = 0 AS query_rejects, event_type = 'signup' AND value > 50 AS scene_changes FROM events"""
 )
 def gate_decision(spark: SparkSession, sf: str) -> DataFrame:
     answer = _answer(_GATE)
+    stop = F.when(F.col("event_id") % 14 == 0, " no ").when(F.col("event_id") % 14 == 7, "UNCHANGED").otherwise("length")
     scene = F.when((F.col("event_type") == "signup") & (F.col("value") > 50), F.lit(" yes_scene_transition. "))
     return table(spark, sf, "events").select(
-        "event_id", gate_rejects(answer).alias("gate_rejects"), query_rejects(answer).alias("query_rejects"), scene_changes(scene).alias("scene_changes")
+        "event_id",
+        gate_rejects(answer, stop).alias("gate_rejects"),
+        query_rejects(answer, stop).alias("query_rejects"),
+        scene_changes(scene).alias("scene_changes"),
     )
 
 
@@ -262,8 +272,8 @@ def stream_fold_state(spark: SparkSession, sf: str) -> DataFrame:
     """The same state as ``event_fold_state``, folded by a stream over the events' files."""
     source = f"{sf}/events.parquet"
     schema = spark.read.parquet(source).schema
-    # The pattern fits a table of one file and a folder of part files alike.
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{source}*")
+    # A bracket makes a pattern of the path, which a stream reads whether it is one file or a folder; it fits no other.
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/[e]vents.parquet")
     states = live_session_states(_lifecycle(stream).select("session", "seq", "type", "phase"))
     written = run_available(spark, states, scratch_path(spark, "states"), scratch_path(spark, "progress"))
     return latest_of(written, ["session"], "batch", ["running", "n_active", "n_done", "n_error"]).drop("batch")
@@ -300,14 +310,65 @@ def pending_queue(spark: SparkSession, sf: str) -> DataFrame:
     return pending_phases(planned, phase_states(events))
 
 
-@catalogue.add(
-    sql=f"""WITH {_STATUS} SELECT session, seq, type, phase FROM (
-        SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS n FROM status) WHERE n <= 100"""
-)
+@catalogue.add(sql=f"WITH {_STATUS} SELECT session, seq, type, phase FROM status ORDER BY seq DESC LIMIT 20000")
 def ring_buffer_events(spark: SparkSession, sf: str) -> DataFrame:
     return ring_buffer(status_events(spark, sf)).select("session", "seq", "type", "phase")
 
 
+@catalogue.add(
+    sql=f"""WITH {_STATUS}, half AS (SELECT session, floor((min(seq) + max(seq)) / 2) AS seen FROM status GROUP BY 1)
+        SELECT session, seq, type, phase FROM status JOIN half USING (session) WHERE seq > seen"""
+)
+def event_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """What a subscriber that saw the first half of a session's log is given again."""
+    events = status_events(spark, sf)
+    seen = events.groupBy("session").agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("seen"))
+    return replay(events.join(seen, "session"), F.col("seen")).select("session", "seq", "type", "phase")
+
+
+@catalogue.add(
+    sql=f"""WITH {_STATUS}, planned AS (SELECT session, phase, row_number() OVER (PARTITION BY session ORDER BY phase) AS ord FROM (SELECT DISTINCT session, phase FROM status)),
+        ends AS (SELECT session, phase, arg_min(substr(type, 7), (seq, type)) AS outcome FROM status WHERE type IN ('phase_done', 'phase_error') GROUP BY ALL)
+        SELECT session, ord * 2 AS seq, 'phase_start' AS type, phase FROM planned
+        UNION ALL SELECT session, ord * 2 + 1, 'phase_' || outcome, phase FROM planned JOIN ends USING (session, phase)"""
+)
+def phase_emitters(spark: SparkSession, sf: str) -> DataFrame:
+    """Lifecycle events of all phases of a session; an end that is reported again is emitted once."""
+    events = status_events(spark, sf)
+    order = Window.partitionBy("session").orderBy("phase")
+    planned = events.select("session", "phase").distinct().withColumn("ord", F.row_number().over(order))
+    ended = events.where(F.col("type").isin("phase_done", "phase_error"))
+    reports = ended.select("session", "phase", F.col("seq").alias("at"), F.substring("type", 7, 9).alias("outcome"))
+    return phase_events(planned, reports).select("session", F.col("seq").cast("bigint").alias("seq"), "type", "phase")
+
+
+@catalogue.add(
+    sql=f"""WITH {_STATUS}, steps AS (SELECT session, phase, seq, CASE type WHEN 'phase_error' THEN 'warning' ELSE 'active' END AS status, type || ' ' || seq AS message FROM status)
+        SELECT session, phase, arg_max(status, seq) AS status, string_agg(message, chr(10) ORDER BY seq) AS messages, bool_or(status = 'warning') AS warned FROM steps GROUP BY ALL"""
+)
+def client_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps as a client shows them: their messages in order, and whether one of them was a warning."""
+    rows = status_events(spark, sf)
+    status = F.when(F.col("type") == "phase_error", "warning").otherwise("active")
+    return step_messages(rows.select("session", "phase", "seq", status.alias("status"), F.concat_ws(" ", "type", F.col("seq").cast("string")).alias("message")))
+
+
+@catalogue.add(
+    sql="""WITH ids AS (SELECT DISTINCT session_id AS session, 'characters.' || replace(replace(entry_key, '.', ''), '[', '') AS base FROM character_states WHERE session_id IS NOT NULL AND entry_key IS NOT NULL)
+        SELECT session, base || '.traits[0]' AS phase, base AS ancestor, false AS top FROM ids UNION SELECT session, base || '[1]', base, false FROM ids
+        UNION SELECT session, base, 'characters', false FROM ids UNION SELECT session, 'characters', NULL, true FROM ids"""
+)
+def phase_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    """Sub-phases of maintenance with the nearest known phase above them."""
+    rows = table(spark, sf, "character_states").where(F.col("session_id").isNotNull() & F.col("entry_key").isNotNull())
+    base = F.concat(F.lit("characters."), F.translate("entry_key", ".[", ""))
+    ids = rows.select(F.col("session_id").alias("session"), base.alias("base")).distinct()
+    asked = F.array(F.lit("characters"), F.col("base"), F.concat("base", F.lit("[1]")), F.concat("base", F.lit(".traits[0]")))
+    known = ids.select("session", F.explode(F.array(F.lit("characters"), F.col("base"))).alias("phase"))
+    phases = ids.select("session", F.explode(asked).alias("phase"))
+    return nearest_ancestors(phases, known, ["session"]).withColumn("top", is_top_level(F.col("phase")))
+
+
 @catalogue.add(sql=f"WITH {_STATUS} SELECT session, type, max(seq) AS seq, arg_max(phase, seq) AS phase FROM status GROUP BY ALL")
 def latest_step(spark: SparkSession, sf: str) -> DataFrame:
     return latest_of(status_events(spark, sf), ["session", "type"], "seq", ["phase"])
@@ -349,8 +410,8 @@ _SECTIONS = ("scene", "characters", "groups", "lines")
 
 @catalogue.add(
     sql=f"""WITH {CONV}, ctx AS (SELECT DISTINCT context_id AS conv_id, session_id, context FROM retrieval_contexts WHERE session_id IS NOT NULL),
-        latest_c AS (SELECT session_id, entry_key, min(entry_ord) AS ord FROM character_states t JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM character_states GROUP BY 1) m USING (session_id, snapshot_seq) GROUP BY ALL),
-        latest_g AS (SELECT session_id, entry_key, min(entry_ord) AS ord FROM group_states t JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM group_states GROUP BY 1) m USING (session_id, snapshot_seq) GROUP BY ALL)
+        latest_c AS (SELECT session_id, entry_key, min(entry_ord) AS ord FROM character_states t JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM (SELECT session_id, snapshot_seq FROM character_states UNION ALL SELECT session_id, snapshot_seq FROM group_states) GROUP BY 1) m USING (session_id, snapshot_seq) GROUP BY ALL),
+        latest_g AS (SELECT session_id, entry_key, min(entry_ord) AS ord FROM group_states t JOIN (SELECT session_id, max(snapshot_seq) AS snapshot_seq FROM (SELECT session_id, snapshot_seq FROM character_states UNION ALL SELECT session_id, snapshot_seq FROM group_states) GROUP BY 1) m USING (session_id, snapshot_seq) GROUP BY ALL)
         SELECT conv_id, 0 AS section_ord, 0 AS ord, 'scene' AS section, context AS text FROM ctx WHERE context IS NOT NULL
         UNION ALL SELECT conv_id, 1, ord, 'characters', entry_key FROM ctx JOIN latest_c USING (session_id)
         UNION ALL SELECT conv_id, 2, ord, 'groups', entry_key FROM ctx JOIN latest_g USING (session_id)
@@ -365,7 +426,7 @@ def context_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
     parts = [section(contexts.where(F.col("context").isNotNull()), "scene", F.lit(0), F.col("context"))]
     for name, source in (("characters", "character_states"), ("groups", "group_states")):
-        entries = latest_entries(table(spark, sf, source), ["entry_ord"])
+        entries = latest(spark, sf, source, ["entry_ord"])
         parts.append(section(contexts.join(entries, "session_id"), name, F.col("entry_ord"), F.col("entry_key")))
     lines = last_exchanges(conversations(spark, sf), 6)
     parts.append(section(lines, "lines", F.col("message_idx"), F.col("text")))

@@ -95,24 +95,6 @@ def context_topk(spark: SparkSession, sf: str) -> DataFrame:
     return scored.where(F.col("score") > 0).withColumn("place", F.row_number().over(best)).where(F.col("place") <= 5)
 
 
-_PARTS = {"characters": ("closure_important", "node"), "groups": ("group_relevance", "entry_key"), "scenes": ("scene_relevance", "scene")}
-
-
-@catalogue.add(
-    sql=" UNION ALL ".join(
-        f"SELECT '{section}' AS section, session_id, {column} AS name FROM ({knowledge.catalogue.sql[query]})" for section, (query, column) in _PARTS.items()
-    )
-)
-def retrieve_context(spark: SparkSession, sf: str) -> DataFrame:
-    """What a session's context takes in: people reached, groups and scenes that matter."""
-    whole = None
-    for section, (query, column) in _PARTS.items():
-        rows = knowledge.catalogue.queries[query](spark, sf)
-        part = rows.select(F.lit(section).alias("section"), "session_id", F.col(column).alias("name"))
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
-
-
 @catalogue.add(
     sql="""SELECT c_custkey, 'subjects.market.segment' AS reference, c_mktsegment AS value FROM customer
         UNION ALL SELECT c_custkey, 'subjects.name', c_name FROM customer"""

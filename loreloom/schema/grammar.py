@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import types as T
 
@@ -64,10 +67,31 @@ class Definition:
     triggers: dict[str, list[dict]] = field(default_factory=dict)
 
 
+#: Strings (kept) and comments of a JSON text.
+_COMMENT = re.compile(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', re.DOTALL)
+_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+
+
+def fill_placeholders(text: str, values: dict[str, str]) -> str:
+    """A type text with ``{NAME}`` replaced, also within what replaces it; a name without a value is an error."""
+    for _ in range(len(values) + 1):
+        if not _PLACEHOLDER.search(text):
+            return text
+        text = _PLACEHOLDER.sub(lambda m: values[m[1]], text)
+    raise ValueError(f"placeholder of itself: {text}")
+
+
 class Schema:
     """A schema document: definitions and the type of each subject."""
 
+    @staticmethod
+    def read(path: str) -> Schema:
+        """A schema from a JSON file; lines of comments and comments between values are left out."""
+        text = Path(path).read_text(encoding="utf-8")
+        return Schema(json.loads(_COMMENT.sub(lambda m: m[1] or "", text)))
+
     def __init__(self, document: dict) -> None:
+        values = document.get("placeholders", {})
         self.definitions: dict[str, Definition] = {}
         for name, body in document.get("definitions", {}).items():
             kind = body.get("type", "dataclass")
@@ -75,12 +99,12 @@ class Schema:
             self.definitions[name] = Definition(
                 name,
                 kind,
-                {f: parse_type(t) for f, t in raw.items()},
+                {f: parse_type(fill_placeholders(t, values)) for f, t in raw.items()},
                 frozenset(body.get("no_update", ())),
                 dict(body.get("defaults", {})),
                 dict(body.get("triggers", {})),
             )
-        self.subjects = {s: parse_type(t) for s, t in document.get("subjects", {}).items()}
+        self.subjects = {s: parse_type(fill_placeholders(t, values)) for s, t in document.get("subjects", {}).items()}
         for node in [*self.subjects.values(), *(t for d in self.definitions.values() for t in d.fields.values())]:
             self._check(node)
 
@@ -90,6 +114,10 @@ class Schema:
         for argument in node.arguments:
             self._check(argument)
 
+    def subject_types(self) -> dict[str, str]:
+        """The type of each subject as written."""
+        return {s: show(t) for s, t in self.subjects.items()}
+
     def unwrap(self, node: TypeNode) -> TypeNode:
         """The type behind an alias, through several if need be."""
         seen: set[str] = set()
@@ -228,3 +256,26 @@ def validate(schema: Schema, node: TypeNode, value: object, path: str = "$", *,
         if f in value:
             errors += validate(schema, t, value[f], f"{path}.{f}", strict=strict)
     return errors
+
+
+#: Settings that a definition takes from the one above if it has none of its own.
+INHERITED = ("update_prompt_template", "gate_check_prompt_template", "branch_query_prompt_template", "new_entry_prompt_template")
+
+
+def effective_setting(
+    name: str, *, field_name: str | None = None, trigger: dict | None = None, overrides: dict | None = None, attributes: dict | None = None, defaults: dict | None = None
+) -> object:
+    """A setting by its levels: the trigger's, the data's own, the data's for this field, the schema's for this field,
+    the definition's, its defaults; None if no level has it.  Fields have templates only."""
+    of_field = f"{field_name}_prompt_template" if field_name and name.endswith("_prompt_template") else None
+    levels = [(trigger, name), (overrides, name), (overrides, of_field), (defaults, of_field), (attributes, name), (defaults, name)]
+    for level, key in levels:
+        if key is not None and level and key in level and (level is not attributes or level[key] is not None):
+            return level[key]
+    return None
+
+
+def inherit(child: dict, parent: dict, names: tuple[str, ...] = INHERITED) -> dict:
+    """``child`` with those of ``names`` that it lacks (or has as None) and its parent has."""
+    taken = {n: parent[n] for n in names if child.get(n) is None and parent.get(n) is not None}
+    return {**child, **taken}

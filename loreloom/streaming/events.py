@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from loreloom.operators.running import running_sum
 
-#: Events kept in a session's buffer.
-BUFFER = 100
+#: Events that a publisher keeps for late subscribers.
+BUFFER = 20_000
 
 
 def with_epoch(events: DataFrame) -> DataFrame:
@@ -78,9 +78,59 @@ def pending_phases(planned: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def ring_buffer(events: DataFrame, most: int = BUFFER) -> DataFrame:
-    """The last ``most`` events of each session."""
-    backwards = Window.partitionBy("session").orderBy(F.desc("seq"))
-    return events.withColumn("__n", F.row_number().over(backwards)).where(F.col("__n") <= most).drop("__n")
+    """The last ``most`` events of the log: a top-k, of which each task hands on at most ``most``."""
+    return events.orderBy(F.desc("seq")).limit(most)
+
+
+def replay(events: DataFrame, after: Column) -> DataFrame:
+    """Events after a number that a subscriber has seen, to be read in the order of ``seq``."""
+    return events.where(F.col("seq") > after)
+
+
+def phase_events(planned: DataFrame, reports: DataFrame) -> DataFrame:
+    """Lifecycle events of planned phases: a start for each, and its end if it was reported, once.
+
+    ``planned``: ``session``, ``phase``, ``ord``; ``reports``: ``session``, ``phase``, ``at``, ``outcome`` (done,
+    error or skip).  The first report of a phase counts, later ones say nothing new; reports of phases that
+    were not planned are dropped.
+    """
+    first = reports.groupBy("session", "phase").agg(F.min_by("outcome", F.struct("at", "outcome")).alias("outcome"))
+    joined = planned.join(first, ["session", "phase"], "left")
+    ends = F.when(F.col("outcome").isNotNull(), F.concat(F.lit("phase_"), "outcome"))
+    listed = F.array_compact(F.array(F.lit("phase_start"), ends))
+    return joined.select("session", "phase", F.posexplode(listed).alias("__i", "type"), "ord").select(
+        "session", (F.col("ord") * 2 + F.col("__i")).alias("seq"), "type", "phase"
+    )
+
+
+def step_messages(steps: DataFrame) -> DataFrame:
+    """A step's messages as a client shows them: ``session``, ``phase``, ``status``, ``messages``, ``warned``.
+
+    Messages follow each other in the order of ``seq``; a warning stays whatever comes later.  The messages of
+    one step meet in a row, as they are shown together.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "message")))
+    return steps.groupBy("session", "phase").agg(
+        F.max_by("status", "seq").alias("status"),
+        F.array_join(F.transform(ordered, lambda x: x["message"]), "\n").alias("messages"),
+        F.bool_or(F.col("status") == "warning").alias("warned"),
+    )
+
+
+def is_top_level(phase: Column) -> Column:
+    """A phase is of the top level if its id names nothing below another."""
+    return ~F.rlike(phase, F.lit(r"[.\[]"))
+
+
+def nearest_ancestors(phases: DataFrame, known: DataFrame, group: list[str]) -> DataFrame:
+    """For each phase id the longest known one above it (cut at dots and brackets), null if there is none."""
+    cuts = F.regexp_extract_all("phase", F.lit(r"[.\[]?[^.\[]+"), F.lit(0))
+    above = F.transform(F.sequence(F.lit(1), F.size("__cuts") - 1), lambda n: F.array_join(F.slice("__cuts", F.lit(1), n), ""))
+    ids = phases.select(*group, "phase").distinct().withColumn("__cuts", cuts)
+    listed = ids.where(F.size("__cuts") > 1).select(*group, "phase", F.explode(above).alias("ancestor"))
+    met = listed.join(known.select(*group, F.col("phase").alias("ancestor")).distinct(), [*group, "ancestor"], "left_semi")
+    best = met.groupBy(*group, "phase").agg(F.max_by("ancestor", F.length("ancestor")).alias("ancestor"))
+    return ids.select(*group, "phase").join(best, [*group, "phase"], "left")
 
 
 def latest_of(events: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:

@@ -2,52 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_OVER = {"phase_done": "done", "phase_error": "error", "phase_skip": "done"}
+_PHASES = {"phase_start": "active", "phase_done": "done", "phase_error": "error", "phase_skip": "done"}
+#: How long the state of a session is kept after its last event; of one that ended, in milliseconds.
+IDLE_MS, ENDED_MS = 24 * 3_600_000, 600_000
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of a session: running, and each phase's state; a session start resets it."""
-    running, phases, states = state.get if state.exists else (False, [], [])
-    known = dict(zip(phases, states, strict=True))
+    """State of a session: running, and each phase's state; a session start resets it.
+
+    Of every phase, of the last start and of the last start or end the greatest ``seq`` is kept, so the
+    result does not depend on how events are spread over frames and batches.
+    """
+    columns = ["session", "running", "n_active", "n_done", "n_error"]
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({c: [] for c in columns})
+        return
+    started, turned, running, phases, seqs, states = state.get if state.exists else (-1, -1, False, [], [], [])
+    known = {p: (q, s) for p, q, s in zip(phases, seqs, states, strict=True)}
     for frame in frames:
-        ordered = frame.sort_values("seq")
-        for kind, phase in zip(ordered["type"], ordered["phase"], strict=True):
+        for kind, phase, seq in zip(frame["type"], frame["phase"], frame["seq"], strict=True):
+            if kind in ("session_start", "session_end") and seq > turned:
+                turned, running = int(seq), kind == "session_start"
             if kind == "session_start":
-                running, known = True, {}
-            elif kind == "session_end":
-                running = False
-            elif kind == "phase_start":
-                known[phase] = "active"
-            elif kind in _OVER:
-                known[phase] = _OVER[kind]
-    state.update((running, list(known), list(known.values())))
-    counts = {s: sum(v == s for v in known.values()) for s in ("active", "done", "error")}
-    yield pd.DataFrame(
-        {"session": [key[0]], "running": [running], "n_active": [counts["active"]], "n_done": [counts["done"]], "n_error": [counts["error"]]}
-    )
+                started = max(started, int(seq))
+            elif kind in _PHASES and seq > known.get(phase, (-1, ""))[0]:
+                known[phase] = (int(seq), _PHASES[kind])
+    known = {p: (q, s) for p, (q, s) in known.items() if q > started}
+    state.update((started, turned, running, list(known), [q for q, _ in known.values()], [s for _, s in known.values()]))
+    state.setTimeoutDuration(ENDED_MS if turned >= 0 and not running else IDLE_MS)
+    counts = {s: sum(v == s for _, v in known.values()) for s in ("active", "done", "error")}
+    yield pd.DataFrame([(key[0], running, counts["active"], counts["done"], counts["error"])], columns=columns)
 
 
 def live_session_states(events: DataFrame) -> DataFrame:
     """Streaming twin of ``session_states``: an updated row for each session of a batch.
 
-    ``events`` is a stream with ``session`` (bigint), ``seq``, ``type``, ``phase``
-    (string); within a micro-batch they are ordered by ``seq``, batches follow arrival.
+    ``events`` is a stream with ``session`` (bigint), ``seq``, ``type``, ``phase`` (string); late events count
+    by their ``seq``.  The state of a session is dropped a day after its last event, of one that ended
+    after ten minutes.
     """
     return events.groupBy("session").applyInPandasWithState(
         _fold,
         outputStructType="session bigint, running boolean, n_active bigint, n_done bigint, n_error bigint",
-        stateStructType="running boolean, phases array<string>, states array<string>",
+        stateStructType="started bigint, turned bigint, running boolean, phases array<string>, seqs array<bigint>, states array<string>",
         outputMode="update",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
+class Subscription:
+    """A started stream over new events: ``stop`` ends it, ``stop_if_idle`` after ``idle_s`` seconds without any."""
+
+    def __init__(self, query: StreamingQuery, idle_s: float = 30.0) -> None:
+        self.query, self.idle_s = query, idle_s
+        self._seen, self._at = -1, time.monotonic()
+
+    def stop_if_idle(self) -> bool:
+        """Whether the stream is stopped now; call it from time to time."""
+        progress = self.query.lastProgress
+        rows = -1 if progress is None else progress["batchId"] if progress["numInputRows"] else self._seen
+        if rows != self._seen:
+            self._seen, self._at = rows, time.monotonic()
+        if self.query.isActive and time.monotonic() - self._at >= self.idle_s:
+            self.query.stop()
+        return not self.query.isActive
+
+    def stop(self) -> None:
+        self.query.stop()
+
+
+def subscribe(rows: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, idle_s: float = 30.0) -> Subscription:
+    """Hand each micro-batch of ``rows`` to ``deliver``: first what is there, then what comes."""
+    query = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(deliver).start()
+    return Subscription(query, idle_s)
+
+
 def run_available(spark: SparkSession, rows: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is available now, each batch appended to ``target``; the rows written.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -76,6 +78,14 @@ class Registry:
     def unregister(self, name: str) -> bool:
         return self._tools.pop(name, None) is not None
 
+    def take_over(self, others: list[Tool]) -> list[str]:
+        """Register those of ``others`` whose names are free; the names taken over."""
+        new = [t for t in others if t.name not in self._tools]
+        for tool in new:
+            if tool.name not in self._tools:
+                self.register(tool)
+        return [t.name for t in new]
+
     def names(self) -> list[str]:
         return list(self._tools)
 
@@ -141,13 +151,13 @@ def list_arcs(arcs: DataFrame) -> DataFrame:
 
 def close_arc(arcs: DataFrame, title: str, conclusion: str, last_scene: int) -> DataFrame:
     """``arcs`` with the first one whose title contains, or is contained in, ``title``
-    closed: its status, last scene and conclusion are set.  No match changes nothing."""
+    closed: its status, last scene and, unless it is empty, conclusion are set.  No match changes nothing."""
     low, wanted = F.lower("title"), F.lit(title.lower())
     fits = F.contains(low, wanted) | F.contains(wanted, low)
     first = arcs.where(fits & (F.col("title") != "")).agg(F.min("ord").alias("__first"))
     joined = arcs.join(F.broadcast(first), F.col("ord") == F.col("__first"), "left")
     chosen = F.col("__first").isNotNull()
-    ending = F.concat(F.coalesce("summary", F.lit("")), F.lit("\n\nConclusion: "), F.lit(conclusion))
+    ending = F.concat(F.coalesce("summary", F.lit("")), F.lit(f"\n\nConclusion: {conclusion}" if conclusion else ""))
     return joined.select(
         "ord",
         "title",
@@ -157,12 +167,75 @@ def close_arc(arcs: DataFrame, title: str, conclusion: str, last_scene: int) ->
     )
 
 
-def knowledge_tools(kb: KnowledgeBase) -> Registry:
-    """The query tools over one knowledge base."""
+class ArcBook:
+    """The arcs of a story as tools see them; closing one replaces the table."""
+
+    def __init__(self, arcs: DataFrame, last_scene: int) -> None:
+        self.arcs, self.last_scene = arcs, last_scene
+
+    def list(self) -> DataFrame:
+        return list_arcs(self.arcs)
+
+    def close(self, title: str, conclusion: str = "") -> DataFrame:
+        self.arcs = close_arc(self.arcs, title, conclusion, self.last_scene)
+        return self.arcs
+
+
+def knowledge_tools(kb: KnowledgeBase, book: ArcBook | None = None) -> Registry:
+    """The query tools over one knowledge base, and those over its arcs if there are any."""
     registry = Registry()
     path = Parameter("string", "steps joined by dots")
     registry.register(Tool("get_info", "Value at a path.", kb.get, {"path": path}))
     registry.register(Tool("list_paths", "Children of a path.", kb.list, {"path": Parameter("string", "steps", required=False)}))
     registry.register(Tool("search_info", "Leaves that contain a text.", kb.search, {"query": Parameter("string", "text")}))
     registry.register(Tool("set_info", "Write a value.", kb.set, {"path": path, "value": Parameter("string", "text")}))
+    if book is not None:
+        closing = {"title": Parameter("string", "of the arc"), "conclusion": Parameter("string", "how it ended", required=False)}
+        registry.register(Tool("close_arc", "Close a running arc.", book.close, closing))
+        registry.register(Tool("list_arcs", "Arcs by status.", book.list))
     return registry
+
+
+_CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
+
+
+def parse_call(text: str) -> tuple[str, dict[str, object]] | None:
+    """Name and arguments of the first tool call of a text, None without one; arguments that are no object are empty."""
+    found = _CALL.search(text)
+    name = re.search(r"name:\s*([\w.]+)", found[1]) if found else None
+    if name is None:
+        return None
+    given = re.search(r"arguments:\s*(.*?)\s*$", found[1], re.DOTALL)
+    body = given[1] if given else ""
+    try:
+        arguments = json.loads(body if body.startswith("{") else "{" + body + "}")
+    except ValueError:
+        arguments = {}
+    return name[1], arguments if isinstance(arguments, dict) else {}
+
+
+def shown(output: object, most: int = 20) -> str:
+    """A tool's output as JSON text; of a table its first rows, as a reader of an answer needs no more."""
+    if isinstance(output, DataFrame):
+        rows = [r.asDict(recursive=True) for r in output.limit(most + 1).collect()]
+        return json.dumps({"rows": rows[:most], "more": len(rows) > most}, ensure_ascii=False, default=str)
+    return json.dumps(output, ensure_ascii=False, default=str)
+
+
+def tool_loop(generate: Callable[[str], str], prompt: str, registry: Registry, most: int = 5) -> tuple[str, list[tuple[str, str]]]:
+    """Generate, run the tool that the answer calls, append its response, and so on: at most ``most`` calls.
+
+    Returns the last answer and the calls made, each with its status.
+    """
+    calls: list[tuple[str, str]] = []
+    answer = generate(prompt)
+    while len(calls) < most:
+        call = parse_call(answer)
+        if call is None:
+            break
+        status, output = registry.execute(*call)
+        calls.append((call[0], status))
+        response = shown(output if status == "ok" else {"error": output})
+        prompt = f"{prompt}\n{answer}\n<tool_response>{response}</tool_response>\n"
+        answer = generate(prompt)
+    return answer, calls
