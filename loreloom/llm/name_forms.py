@@ -114,10 +114,10 @@ class Own:
     def __init__(self, tokens: tuple[str, ...]) -> None:
         self.letters = tokens[0][1:] if tokens and tokens[0].startswith("@") else None
         self.words = frozenset(t for t in tokens if len(t) > 2)
-        self._by_first: dict[str, list[str]] = {}
+        self.near: dict[str, list[str]] = {}
         for t in self.words:
             if len(t) > 4:
-                self._by_first.setdefault(t[0], []).append(t)
+                self.near.setdefault(t[0], []).append(t)
         stems = {part for t in self.words for part in ((t,) if len(t) < 6 else (t[:4], t[-4:]))}
         self._stems = [*stems, *([self.letters] if self.letters else [])]
         self._spelled = self.letters is not None
@@ -130,7 +130,7 @@ class Own:
         """Whether ``word`` is one of the name's, a typing error aside."""
         if word in self.words or word == self.letters:
             return True
-        near = self._by_first.get(word[0])
+        near = self.near.get(word[0])
         return near is not None and any(abs(len(word) - len(o)) < 2 and _edits(word, o, 1) < 2 for o in near)
 
 
@@ -166,7 +166,7 @@ class Reader:
         names = sorted({" ".join(t) for t in map(self.tokens, mentions(text, self.lexicon.usual)) if any(t)})
         said = _TOKEN.findall(text)
         folded = [_folded(word) for word in said]
-        mine = [own.has(word) for word in folded]
+        mine = [word in own.words or (word[0] in own.near and own.has(word)) or word == own.letters for word in folded]
         if not any(mine) and (own.letters is None or "@" + own.letters not in names):
             return Reading(names, False, [])
         # Initials, and capitals beside the subject's own words, are parts of its name too.

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,11 @@ def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: s
     )
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _read(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``kind``, ``block``, ``node``, ``what``, ``value`` of all texts, by the 64-bit hashes of worlds and spellings;
     ``world`` and ``name`` stand in the rows of a spelling itself.
@@ -105,12 +111,12 @@ def _read(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     names its subject), ``other`` (any further name) and ``words`` (of a statement that names its subject).
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
 
         for batch in batches:
             rows: dict[tuple[str, int, int, str, str, str | None, str | None], None] = {}
-            for kind, block, node, world, name, role, text in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+            for kind, block, node, world, name, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if role != "said":
                     form = " ".join(reader.tokens(text))
                     if form.strip() and role == "name":
@@ -125,11 +131,12 @@ def _read(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
                         rows[kind, block, node, "own" if several and reading.own else "other", form, None, None] = None
                 if reading.own:
                     rows[kind, block, node, "words", " ".join(reading.words), None, None] = None
-            yield pd.DataFrame(list(rows), columns=["kind", "block", "node", "what", "value", "world", "name"])
+            yield _batch(list(rows), facts)
 
     node = F.xxhash64("kind", "world", "name")
     keyed = texts.select("kind", F.xxhash64("kind", "world").alias("block"), node.alias("node"), "world", "name", "role", "text")
-    return keyed.mapInPandas(read, "kind string, block bigint, node bigint, what string, value string, world string, name string")
+    facts = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("node", pa.int64()), *[(c, pa.string()) for c in ("what", "value", "world", "name")]])
+    return keyed.mapInArrow(read, "kind string, block bigint, node bigint, what string, value string, world string, name string")
 
 
 def _few_worlds(facts: DataFrame, share: float) -> Column:
@@ -181,16 +188,18 @@ def _profiles(facts: DataFrame) -> DataFrame:
     for row in usual.select("kind", "word").collect():
         common.setdefault(row["kind"], set()).add(row["word"])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shapes = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("frame", pa.string()), ("runs", pa.list_(pa.string()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {kind: frozenset(words) for kind, words in common.items()}
         for batch in batches:
             rows = []
-            for kind, node, words in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+            for kind, node, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shape, runs = frame(words.split(" "), known.get(kind, frozenset()))
                 rows.append((kind, node, shape, runs))
-            yield pd.DataFrame(rows, columns=["kind", "node", "frame", "runs"])
+            yield _batch(rows, shapes)
 
-    framed = said.select("kind", "node", "words").mapInPandas(cut, "kind string, node bigint, frame string, runs array<string>")
+    framed = said.select("kind", "node", "words").mapInArrow(cut, "kind string, node bigint, frame string, runs array<string>")
     framed = cut_lineage(framed.select("kind", "node", F.xxhash64("frame").alias("frame"), "runs"))
     places = framed.select("kind", "node", "frame", F.posexplode("runs").alias("place", "run"))
     frames = framed.groupBy("kind", "frame").agg(F.count(F.lit(1)).alias("n"))
@@ -306,7 +315,9 @@ def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFr
     joined = pairs.join(forms, "f").join(forms.select(F.col("f").alias("g"), "block", F.col("form").alias("form_g")), ["g", "block"])
     known = known_tokens(forms)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    likely = pa.schema([("f", pa.int64()), ("g", pa.int64()), ("likeness", pa.float64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comparer = Comparer(lexicon, known)
 
         @lru_cache(maxsize=200_000)
@@ -320,16 +331,16 @@ def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFr
 
         for batch in batches:
             rows = []
-            for f, g, kind, form, form_g in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+            for f, g, kind, form, form_g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 (one, x), (other, y) = read(form), read(form_g)
                 if similar(form, x, form_g, y):
                     likeness = comparer.forms(one, other, kind)
                     if likeness >= SUPPORTED:
                         rows.append((f, g, likeness))
-            yield pd.DataFrame(rows, columns=["f", "g", "likeness"])
+            yield _batch(rows, likely)
 
     columns = joined.select("f", "g", "kind", "form", "form_g")
-    return columns.mapInPandas(compare, "f bigint, g bigint, likeness double")
+    return columns.mapInArrow(compare, "f bigint, g bigint, likeness double")
 
 
 def _form_kind(form: Column) -> Column:
