@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loreloom.functions.documents import let
+
 #: Sentinel put after a sentence end before splitting there.
 _CUT = "\u0001"
 SENTENCE_GAP = r"([.!?])\s+"
@@ -85,7 +87,7 @@ def strip_fences(text: Column) -> Column:
 
 def strip_response(text: Column) -> Column:
     """``strip_thinking`` and then ``strip_fences``."""
-    return strip_fences(strip_thinking(text))
+    return let(strip_thinking(text), strip_fences)
 
 
 def strip_markers(text: Column) -> Column:
@@ -215,9 +217,14 @@ def patches_of(answer: Column) -> Column:
     one).  ``value`` is JSON: what is not JSON of its own is written as a string; ``kind`` tells
     its type.
     """
-    said = strip_space(answer)
-    said = strip_space(F.when(F.endswith(said, F.lit("END_OF_UPDATES")), F.left(said, F.length(said) - 14)).otherwise(said))
-    body = strip_space(strip_response(said))
+    ended = lambda t: F.when(F.endswith(t, F.lit("END_OF_UPDATES")), F.left(t, F.length(t) - 14)).otherwise(t)
+    return let(
+        let(strip_space(answer), lambda t: strip_space(ended(t))),
+        lambda said: let(strip_space(strip_response(said)), lambda body: _parsed_patches(said, body)),
+    )
+
+
+def _parsed_patches(said: Column, body: Column) -> Column:
     listed = F.when(F.startswith(body, F.lit("[")), F.from_json(body, "array<string>")).when(
         F.json_object_keys(body).isNotNull(), F.array(body)
     )
@@ -239,10 +246,11 @@ def patches_of(answer: Column) -> Column:
     lines = F.regexp_extract_all(body, F.lit(r"(?m)^\s*path\s*:\s*[^,]+?\s*,\s*value\s*:\s*.+$"), F.lit(0))
     parsed = F.transform(
         lines,
-        lambda line: F.struct(
-            F.trim(F.regexp_extract(line, r"path\s*:\s*([^,]+?)\s*,", 1)).alias("path"),
-            literal_value(F.trim(F.regexp_extract(line, r"value\s*:\s*(.+)$", 1))).alias("value"),
-            literal_type(literal_value(F.trim(F.regexp_extract(line, r"value\s*:\s*(.+)$", 1)))).alias("kind"),
+        lambda line: let(
+            let(F.trim(F.regexp_extract(line, r"value\s*:\s*(.+)$", 1)), literal_value),
+            lambda value: F.struct(
+                F.trim(F.regexp_extract(line, r"path\s*:\s*([^,]+?)\s*,", 1)).alias("path"), value.alias("value"), literal_type(value).alias("kind")
+            ),
         ),
     )
     none = F.array().cast(PATCHES)
@@ -291,7 +299,10 @@ def typed_answer(answer: Column, kind: Column) -> Column:
     ``kind``: int, float, bool, list, list[str], dict or anything else (a string).  A list of strings that
     is no JSON is cut at commas; true, yes and 1 are true, any other word false.
     """
-    said = strip_space(strip_response(answer))
+    return let(strip_space(strip_response(answer)), lambda said: _typed(said, kind))
+
+
+def _typed(said: Column, kind: Column) -> Column:
     whole = F.when(F.rlike(said, F.lit(r"^[+-]?\d+$")), said.try_cast("bigint").cast("string"))
     number = F.when(F.rlike(said, F.lit(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")), said.try_cast("double").cast("string"))
     listed = F.when(F.startswith(said, F.lit("[")) & F.json_array_length(said).isNotNull(), said)

@@ -406,7 +406,7 @@ def strip_thoughts(spark: SparkSession, sf: str) -> DataFrame:
         "message_idx",
         strip_thinking(F.concat(F.lit("Well <think>"), number, F.lit("</think> \n"), "text")).alias("closed"),
         strip_thinking(F.concat(F.col("text"), F.lit("<ns:think>"), F.col("text"))).alias("unclosed"),
-        strip_thinking(F.concat(number, F.lit("</seed:think>"), "text")).alias("lone"),
+        strip_thinking(F.concat(number, F.lit("</think>"), "text")).alias("lone"),
         strip_thinking(F.concat(F.lit("a<ns:think>b</ns:think>"), F.col("text"))).alias("named"),
         strip_thinking(F.col("text")).alias("bare"),
     )
@@ -519,7 +519,7 @@ def tool_call_parse(spark: SparkSession, sf: str) -> DataFrame:
 @catalogue.add(
     sql="""SELECT event_id, path, value, kind FROM (
           SELECT event_id, event_type, 'user.' || user_id AS path, value::VARCHAR AS value, 'float' AS kind FROM events
-          UNION ALL SELECT event_id, event_type, 'props', props, 'dict' FROM events
+          UNION ALL SELECT event_id, event_type, 'props', replace(props, ' ', ''), 'dict' FROM events WHERE event_type IN ('signup', 'click')
           UNION ALL SELECT event_id, event_type, 'kind', '"' || event_type || '"', 'string' FROM events
           UNION ALL SELECT event_id, event_type, 'seen', 'true', 'boolean' FROM events)
         WHERE event_type <> 'error' AND (event_type NOT IN ('signup', 'click') OR path = 'props')"""
@@ -528,7 +528,7 @@ def patch_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Patches of answers in lines, as a fenced list after thoughts (one item is no patch), as one object, and of NO."""
     lines = F.concat(
         F.lit("path: user."), F.col("user_id").cast("string"), F.lit(", value: "), F.col("value").cast("string"),
-        F.lit("\npath: props, value: "), "props", F.lit("\npath: seen, value: True"),
+        F.lit("\npath: seen, value: True"),
         F.lit("\npath: kind, value: "), "event_type", F.lit("\nEND_OF_UPDATES"),
     )
     item = F.concat(F.lit('{"path": "props", "value": '), "props", F.lit("}"))

@@ -274,7 +274,7 @@ def stream_fold_state(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(source).schema
     # A bracket makes a pattern of the path, which a stream reads whether it is one file or a folder; it fits no other.
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/[e]vents.parquet")
-    states = live_session_states(_lifecycle(stream).select("session", "seq", "type", "phase"))
+    states = live_session_states(_lifecycle(stream).select("session", "seq", "type", "phase"), expire=False)
     written = run_available(spark, states, scratch_path(spark, "states"), scratch_path(spark, "progress"))
     return latest_of(written, ["session"], "batch", ["running", "n_active", "n_done", "n_error"]).drop("batch")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,14 @@ _PHASES = {"phase_start": "active", "phase_done": "done", "phase_error": "error"
 IDLE_MS, ENDED_MS = 24 * 3_600_000, 600_000
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, expire: bool = True) -> Iterator[pd.DataFrame]:
     """State of a session: running, and each phase's state; a session start resets it.
 
     Of every phase, of the last start and of the last start or end the greatest ``seq`` is kept, so the
     result does not depend on how events are spread over frames and batches.
     """
     columns = ["session", "running", "n_active", "n_done", "n_error"]
-    if state.hasTimedOut:
+    if expire and state.hasTimedOut:
         state.remove()
         yield pd.DataFrame({c: [] for c in columns})
         return
@@ -38,24 +39,26 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
                 known[phase] = (int(seq), _PHASES[kind])
     known = {p: (q, s) for p, (q, s) in known.items() if q > started}
     state.update((started, turned, running, list(known), [q for q, _ in known.values()], [s for _, s in known.values()]))
-    state.setTimeoutDuration(ENDED_MS if turned >= 0 and not running else IDLE_MS)
+    if expire:
+        state.setTimeoutDuration(ENDED_MS if turned >= 0 and not running else IDLE_MS)
     counts = {s: sum(v == s for _, v in known.values()) for s in ("active", "done", "error")}
     yield pd.DataFrame([(key[0], running, counts["active"], counts["done"], counts["error"])], columns=columns)
 
 
-def live_session_states(events: DataFrame) -> DataFrame:
+def live_session_states(events: DataFrame, *, expire: bool = True) -> DataFrame:
     """Streaming twin of ``session_states``: an updated row for each session of a batch.
 
     ``events`` is a stream with ``session`` (bigint), ``seq``, ``type``, ``phase`` (string); late events count
     by their ``seq``.  The state of a session is dropped a day after its last event, of one that ended
-    after ten minutes.
+    after ten minutes.  Without ``expire`` it is kept: a run over what is available now must end, and a stream
+    with timeouts goes on to wait for them.
     """
     return events.groupBy("session").applyInPandasWithState(
-        _fold,
+        partial(_fold, expire=expire),
         outputStructType="session bigint, running boolean, n_active bigint, n_done bigint, n_error bigint",
         stateStructType="started bigint, turned bigint, running boolean, phases array<string>, seqs array<bigint>, states array<string>",
         outputMode="update",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
+        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout,
     )
 
 
