@@ -73,16 +73,19 @@ def strip_thinking(text: Column) -> Column:
     return F.when(ended, rest).when(has_open, F.lit("")).otherwise(text)
 
 
+#: What counts as the inside of an answer, tried in this order; lines end at line feeds only.
+FENCES = (
+    r'^[ \t]*(?:```(?:\S*)?|""")(.*?)(?:```|""")',
+    r"^(?:\}|\S.*?\})(\{.*\})",
+    r"(\{.*?^\})",
+)
+
+
 def strip_fences(text: Column) -> Column:
-    """The inside of the first fenced block, as it stands after the opening line, else of a
-    triple-quoted one, else the span from the first to the last brace, else the text."""
-    hit = lambda pattern: F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
-    return F.coalesce(
-        hit(r"(?s)```(?:[A-Za-z]*)[ \t]*(?:\r?\n)?(.*?)```"),
-        hit(r'(?s)"""(.*?)"""'),
-        hit(r"(?s)(\{.*\})"),
-        text,
-    )
+    """The inside of the first block that a line opens with a fence or triple quotes, else an object that follows
+    another one's end, else an object whose end begins a line, else the text."""
+    hit = lambda p: F.when(F.rlike(text, F.lit(f"(?msd){p}")), F.regexp_extract(text, f"(?msd){p}", 1))
+    return F.coalesce(*[hit(p) for p in FENCES], text)
 
 
 def strip_response(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.functions.text import (
+    FENCES,
     INTRODUCTIONS,
     TITLE_WORDS,
     command_flags,
@@ -414,7 +415,7 @@ def strip_thoughts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fence_sql(text: str) -> str:
     hit = lambda pattern: f"CASE WHEN regexp_matches({text}, '{pattern}') THEN regexp_extract({text}, '{pattern}', 1) END"
-    patterns = (r"(?s)```(?:[A-Za-z]*)[ \t]*(?:\r?\n)?(.*?)```", r'(?s)"""(.*?)"""', r"(?s)(\{.*\})")
+    patterns = [f"(?ms){p}" for p in FENCES]
     return f"coalesce({', '.join(hit(p) for p in patterns)}, {text})"
 
 

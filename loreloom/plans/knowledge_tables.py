@@ -48,6 +48,32 @@ def p3_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.distinct().select("record_id", F.col("parent").alias("character_key"), "ord", F.col("child").alias("attribute"))
 
 
+def _flat(spark: SparkSession, sf: str, kind: str, **names: str) -> DataFrame:
+    """One target table: its rows by its own inline, columns named for what they hold."""
+    rows = flat_table(table(spark, sf, "kb_records"), kind, **_KEY).distinct()
+    return rows.select("record_id", *[F.col(c).alias(n) for c, n in names.items()])
+
+
+@catalogue.add()
+def p3_scene_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "when", parent="state", child="message_node")
+
+
+@catalogue.add()
+def p3_participants(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "participant", parent="list", ord="ord", child="name")
+
+
+@catalogue.add()
+def p3_events(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "event", parent="section", ord="ord", child="name")
+
+
+@catalogue.add()
+def p3_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "summary", parent="event", child="summary")
+
+
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf, "character_states")
     snapshots = union_snapshots([rows, table(spark, sf, "group_states")], "session_id", "snapshot_seq")

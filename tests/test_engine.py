@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -31,32 +32,19 @@ def test_strip_thinking(spark, text, expected):
 
 @pytest.mark.parametrize(
     ("text", "expected"),
-    [('a ```json\n{"x":1}\n``` b', '{"x":1}\n'), ('"""q"""', "q"), ('see {"a":{}} ok', '{"a":{}}'), ("none", "none"), (None, None)],
-)
+    [
+        ('a\n ```json\n{"x":1}\n``` b', '\n{"x":1}\n'), ('"""q"""', "q"), ("a ``` b ```", "a ``` b ```"), ('{"a": 1}{"b": 2} x', '{"b": 2}'),
+        ('x {"a":\n1\n} y', '{"a":\n1\n}'), ('see {"a":{}} ok', 'see {"a":{}} ok'), ('[{"a": 1}, {"b": 2}]', '[{"a": 1}, {"b": 2}]'), ("none", "none"), (None, None),
+    ],
+)
 def test_strip_fences(spark, text, expected):
     assert one(spark, X.strip_fences, text) == expected
 
 
 def _unfenced(text):
-    """Brute force by plain search."""
-    at = text.find("```")
-    end = -1
-    if at >= 0:
-        start = at + 3
-        while start < len(text) and text[start].isascii() and text[start].isalpha():
-            start += 1
-        while start < len(text) and text[start] in " \t":
-            start += 1
-        start += 2 if text[start : start + 2] == "\r\n" else text[start : start + 1] == "\n"
-        end = text.find("```", start)
-    if end >= 0:
-        return text[start:end]
-    at = text.find('"""')
-    end = text.find('"""', at + 3) if at >= 0 else -1
-    if end >= 0:
-        return text[at + 3 : end]
-    at, end = text.find("{"), text.rfind("}")
-    return text[at : end + 1] if 0 <= at < end else text
+    """The same rule by the regular expressions of another engine."""
+    found = (re.search(p, text, re.MULTILINE | re.DOTALL | re.ASCII) for p in X.FENCES)
+    return next((m[1] for m in found if m), text)
 
 
 def test_fences_of_every_text_equal_brute_force(spark, tmp_path):

@@ -1,5 +1,4 @@
 import ast
-import os
 from pathlib import Path
 
 import pytest
@@ -25,7 +24,6 @@ def test_the_core_does_not_import_the_corpus_operators():
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
-@pytest.mark.skipif(os.environ.get("LORELOOM_ALL") is None, reason="runs every query; set LORELOOM_ALL")
 def test_every_query_runs(spark):
     for name, query in entry.queries().items():
         assert query(spark, str(SMALL)).count() >= 0, name
