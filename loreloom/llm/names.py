@@ -98,6 +98,12 @@ def typed_names(states: DataFrame, sessions: DataFrame, kind: str, *, aliases: s
     )
 
 
+def _lists(batch: pa.RecordBatch) -> list[list]:
+    """Columns as lists; by way of pandas, which makes Python values of text several times faster."""
+    frame = batch.to_pandas()
+    return [frame[c].tolist() for c in frame.columns]
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -116,7 +122,7 @@ def _read(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         for batch in batches:
             rows: dict[tuple[str, int, int, str, str, str | None, str | None], None] = {}
-            for kind, block, node, world, name, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, block, node, world, name, role, text in zip(*_lists(batch), strict=True):
                 if role != "said":
                     form = " ".join(reader.tokens(text))
                     if form.strip() and role == "name":
@@ -194,7 +200,7 @@ def _profiles(facts: DataFrame) -> DataFrame:
         known = {kind: frozenset(words) for kind, words in common.items()}
         for batch in batches:
             rows = []
-            for kind, node, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, node, words in zip(*_lists(batch), strict=True):
                 shape, runs = frame(words.split(" "), known.get(kind, frozenset()))
                 rows.append((kind, node, shape, runs))
             yield _batch(rows, shapes)
@@ -217,18 +223,23 @@ def _distinct_forms(nodes: DataFrame) -> DataFrame:
     return nodes.select("block", "kind", "form").distinct().select(F.xxhash64("block", "form").alias("f"), "block", "kind", "form")
 
 
-def known_tokens(forms: DataFrame) -> dict[str, dict[str, float]]:
+def held_tokens(forms: DataFrame) -> DataFrame:
+    """``kind``, ``token``, in how many worlds (``n``) and forms (``c``) it is."""
+    tokens = forms.select("kind", "block", F.explode(F.split("form", " ")).alias("token"))
+    return tokens.groupBy("kind", "token", "block").agg(F.count(F.lit(1)).alias("c")).groupBy("kind", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))
+
+
+def known_tokens(forms: DataFrame, held: DataFrame) -> dict[str, dict[str, float]]:
     """By kind the tokens that at least ``KNOWN_SHARE`` of the worlds know, with their share of the worlds.
 
     If worlds know v tokens on average there are at most v / ``KNOWN_SHARE`` such tokens, whatever the
     number of worlds; all others are rare and need no entry.
     """
-    held = forms.select("kind", "block", F.explode(F.split("form", " ")).alias("token")).groupBy("kind", "token").agg(F.count_distinct("block").alias("n"))
-    worlds = forms.groupBy("kind").agg(F.count_distinct("block").alias("w"))
-    rows = held.join(F.broadcast(worlds), "kind").where((F.col("n") >= F.col("w") * KNOWN_SHARE) & (F.col("n") >= LEAST_WORLDS)).collect()
+    worlds = {r["kind"]: r["w"] for r in forms.groupBy("kind").agg(F.count_distinct("block").alias("w")).collect()}
     known: dict[str, dict[str, float]] = {}
-    for r in rows:
-        known.setdefault(r["kind"], {})[r["token"]] = r["n"] / r["w"]
+    for kind, w in worlds.items():
+        rows = held.where((F.col("kind") == kind) & (F.col("n") >= max(LEAST_WORLDS, w * KNOWN_SHARE))).collect()
+        known[kind] = {r["token"]: r["n"] / w for r in rows}
     return known
 
 
@@ -250,7 +261,7 @@ def initials_key(form: str) -> str | None:
     return "@" + "".join(sorted(t[0] for t in tokens)) if len(tokens) > 1 else None
 
 
-def candidate_forms(forms: DataFrame) -> DataFrame:
+def candidate_forms(forms: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Pairs ``f`` < ``g`` of a block's forms with like q-gram sets.
 
     Prefix filter: a form keeps its ``n - ceil(t n) + 1`` first q-grams in one order of
@@ -264,7 +275,8 @@ def candidate_forms(forms: DataFrame) -> DataFrame:
     def all_grams(texts: pd.Series) -> pd.Series:
         return texts.map(q_grams)
 
-    counted = forms.select(F.explode(all_grams(F.col("form"))).alias("gram")).groupBy("gram").count()
+    tokens = held_tokens(forms) if held is None else held
+    counted = tokens.select(F.explode(all_grams("token")).alias("gram"), "c").groupBy("gram").agg(F.sum("c").alias("count"))
     common = [r["gram"] for r in counted.orderBy(F.desc("count"), "gram").limit(COMMON_GRAMS).collect()]
     late = {gram: COMMON_GRAMS - i for i, gram in enumerate(common)}
 
@@ -309,11 +321,11 @@ def candidate_forms(forms: DataFrame) -> DataFrame:
     return met.select("f", "g").distinct()
 
 
-def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFrame:
+def _alike_forms(pairs: DataFrame, forms: DataFrame, held: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``f``, ``g``, ``likeness`` of the candidates that are at least ``SUPPORTED``."""
     # Keys are hashes of world and q-gram: two worlds whose keys happen to be equal are told apart here.
     joined = pairs.join(forms, "f").join(forms.select(F.col("f").alias("g"), "block", F.col("form").alias("form_g")), ["g", "block"])
-    known = known_tokens(forms)
+    known = known_tokens(forms, held)
 
     likely = pa.schema([("f", pa.int64()), ("g", pa.int64()), ("likeness", pa.float64())])
 
@@ -331,7 +343,7 @@ def _alike_forms(pairs: DataFrame, forms: DataFrame, lexicon: Lexicon) -> DataFr
 
         for batch in batches:
             rows = []
-            for f, g, kind, form, form_g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for f, g, kind, form, form_g in zip(*_lists(batch), strict=True):
                 (one, x), (other, y) = read(form), read(form_g)
                 if similar(form, x, form_g, y):
                     likeness = comparer.forms(one, other, kind)
@@ -371,7 +383,8 @@ def scored_pairs(nodes: DataFrame, profiles: DataFrame, lexicon: Lexicon) -> Dat
     """``a`` < ``b``, ``likeness`` of their likest forms, whether each of these is a full
     name, and how far their profiles ``agree`` and ``contradict``."""
     forms = cut_lineage(_distinct_forms(nodes))
-    alike = _alike_forms(candidate_forms(forms), forms, lexicon)
+    held = cut_lineage(held_tokens(forms))
+    alike = _alike_forms(candidate_forms(forms, held), forms, held, lexicon)
     holders = nodes.select(F.xxhash64("block", "form").alias("f"), "node", _form_kind(F.col("form")).alias("kind"))
     others = holders.withColumnsRenamed({"f": "g", "node": "other", "kind": "other_kind"})
     across = alike.join(holders, "f").join(others, "g")

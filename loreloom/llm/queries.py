@@ -17,8 +17,6 @@ from loreloom.sources.tables import table
 
 catalogue = Catalogue()
 
-#: Most rows of the table of short forms; a larger one is refused, never cut.
-LEXICON_ROWS = 50_000
 #: Tokens of one container.
 CAPACITY = 2_048
 
@@ -28,10 +26,9 @@ def _linked(spark: SparkSession, sf: str) -> DataFrame:
     names = typed_names(table(spark, sf, "character_states"), sessions, "character", aliases=None).unionByName(
         typed_names(table(spark, sf, "group_states"), sessions, "group", aliases="aliases")
     )
+    # Two dictionaries of fixed size, whatever the data: short forms and frequent words.
     known = table(spark, sf, "name_forms").where(F.col("form").isNotNull() & F.col("full_form").isNotNull())
-    rows = known.limit(LEXICON_ROWS + 1).collect()
-    if len(rows) > LEXICON_ROWS:
-        raise ValueError(f"more than {LEXICON_ROWS} short forms; they are sent to every worker")
+    rows = known.distinct().collect()
     usual = [r["word"] for r in table(spark, sf, "common_words").select("word").distinct().collect() if r["word"]]
     return link_names(names, Lexicon.of([(r["form"], r["full_form"], r["form_kind"]) for r in rows], usual))
 
@@ -110,6 +107,23 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
     return text_types(votes, fit_type_model(vote_patterns(votes)))
 
 
+_WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')"
+
+
+@catalogue.add(
+    sql=rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[^\t-\r \p{{Z}}\x{{85}}]') THEN length(regexp_replace(text, '[\t-\r ]', '', 'g')) ELSE 0 END AS n_chars,
+          {_WORDS} AS words, length(regexp_replace(text, '[\p{{L}}\p{{N}}\t-\r ]', '', 'g')) AS symbols FROM d)
+        SELECT doc_id, n_chars, len(words) AS n_words, round(coalesce(list_sum(list_transform(words, lambda w: length(w))) / nullif(len(words), 0), 0), 6) AS mean_word_length,
+          round(coalesce(CASE WHEN n_chars > 0 THEN symbols / n_chars END, 0), 6) AS symbol_share FROM c"""
+)
+def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics that SQL can count too."""
+    words = [r["word"] for r in table(spark, sf, "common_words").select("word").distinct().collect() if r["word"]]
+    counted = text_statistics(table(spark, sf, "documents"), "doc_id", "text", words)
+    return counted.select("doc_id", "n_chars", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("symbol_share", 6).alias("symbol_share"))
+
+
 @catalogue.add()
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return _typed(spark, sf).where(F.col("text_type") != "prose").select("doc_id")

@@ -65,7 +65,7 @@ def test_prefix_filter_loses_no_similar_pair(spark, monkeypatch):
     rng = random.Random(5)
     syllables = ["bri", "mer", "dan", "ko", "lu", "tar", "ve", "sso"]
     forms = sorted({" ".join("".join(rng.choices(syllables, k=2)) for _ in range(rng.randint(1, 3))) for _ in range(120)})
-    df = spark.createDataFrame([(i, 1 if i % 2 else 2, f) for i, f in enumerate(forms)], "f bigint, block bigint, form string")
+    df = spark.createDataFrame([(i, 1 if i % 2 else 2, "k", f) for i, f in enumerate(forms)], "f bigint, block bigint, kind string, form string")
     got = {(r.f, r.g) for r in candidate_forms(df).collect()}
     for (i, a), (j, b) in itertools.combinations(enumerate(forms), 2):
         x, y = set(q_grams(a)), set(q_grams(b))
