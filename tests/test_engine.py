@@ -172,6 +172,26 @@ def test_loose_mentions_equal_all_pairs(spark):
     assert got == {(g, t, n) for g, t in texts for k, n in names if g == k and n.strip() and fits(t, n)}
 
 
+def test_loose_mentions_are_the_same_by_list_and_by_index(spark):
+    texts = [(g, a, t) for g in "gh" for a in "ab" for t in ("The Channel of Annecy", "bob", "", "o LEE", "Li\tand lEE", "nix nix")] + [(None, "a", "bob"), ("i", "a", "bob")]
+    names = [("g", "Ann Lee"), ("g", "O"), ("g", " "), ("g", "Bobby"), ("h", "nn x"), ("h", "li"), ("h", " Lee Ann "), ("g", "O"), (None, "bob"), ("h", "nix nix")]
+    said, called = spark.createDataFrame(texts, "g string, about string, text string"), spark.createDataFrame(names, "g string, name string")
+    fits = lambda t, n: any(w in t.lower() for w in (n.lower().split()[0], n.lower().split()[-1]))
+    every = sorted({(g, a, t, n) for g, a, t in texts for k, n in names if g and g == k and n.strip() and fits(t, n)})
+    for few in (0, 5, 64):
+        got = loose_mentions(said, called, "g", few).select("g", "about", "text", "name")
+        assert sorted(tuple(r) for r in got.collect()) == every, few
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_loose_mentions_move_texts_not_a_text_for_each_word(spark, moved_bytes, few):
+    words = lambda i: " ".join(f"{hash((i, k)) % 10**12:x}" for k in range(300))
+    texts = [(f"g{i % 9}", words(i) + " Ann") for i in range(90)]
+    names = spark.createDataFrame([(f"g{i}", "Ann Lee") for i in range(9)], "g string, name string")
+    moved = moved_bytes(spark, loose_mentions(spark.createDataFrame(texts, "g string, text string"), names, "g", few))
+    assert moved < 4 * sum(len(t) for _, t in texts), moved
+
+
 @pytest.mark.parametrize("lo", [0, 3, -700])
 def test_long_intervals_need_few_cells(spark, lo):
     from loreloom.operators.conversation import _cells
