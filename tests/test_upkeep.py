@@ -1,4 +1,7 @@
+import hashlib
 import json
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +162,46 @@ def test_similar_texts_equal_brute_force(spark):
     assert got[1][1] == (1, 1.0) and got[5] == {1: (5, 1.0), 2: (2, round(2 / (2 * 3**0.5), 6))}
 
 
+def _similar(texts, asked, k):
+    """By brute force: (group, query, item, score, place)."""
+
+    def vectors(rows):
+        of = defaultdict(Counter)
+        for g, i, t in rows:
+            words = [w for w in re.findall(r"[^\W_]+", (t or "").lower()) if len(w) >= 3]
+            if g is not None and i is not None and words:
+                of[g, i].update(int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in words)
+        return of
+
+    norm = lambda v: sum(n * n for n in v.values()) ** 0.5
+    stored, rows = vectors(texts), []
+    for (g, q), v in vectors(asked).items():
+        scores = [(-round(d / (norm(v) * norm(w)), 6), i) for (h, i), w in stored.items() if g == h and (d := sum(n * w[b] for b, n in v.items()))]
+        rows += [(g, q, i, -s, n) for n, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(rows)
+
+
+def test_similar_texts_are_the_same_by_list_and_by_place(spark):
+    words = ["river", "bridge", "old", "the", "The", "of", "stone", "Ärger", "x1y", "gate"]
+    pick = lambda i, n: " ".join(words[(i * 7 + j * j * (i % 3 + 1)) % 10] for j in range(n))
+    texts = [("gh"[i % 2], i, pick(i, i % 13)) for i in range(40)] + [("g", 2, "one key, two texts: the gate"), (None, 1, "river"), ("g", None, "river"), ("g", 99, None), ("i", 1, "river")]
+    asked = [("gh"[i % 2], i, pick(i + 3, i % 5)) for i in range(12)] + [("g", 4, "the old gate the"), (None, 1, "river"), ("h", None, "river"), ("k", 1, "river")]
+    stored = embed_terms(spark.createDataFrame(texts, "g string, i int, t string"), ["g", "i"], "t")
+    queries = embed_terms(spark.createDataFrame(asked, "g string, q int, t string"), ["g", "q"], "t")
+    for few in (0, 15, 256):
+        got = similar_texts(queries, stored, ["g"], "q", ["i"], 3, few).select("g", "q", "i", "score", "place")
+        assert sorted(tuple(r) for r in got.collect()) == _similar(texts, asked, 3), few
+
+
+def test_similar_texts_move_vectors_not_words(spark, moved_bytes):
+    texts = [("g%d" % (i % 9), i, " ".join(f"{hash((i, k)) % 10**9:x}" for k in range(400)) + " river") for i in range(90)]
+    asked = spark.createDataFrame([(f"g{i}", i, "river") for i in range(9)], "g string, q int, t string")
+    stored = embed_terms(spark.createDataFrame(texts, "g string, i int, t string"), ["g", "i"], "t")
+    moved = moved_bytes(spark, similar_texts(embed_terms(asked, ["g", "q"], "t"), stored, ["g"], "q", ["i"], 3))
+    # A word takes two bytes, not a row.
+    assert moved < 4 * 2 * 400 * len(texts), moved
+
+
 def test_schema_settings_and_files(spark, tmp_path):
     assert fill_placeholders("list[{A}]", {"A": "dict[str, {B}]", "B": "int"}) == "list[dict[str, int]]"
     with pytest.raises(ValueError):
