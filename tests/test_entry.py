@@ -32,3 +32,17 @@ def test_every_query_runs(spark):
 @pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
 def test_entry_has_rows(spark):
     assert entry.entry(spark).columns == ["session_id", "entry_key", "valid_from_seq", "valid_to_seq"]
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+def test_retrieve_context_is_made_of_small_plans(spark):
+    duckdb = pytest.importorskip("duckdb")
+    got = entry.queries()["retrieve_context"](spark, str(SMALL))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # What its parts share is read from tables that were written once, not worked out again in one large plan.
+    assert plan.count("Exchange") <= 4 and "character_states.parquet" not in plan and "retrieval_contexts.parquet" not in plan
+    with duckdb.connect() as base:
+        for path in SMALL.glob("*.parquet"):
+            base.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+        rows = base.execute(entry.oracle_sql()["retrieve_context"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows) and {r[0] for r in rows} >= {"characters", "groups", "lines"}
